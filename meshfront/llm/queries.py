@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshfront.llm import mixing, url_filter
+from meshfront.llm import mixing, packing, simhash, url_filter
 from meshfront.llm.common import columns
 
 
@@ -17,6 +17,22 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(columns(_table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def public_tokenizer(name: str = "byte_bpe_50k") -> tuple[str, str, str]:
+    """The tokenizer file, the same vocabulary as ranks, and the pattern of the ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizer())
+
+
 #: The rules of the contract.
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
 
@@ -27,7 +43,9 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_simhash": op2_simhash,
     "op4_url_filter": op4_url_filter,
+    "op5_packing": op5_packing,
 }
 
 ORACLES = {

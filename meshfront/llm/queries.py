@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshfront.llm import mixing, packing, simhash, url_filter
+from meshfront.llm import mixing, packing, pii, simhash, toxicity, url_filter
 from meshfront.llm.common import columns
 
 
@@ -41,11 +41,26 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), BLOCK, ALLOW)
 
 
+#: A demonstration key; a deployment passes its own secret.
+PII_KEY = "pseudonym-demonstration-key"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(columns(_table(spark, sf_dir, "documents"), "doc_id", "text"), PII_KEY)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES = {

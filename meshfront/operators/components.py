@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     longest path. Loops and repeated edges are allowed; an edge with a null end is ignored; no edges give no rows.
     """
     a, b = F.col(left), F.col(right)
-    start = edges.where(a.isNotNull() & b.isNotNull()).select(a.alias("a"), b.alias("b"))
+    start = materialize(edges.where(a.isNotNull() & b.isNotNull()).select(a.alias("a"), b.alias("b")), "links")  # read twice below
     now = materialize(start.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(max_rounds):
         after = materialize(_star(_star(now, True), False), "edges")

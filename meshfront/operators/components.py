@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meshfront.plans.storage import materialize, release
@@ -23,6 +23,13 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The written edges with their count and digest, which are taken as they are written."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")), "edges")
+    return out, (seen.get["n"], seen.get["x"])
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every end of an edge, where component is the least node that can be reached.
 
@@ -31,17 +38,16 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     """
     a, b = F.col(left), F.col(right)
     start = materialize(edges.where(a.isNotNull() & b.isNotNull()).select(a.alias("a"), b.alias("b")), "links")  # read twice below
-    now = materialize(start.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(max_rounds):
-        after = materialize(_star(_star(now, True), False), "edges")
-        # A star forest is a fixed point: equal counts and equal digests end the loop.
-        before_sum, after_sum = (x.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first() for x in (now, after))
+    now, seen = _written(start.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    for _ in range(max_rounds if seen[0] else 0):
+        after, before = _written(_star(_star(now, True), False)), seen
         release(now)
-        now = after
-        if before_sum == after_sum:
+        now, seen = after
+        if seen == before:  # a forest of stars is a fixed point
             break
     else:
-        raise RuntimeError("components did not converge")
+        if seen[0]:
+            raise RuntimeError("components did not converge")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     loops = start.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     linked = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)

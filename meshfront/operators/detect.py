@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from contextlib import contextmanager
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshfront.functions.physics import mach_from_temperature_jump, norm
@@ -11,6 +14,8 @@ from meshfront.plans.storage import materialize, release
 
 #: The diagnostics in order.
 COUNTERS = ("center_step_limit", "upstream_missing_neighbor", "upstream_step_limit", "downstream_missing_neighbor", "downstream_step_limit", "candidate_exit", "thermodynamic_exit", "nonconverging_exit", "invalid_jump", "mach_rejected")
+#: Walks that a round may broadcast, about 200 bytes each, and the steps it then makes.
+FEW, HOPS = 100_000, 8
 _STATE = ("x", "y", "z", "temp", "rho", "divv", "candidate", "nx", "ny", "nz")
 
 
@@ -117,34 +122,65 @@ def long_paths(stepped: DataFrame, limit: int) -> int:
     return trees.groupBy("to").applyInPandas(replay, "failed long").agg(F.sum("failed").alias("n")).first().n
 
 
+def _wall(c: str, axis: int) -> str:
+    """``struct(t, face)`` where a ray meets the walls of its cell along one axis, or null."""
+    t = f"CASE WHEN u{c} > 1e-14D THEN ({c} + dx / 2 - p{c}) / u{c} WHEN u{c} < -1e-14D THEN ({c} - dx / 2 - p{c}) / u{c} END"
+    return f"CASE WHEN ({t}) > 1e-14D THEN struct(({t}) AS t, {2 * axis} + CAST(u{c} > 0 AS INT) AS face) END"
+
+
+#: One move of every walk under way, as _step() makes it. Those that have ended stand on the trap cell -1 and stay as they are. As text it costs one analysis a move.
+_HOP = f"""
+SELECT row_id, {", ".join(f"IF(reason IS NULL, q{c}, p{c}) AS p{c}" for c in "xyz")}, ux, uy, uz, IF(reason IS NULL, trial, end) AS end,
+ coalesce(reason, CASE WHEN trial IS NULL THEN 'missing' WHEN trial.divv >= 0 THEN 'nonconverging' WHEN (trial.temp - temp) * (trial.rho - rho) <= 0 THEN 'thermodynamic' WHEN NOT trial.candidate THEN 'candidate' END) AS reason
+FROM (SELECT *, array_min(transform(filter(faces, f -> f.face = hit.face), f -> struct({" + ".join(f"(f.{c} - q{c}) * (f.{c} - q{c})" for c in "xyz")} AS far, f.slot AS slot, f AS cell))).cell AS trial
+ FROM (SELECT *, {", ".join(f"p{c} + u{c} * (hit.t + greatest(dx, 1D) * 1e-10D) AS q{c}" for c in "xyz")}
+  FROM (SELECT {{hint}} f.*, s.x, s.y, s.z, s.dx, s.temp, s.rho, s.faces, array_min(array({", ".join(_wall(c, a) for a, c in enumerate("xyz"))})) AS hit
+   FROM {{{{front}}}} f JOIN {{{{state}}}} s ON s.at = IF(f.reason IS NULL, f.end.nbr_id, -1L))))"""
+
+
+def _hop(front: DataFrame, state: DataFrame, few: bool) -> DataFrame:
+    return front.sparkSession.sql(_HOP.format(hint="/*+ BROADCAST(f) */" if few else ""), front=front, state=state)
+
+
+@contextmanager
+def _plain_planning(spark: SparkSession):
+    """Without inferred constraints: over the moves of a walk they take the optimizer far longer than the moves take to run, and no filter can use them."""
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def walk(probe: DataFrame, starts: DataFrame, way: int, max_steps: int) -> DataFrame:
     """``(row_id, reason, end)`` of every walk from ``starts`` along ``way`` times its normal; ``end`` is the first cell outside the zone, or null.
 
-    A round joins the walks still under way with the probes and is written to the shared folder. Walks only stand on candidates; they thin out fast.
+    A round joins the walks still under way with the probes and is written to the shared folder; its count comes with the write. Walks only stand on candidates, and they thin out
+    fast. Once at most FEW are left, a round makes HOPS steps, each of which broadcasts the few walks, so a long tail costs few jobs.
     """
-    front = starts.select("row_id", F.col("row_id").alias("at"), *(F.col(c).alias(f"p{c}") for c in "xyz"), *((F.col(f"n{c}") * way).alias(f"u{c}") for c in "xyz"))
-    state = probe.drop("candidate", "divv", "nx", "ny", "nz").withColumnRenamed("row_id", "at")
-    ended = []
-    for _ in range(max_steps):
-        df = _step(front.join(state, "at"), [F.col(f"p{c}") for c in "xyz"], [F.col(f"u{c}") for c in "xyz"], "trial")
-        t = F.col("trial")
-        reason = (
-            F.when(t.isNull(), "missing")
-            .when(t["divv"] >= 0, "nonconverging")
-            .when((t["temp"] - F.col("temp")) * (t["rho"] - F.col("rho")) <= 0, "thermodynamic")
-            .when(~t["candidate"], "candidate")
-        )
-        df = materialize(df.select("row_id", reason.alias("reason"), t.alias("end"), *(f"trialp{c}" for c in "xyz"), *(f"u{c}" for c in "xyz")), "walk")
-        ended.append(df.where("reason IS NOT NULL").select("row_id", "reason", "end"))
-        front = df.where("reason IS NULL").select("row_id", F.col("end.nbr_id").alias("at"), *(F.col(f"trialp{c}").alias(f"p{c}") for c in "xyz"), *(f"u{c}" for c in "xyz"))
-        if not front.limit(1).count():
-            break
-    else:
-        ended.append(front.select("row_id", F.lit("step_limit").alias("reason"), F.lit(None).cast(probe.schema["faces"].dataType.elementType).alias("end")))
-    out = ended[0]
-    for more in ended[1:]:
-        out = out.unionByName(more)
-    return out
+    spark, kind = probe.sparkSession, probe.schema["faces"].dataType.elementType
+    here = F.struct(*((F.col("row_id") if f.name == "nbr_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind.fields))
+    front = starts.select("row_id", *(F.col(c).alias(f"p{c}") for c in "xyz"), *((F.col(f"n{c}") * way).alias(f"u{c}") for c in "xyz"), here.alias("end"), F.lit(None).cast("string").alias("reason"))
+    state = probe.select(F.col("row_id").alias("at"), "x", "y", "z", "dx", "temp", "rho", "faces")
+    trap = spark.range(1).select(*(F.lit(-1).cast("long").alias(f.name) if f.name == "at" else F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema.fields))
+    ended, left, done = [], None, 0
+    with _plain_planning(spark):
+        while done < max_steps and left != 0:
+            few = left is not None and left <= FEW
+            hops = min(HOPS, max_steps - done) if few else 1
+            df, cells = front, state.unionAll(trap) if few else state
+            for _ in range(hops):
+                df = _hop(df, cells, few)
+            seen = Observation()
+            df = materialize(df.observe(seen, F.count_if(F.col("reason").isNull()).alias("left")), "walk")
+            left, done = seen.get["left"], done + hops
+            ended.append(df.where("reason IS NOT NULL").select("row_id", "reason", "end"))
+            front = df.where("reason IS NULL")
+    if left != 0:
+        ended.append(front.select("row_id", F.lit("step_limit").alias("reason"), F.lit(None).cast(kind).alias("end")))
+    return reduce(DataFrame.unionAll, ended)
 
 
 def jumps(centers_: DataFrame, up: DataFrame, down: DataFrame, settings: Settings) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from meshfront.functions.physics import KPC_IN_KM, norm
 from meshfront.operators.components import connected_components
@@ -51,7 +52,7 @@ def component_numbers(labels: DataFrame) -> DataFrame:
     return sequential(labels.select("root").distinct(), [F.col("root")], "component_id")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _principal(cov: pd.Series) -> pd.Series:
     """First eigenvector of the covariance sums xx, xy, xz, yy, yz, zz: a row for each component."""
     import numpy as np

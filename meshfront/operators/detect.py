@@ -158,18 +158,19 @@ def walk(probe: DataFrame, starts: DataFrame, way: int, max_steps: int) -> DataF
     """``(row_id, reason, end)`` of every walk from ``starts`` along ``way`` times its normal; ``end`` is the first cell outside the zone, or null.
 
     A round joins the walks still under way with the probes and is written to the shared folder; its count comes with the write. Walks only stand on candidates, and they thin out
-    fast. Once at most FEW are left, a round makes HOPS steps, each of which broadcasts the few walks, so a long tail costs few jobs.
+    fast. Once at most FEW are left, a round makes twice the steps of the last, up to HOPS, each of which broadcasts the few walks, so a long tail costs few jobs.
     """
     spark, kind = probe.sparkSession, probe.schema["faces"].dataType.elementType
     here = F.struct(*((F.col("row_id") if f.name == "nbr_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind.fields))
     front = starts.select("row_id", *(F.col(c).alias(f"p{c}") for c in "xyz"), *((F.col(f"n{c}") * way).alias(f"u{c}") for c in "xyz"), here.alias("end"), F.lit(None).cast("string").alias("reason"))
     state = probe.select(F.col("row_id").alias("at"), "x", "y", "z", "dx", "temp", "rho", "faces")
     trap = spark.range(1).select(*(F.lit(-1).cast("long").alias(f.name) if f.name == "at" else F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema.fields))
-    ended, left, done = [], None, 0
+    ended, left, done, ahead = [], None, 0, 1
     with _plain_planning(spark):
         while done < max_steps and left != 0:
             few = left is not None and left <= FEW
-            hops = min(HOPS, max_steps - done) if few else 1
+            hops = min(ahead, max_steps - done) if few else 1
+            ahead = min(2 * ahead, HOPS) if few else 1
             df, cells = front, state.unionAll(trap) if few else state
             for _ in range(hops):
                 df = _hop(df, cells, few)

@@ -55,7 +55,8 @@ def validate(cells: DataFrame, settings: Settings) -> None:
         F.count_if(~_bad(level) & (level != F.floor(level))).alias("level_whole"),
         *(F.count_if(kept & _bad(F.col(f))).alias(f"{f}_finite") for f in FIELDS),
         F.count_if(kept & (F.col("dx") <= 0)).alias("dx_positive"),
-        F.min(F.when(kept, F.col("dx"))).alias("finest"),
+        # Widths in use are few, one a refinement level; in thousandths of an octave they are few whatever they are.
+        F.collect_set(F.when(kept & (F.col("dx") > 0) & ~_bad(F.col("dx")), F.rint(F.log2("dx") * 1000))).alias("octaves"),
     ).first()
     if faults.level_finite or faults.level_whole:
         raise ValueError("level must be finite" if faults.level_finite else "level must hold whole numbers")
@@ -63,11 +64,8 @@ def validate(cells: DataFrame, settings: Settings) -> None:
         raise ValueError(f"{found[0]} must be finite in all retained cells")
     if faults.dx_positive:
         raise ValueError("dx must be positive")
-    if faults.finest is None:
-        return
-    # Widths in use are few (one a refinement level): neighbours in order may differ by one refinement.
-    octaves = sorted(r.o for r in cells.where(kept).select(F.rint(F.log2(F.col("dx") / faults.finest)).cast("int").alias("o")).distinct().collect())
-    if any(b - a > 1 for a, b in zip(octaves, octaves[1:], strict=False)):
+    widths = sorted(faults.octaves)
+    if any(b - a > 1001 for a, b in zip(widths, widths[1:], strict=False)):
         raise ValueError("cell widths may differ by at most one refinement jump")
 
 

@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 from meshfront.llm import mixing, packing, pii, simhash, toxicity
 from meshfront.llm.queries import PII_KEY, public_tokenizer
+from meshfront.plans.ship import ship
 from meshfront.plans.storage import fresh_dir
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the cut; the classifier learns from the labels of documents that aren't held out."""
+    ship(spark)
     return toxicity.reject_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
+    ship(spark)
     return simhash.keep_first(docs)
 
 
@@ -36,6 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids and their places in sequences."""
+    ship(spark)
     return packing.pack(docs, public_tokenizer())
 
 

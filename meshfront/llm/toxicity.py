@@ -65,7 +65,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     if not positive:
         return Model(weights, -50.0)
     # Only features that occur in several positives and more often there than at large can speak for the class.
-    freq_p, freq_u = (np.bincount(np.concatenate(x) if x else np.zeros(0, np.int64), minlength=SIZE) for x in (positive, unlabelled))
+    freq_p, freq_u = np.zeros(SIZE), np.zeros(SIZE)
+    for freq, part in ((freq_p, positive), (freq_u, unlabelled)):
+        for x in part:
+            freq[x] += 1  # a text has each of its features once
     lift = ((freq_p + 0.5) / (len(positive) + 1)) / ((freq_u + 0.5) / (len(unlabelled) + 1))
     useful = (freq_p >= 3) & (lift > 2)
     rows = [[x[useful[x]] for x in part] for part in (positive, unlabelled)]
@@ -134,8 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     order = F.xxhash64("id", F.lit("toxicity"))
     picked = known.where("label = 1").orderBy(order, "id").limit(max_positive).unionAll(known.where("label = 0").orderBy(order, "id").limit(max_unlabelled))
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), "id")  # as many ids as the two bounds allow
-    rows = _features_frame(texts).collect()
-    positive, others = ([np.frombuffer(r.features, np.int32).astype(np.int64) for r in rows if r.label == k] for k in (1, 0))
+    found = _features_frame(texts).toArrow()
+    positive, others = ([np.frombuffer(f.as_py(), np.int32) for k, f in zip(found.column(0).to_pylist(), found.column(1), strict=True) if k == wanted] for wanted in (1, 0))
+    del found
     if not positive:
         return train([], [], 0.0)
     # The unlabelled part is the mix as it is: toxic texts are in it at the rate of the prior.

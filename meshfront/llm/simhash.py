@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from meshfront.operators.components import connected_components
 from meshfront.plans.storage import materialize, release
@@ -188,12 +189,17 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return filed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
 
 
+def _rooted(own: DataFrame) -> DataFrame:
+    """``own`` (a row for each distinct fp) with the least fingerprint of its component, ``root``."""
+    parts = connected_components(fingerprint_links(own))
+    return own.join(parts, own.fp == parts.node, "left").select(*own.columns, F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``; component_id is the smallest id of its component."""
     prints = materialize(fingerprints(docs, id_col, text_col), "prints")
     own = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    parts = connected_components(fingerprint_links(own))
-    rooted = own.join(parts, own.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = _rooted(own)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = materialize(rooted.join(named, "root").select("fp", "component_id"), "named")
     release(own)
@@ -201,8 +207,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: that of the smallest id. Of rows that repeat this id one stays; rows without an id stay only in a component without ids, one of them."""
-    found = near_duplicates(docs, id_col, text_col)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first"), F.col("fp").alias("_fp")).distinct()
-    out = docs.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col("_first")), "left_semi")
-    return out.dropDuplicates([id_col])
+    """One row of each component stays, with all its columns: that of the smallest id, a row without an id only if none has one, and one of rows that repeat the id.
+
+    Rows are written once with their fingerprint and a number; the rows to stay are then found among numbers, so texts are shuffled once.
+    """
+    fp, row = (next(n for n in (f"_{'_' * k}{name}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("fp", "row"))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t.as_py()) for t in batch.column(at)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, fp])
+
+    schema = StructType([*docs.schema.fields, StructField(fp, LongType())])
+    kept = materialize(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "printed")
+    order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row"))
+    own = materialize(kept.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("least")), "distinct")
+    first = _rooted(own).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
+    # A merge join at every size: how much is shuffled follows the input, and adaptive execution can still split it.
+    return kept.join(materialize(first, "first").hint("merge"), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -163,6 +163,8 @@ def test_near_duplicates(documents):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_first(docs.limit(0)).count() == 0
+    odd = documents([(None, base[1]), (None, base[2]), (None, base[1]), (4, base[3]), (4, base[4])]).withColumn("_fp", F.lit("clash")).withColumn("_row", F.lit("clash"))
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_first(odd).na.fill(-1).collect()) == sorted([(-1, base[1]), (-1, base[2]), (4, base[3]), (4, base[4])])
 
 
 # packing

@@ -6,7 +6,8 @@ memorizing the positives. Features are the set of lower-case words and of their
 the logistic function of the mean-free sum of the weights of its distinct words, so one pass with a per-word cache scores whole texts.
 
 Labels outside the held-out part teach, as given by ``learn``: MAX_POSITIVE toxic ones and MAX_UNLABELLED others, with text, at most, the first by hash. The class prior is the
-toxic share among those labels. After training, the bias is set on the labelled training rows so that a score of 0.7 is the best cut.
+toxic share among all labels outside the held-out part. After training, the bias is set on the labelled training rows so that a score of 0.7 is the best cut; each
+row counts by the inverse of the rate at which its class was drawn, so the bounds don't change the mix on which the cut is placed.
 
 Defined cases: null and empty texts, and those without a letter, score as the empty set of features. Repeated rows score alike. Without any toxic label every score is 0. An
 empty table gives no rows. Null ids are scored and never held out. Only id and text are read; other columns are dropped or, in reject_toxic(), kept.
@@ -102,14 +103,16 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return Model(weights, bias)
 
 
-def place_cut(model: Model, rows: list[np.ndarray], toxic: np.ndarray, cut: float = CUT) -> Model:
-    """The model with its bias moved so that ``cut`` is where labelled training rows are parted with the highest F1, in the middle of the gap there."""
+def place_cut(model: Model, rows: list[np.ndarray], toxic: np.ndarray, cut: float = CUT, other_weight: float = 1.0) -> Model:
+    """The model with its bias moved so that ``cut`` is where labelled training rows are parted with the highest F1, in the middle of the gap there.
+
+    A row that isn't toxic stands for ``other_weight`` times as many as a toxic one, which undoes unlike sampling of the classes."""
     if not toxic.any():
         return model
     z = np.array([model.margin(x) for x in rows])
     order = np.argsort(-z, kind="stable")
     ranked, hits = z[order], np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + toxic.sum())
+    f1 = 2 * hits / (hits + other_weight * (np.arange(1, len(z) + 1) - hits) + toxic.sum())
     f1[:-1][ranked[:-1] == ranked[1:]] = -1  # equal margins can't be parted
     k = int(np.argmax(f1))
     edge = (ranked[k] + (ranked[k + 1] if k + 1 < len(ranked) else ranked[k] - 1)) / 2
@@ -145,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     # The unlabelled part is the mix as it is: toxic texts are in it at the rate of the prior.
     hidden = positive[: max(1, round(share.p / max(1 - share.p, 0.01) * len(others)))]
     model = train(positive, others + hidden, share.p)
-    return place_cut(model, positive + others, np.r_[np.ones(len(positive), bool), np.zeros(len(others), bool)])
+    toxic = round(share.p * share.n)
+    rates = [min(1.0, most / max(n, 1)) for most, n in ((max_positive, toxic), (max_unlabelled, share.n - toxic))]
+    return place_cut(model, positive + others, np.r_[np.ones(len(positive), bool), np.zeros(len(others), bool)], other_weight=rates[0] / rates[1] if rates[1] else 1.0)
 
 
 def _scored(model: Model):

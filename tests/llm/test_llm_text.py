@@ -325,6 +325,28 @@ def test_toxicity_without_labels(spark, documents):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none)).count() == 0
 
 
+def test_toxicity_cut_keeps_to_the_mix_under_bounds(spark, documents, monkeypatch):
+    """A positive-heavy sample must place the cut where the whole table's mix does."""
+    rng = np.random.default_rng(15)
+    model = toxicity.Model(np.eye(1, toxicity.SIZE)[0], 0.0)
+    z = np.r_[rng.normal(1.5, 1, 1000), rng.normal(-1.5, 1, 9000)]
+    toxic = np.arange(10_000) < 1000
+    monkeypatch.setattr(toxicity.Model, "margin", lambda self, x: float(x))
+    whole = toxicity.place_cut(model, list(z), toxic).bias
+    part = np.r_[0:1000, 1000:4000]  # every positive, a third of the others: 25% toxic instead of 10%
+    assert abs(toxicity.place_cut(model, list(z[part]), toxic[part], other_weight=3.0).bias - whole) < 0.25
+    monkeypatch.undo()
+    rows, labels, _ = toxic_corpus(600)
+    docs, known = documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen, place = [], toxicity.place_cut
+    monkeypatch.setattr(toxicity, "place_cut", lambda m, r, t, **how: seen.append((t, how["other_weight"])) or place(m, r, t, **how))
+    toxicity.fit(docs, known)
+    toxicity.fit(docs, known, max_positive=20, max_unlabelled=60)
+    (all_toxic, one), (few_toxic, weight) = seen
+    assert one == 1 and few_toxic.sum() == 20 and len(few_toxic) == 80
+    assert 20 / (20 + 60 * weight) == pytest.approx(all_toxic.mean())
+
+
 # language
 
 

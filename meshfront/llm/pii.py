@@ -6,6 +6,9 @@ hash of one to the other, which permutes the a * b values of the kind whatever t
 documents, different values different ones, and the result has the format of the input: separators stay, a card number keeps a right check digit,
 a date stays a date. Addresses of e-mail have no such domain; they get a keyed digest, which links equal ones too.
 
+Card numbers are sought in the whole run of digit groups around them (4-4-4-4 and, last in a run, 4-6-5), so a year or another number beside one doesn't hide it.
+A date or social security number that doesn't validate still takes its text; what overlaps one isn't sought.
+
 Other texts stay as they are. Defined cases: null gives null and no findings, an empty text is unchanged; rows are worked on one by one, so
 repeated rows, ties and empty tables need no rule. Columns besides the text are kept whatever their names. Dates outside 1900-2099 are left.
 """
@@ -24,10 +27,12 @@ PATTERNS = {
     "ipv4": r"(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\p{L}\p{N}])|\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}(?![\p{L}\p{N}])|[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\p{L}\p{N}-])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "card": r"(?:[0-9]{4}[ -]){3}[0-9]{4}(?![\p{L}\p{N}])|[0-9]{13,19}(?![\p{L}\p{N}])",
+    "card": r"[0-9]{4}(?:[ -][0-9]{4})*[ -][0-9]{6}[ -][0-9]{5}(?![\p{L}\p{N}])|[0-9]{4}(?:[ -][0-9]{4}){3,}(?![\p{L}\p{N}])|[0-9]{13,19}(?![\p{L}\p{N}])",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\p{L}\p{N}-])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![\p{L}\p{N}/])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![\p{L}\p{N}])",
 }
 CANDIDATE = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
+#: A card number at the start of a card candidate, which is a run of groups of four digits.
+CARD = r"^(?:(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|[0-9]{13,19}$)"
 #: What any candidate has; texts without it are passed on after one quick search.
 HINT = r"@|[0-9][0-9 ().+/-]{5,}[0-9]"
 
@@ -121,6 +126,32 @@ def _card(m: Column, key: str) -> Column:
     return F.transform(F.array(checked), lambda d: _refill(m, d))[0]
 
 
+def _cards(m: Column) -> Column:
+    """``(at, text)`` of each valid card number in a run of digit groups, from the left; of two that overlap the first counts."""
+
+    def step(state: Column, i: Column) -> Column:
+        at = i * 5 + 1
+        starts = (at >= state["next"]) & ((i == 0) | ~F.substring(m, i * 5, F.lit(1)).rlike("[0-9]"))
+        piece = F.when(starts, F.nullif(F.regexp_extract(F.substring(m, at, F.lit(20)), CARD, 0), F.lit("")))
+        valid = F.transform(F.array(piece), lambda p: F.when(p.isNotNull(), F.when(_luhn(_digits(p)) == 0, p)))
+        more = lambda p: F.struct((at + F.length(p)).alias("next"), F.concat(state["cards"], F.array(F.struct(at.alias("at"), p.alias("text")))).alias("cards"))
+        return F.transform(valid, lambda p: F.when(p.isNull(), state).otherwise(more(p)))[0]
+
+    none = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,text:string>>").alias("cards"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.length(m) / 5).cast("int")), none, step)["cards"]
+
+
+def _card_run(m: Column, key: str) -> Column:
+    """The run with its card numbers replaced and all else as it was."""
+
+    def joined(cards: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(cards, i)["at"] + F.length(F.get(cards, i)["text"]), F.lit(1))
+        parts = F.transform(cards, lambda c, i: F.concat(F.substring(m, end(i - 1), c["at"] - end(i - 1)), _card(c["text"], key)))
+        return F.concat(F.array_join(parts, ""), F.substring(m, end(F.size(cards) - 1), F.length(m)))
+
+    return F.transform(F.array(_cards(m)), joined)[0]
+
+
 def _day(m: Column, layout: str) -> Column:
     day = F.try_to_timestamp(m, F.lit(layout)).cast("date")
     return F.datediff(day, F.lit("1900-01-01").cast("date"))
@@ -147,26 +178,26 @@ def _kind(m: Column) -> Column:
         .when(like["ipv4"], F.when(octets, "ipv4"))
         .when(like["ssn"], F.when(ssn, "ssn"))
         .when(like["date"], F.when(day.between(0, _DAYS[0] * _DAYS[1] - 1), "date"))
-        .when(like["card"], F.when(_luhn(_digits(m)) == 0, "card"))
+        .when(like["card"], F.when(F.size(_cards(m)) > 0, "card"))
         .when(like["phone"], "phone")
     )
 
 
 def _replaced(m: Column, key: str) -> Column:
-    """``struct(kind, text)`` of a candidate."""
-    makers = {"email": _email, "phone": _phone, "ipv4": _ipv4, "ssn": _ssn, "card": _card, "date": _date}
+    """``struct(kind, n, text)`` of a candidate; n is how many of the kind it has."""
+    makers = {"email": _email, "phone": _phone, "ipv4": _ipv4, "ssn": _ssn, "card": _card_run, "date": _date}
 
     def of(kind: Column) -> Column:
         text = m
         for k, make in makers.items():
             text = F.when(kind == k, make(m, key)).otherwise(text)
-        return F.struct(kind.alias("kind"), text.alias("text"))
+        return F.struct(kind.alias("kind"), F.when(kind == "card", F.size(_cards(m))).otherwise(1).alias("n"), text.alias("text"))
 
     return F.transform(F.array(_kind(m)), of)[0]
 
 
 def _count(kind: str) -> Column:
-    return F.size(F.filter("_pii_new", lambda x: x["kind"] == kind))
+    return F.aggregate("_pii_new", F.lit(0), lambda n, x: n + F.when(x["kind"] == kind, x["n"]).otherwise(0))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:

@@ -259,6 +259,26 @@ def test_what_does_not_validate_stays(documents):
     assert run_pii(documents, *texts) == texts
 
 
+def test_cards_within_runs_of_digit_groups(documents):
+    texts = [
+        "exp 2027 4111 1111 1111 1111.", "3782 822463 10005", "1111 2222 3333 3782-822463-10005", "4111 1111 1111 1111 5500 0000 0000 0004", "2027 4111-1111-1111-1111 2028 5500 0000 0000 0004 2029",
+        "2020 2021 2022 2023 2024", "3782 822463 10006", "4111 1111 1111 1111 1234x", "1234567890123456789",
+    ]
+    rows = pii.pseudonymize(documents(list(enumerate(texts))), "k").orderBy("doc_id").collect()
+    out = [r.text for r in rows]
+    assert [r.n_card for r in rows] == [1, 1, 1, 2, 2, 0, 0, 1, 0]
+    for old, new in zip(texts, out, strict=True):
+        assert re.sub("[0-9]", "0", old) == re.sub("[0-9]", "0", new)
+    plain = lambda t: re.sub("[^0-9]", "", t)
+    card, amex = plain(out[0])[4:], plain(out[1])
+    assert luhn(card) and luhn(amex) and card != "4111111111111111" and amex != "378282246310005"
+    assert plain(out[0])[:4] == "2027" and plain(out[2]) == "111122223333" + amex
+    other = plain(out[3])[16:]
+    assert plain(out[3])[:16] == card and luhn(other) and other != "5500000000000004"
+    assert plain(out[4]) == "2027" + card + "2028" + other + "2029" and plain(out[7]) == card + "1234"
+    assert out[5:7] == texts[5:7] and out[8] == texts[8]
+
+
 def test_pseudonyms_are_a_permutation(spark):
     """Over a whole small domain every value comes out once."""
     df = spark.range(60).select((F.col("id") / 6).cast("long").alias("l"), (F.col("id") % 6).alias("r"))

@@ -345,26 +345,84 @@ def test_toxicity_without_labels(spark, documents):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none)).count() == 0
 
 
-def test_toxicity_cut_keeps_to_the_mix_under_bounds(spark, documents, monkeypatch):
-    """A positive-heavy sample must place the cut where the whole table's mix does."""
-    rng = np.random.default_rng(15)
-    model = toxicity.Model(np.eye(1, toxicity.SIZE)[0], 0.0)
-    z = np.r_[rng.normal(1.5, 1, 1000), rng.normal(-1.5, 1, 9000)]
-    toxic = np.arange(10_000) < 1000
-    monkeypatch.setattr(toxicity.Model, "margin", lambda self, x: float(x))
-    whole = toxicity.place_cut(model, list(z), toxic).bias
-    part = np.r_[0:1000, 1000:4000]  # every positive, a third of the others: 25% toxic instead of 10%
-    assert abs(toxicity.place_cut(model, list(z[part]), toxic[part], other_weight=3.0).bias - whole) < 0.25
-    monkeypatch.undo()
+def test_toxicity_learns_from_unlabelled_texts_alone_beside_positives(spark, documents):
+    """Unlabelled texts change the model; which documents have a label 0 doesn't, as long as the share stays."""
     rows, labels, _ = toxic_corpus(600)
+    table = lambda x: spark.createDataFrame(x, "doc_id long, quality int, toxic int")
+    named = {i for i, _, _ in labels}
+    whole = toxicity.fit(documents(rows), table(labels))
+    fewer = toxicity.fit(documents([r for r in rows if r[0] in named]), table(labels))
+    assert not np.array_equal(whole.weights, fewer.weights)
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    positive = {i for i, _, t in labels if t}
+    others = [i for i, *_ in rows if not out(i) and i not in positive]
+    moved = [(i, q, t) for i, q, t in labels if t or out(i)]
+    moved += [(i, 0, 0) for i in random.Random(3).sample(others, sum(1 for i, _, t in labels if not t and not out(i)))]
+    same_share = toxicity.fit(documents(rows), table(moved))
+    assert np.array_equal(whole.weights, same_share.weights) and whole.bias == same_share.bias
+    only = toxicity.fit(documents(rows), table([x for x in labels if x[2]]), prior=0.15)
+    got = toxicity.score(documents(rows), only).where("predicted = 1").count()
+    assert 60 <= got <= 120  # 15% of 600
+
+
+def test_non_negative_risk_by_hand():
+    rng = np.random.default_rng(15)
+    for shift, prior in ((0.0, 0.3), (1.0, 0.6), (4.0, 0.5), (-3.0, 0.2)):
+        z_p, z_u = rng.normal(shift, 1, 7), rng.normal(-shift, 1, 11)
+        loss = lambda z: np.log1p(np.exp(-z))
+        negative = lambda p, u: loss(-u).mean() - prior * loss(-p).mean()
+        whole = lambda p, u: prior * loss(p).mean() + negative(p, u)
+        value, g_p, g_u = toxicity.risk(z_p, z_u, prior)
+        below = negative(z_p, z_u) < 0
+        assert value == pytest.approx(prior * loss(z_p).mean() + max(0, negative(z_p, z_u)))
+        of = (lambda p, u: -negative(p, u)) if below else whole
+        for k in range(18):
+            e = np.eye(18)[k] * 1e-6
+            slope = (of(z_p + e[:7], z_u + e[7:]) - of(z_p - e[:7], z_u - e[7:])) / 2e-6
+            assert slope == pytest.approx([*g_p, *g_u][k], abs=1e-6)
+    assert any(toxicity.risk(rng.normal(9, 1, 5), rng.normal(-9, 1, 5), 0.5)[1] > 0)  # turned
+
+
+def test_best_cut_by_hand():
+    rng = np.random.default_rng(16)
+    z_p, z_u, p = rng.normal(2, 1, 300), np.r_[rng.normal(2, 1, 100), rng.normal(-2, 1, 900)], 0.1
+    got = toxicity.best_cut(z_p, z_u, p)
+
+    def f1(cut):
+        r, q = (z_p >= cut).mean(), (z_u >= cut).mean()
+        return 2 * p * r / (p + max(q, p * r))
+
+    assert f1(got) == pytest.approx(max(f1(c) for c in z_p))
+
+
+def test_toxicity_scores_by_hand(spark, documents):
+    """The query's scores are those of the model's weights over a set of features made the plain way, and held-out texts are told apart."""
+    rows, labels, truth = toxic_corpus(2400)
     docs, known = documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    seen, place = [], toxicity.place_cut
-    monkeypatch.setattr(toxicity, "place_cut", lambda m, r, t, **how: seen.append((t, how["other_weight"])) or place(m, r, t, **how))
-    toxicity.fit(docs, known)
-    toxicity.fit(docs, known, max_positive=20, max_unlabelled=60)
-    (all_toxic, one), (few_toxic, weight) = seen
-    assert one == 1 and few_toxic.sum() == 20 and len(few_toxic) == 80
-    assert 20 / (20 + 60 * weight) == pytest.approx(all_toxic.mean())
+    model = toxicity.fit(docs, known)
+    crc = lambda s: zlib.crc32(s.encode()) % toxicity.SIZE
+    held, right, caught = [], 0, 0
+    for r in toxicity.score(docs, model).collect():
+        own = {f for w in re.findall(r"[^\W\d_]+", rows[r.doc_id][1].lower()) for f in [crc("=" + w), *(crc(f"{n}{w[:n]}") for n in toxicity.STEMS if len(w) >= n)]}
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(sum(model.weights[f] for f in own) + model.bias))), abs=1e-9)
+        if r.held_out:
+            held.append(truth[r.doc_id])
+            right += r.predicted and truth[r.doc_id]
+            caught += r.predicted
+    assert right / caught >= 0.9 and right / sum(held) >= 0.9
+
+
+def test_toxicity_bounds_hold_with_one_id_on_many_rows(spark, documents):
+    rows, labels, _ = toxic_corpus(300)
+    docs = documents([*rows, *((4, f"copy {i}") for i in range(2000))])
+    known = spark.createDataFrame([*labels, (4, 0, 1)], "doc_id long, quality int, toxic int")
+    seen, fitted = [], toxicity.fitted
+    toxicity.fitted = lambda *a: seen.append(a) or fitted(*a)
+    try:
+        toxicity.fit(docs, known, max_positive=20, max_unlabelled=50)
+    finally:
+        toxicity.fitted = fitted
+    assert len(seen[0][0]) == 20 and len(seen[0][1]) == 50
 
 
 # language

@@ -6,7 +6,11 @@ bin that fits is the lowest set bit at or above the piece's length. When no open
 about BUCKET_TOKENS tokens, of which what stays open at its end is a negligible part. Text is tokenized once, and only pieces' lengths are shuffled.
 
 Defined cases: a null or empty text is the end token alone. Repeated rows and repeated ids are documents each for themselves. An empty table gives no
-rows. Only id and text are read. Long texts are tokenized in one go: their ids depend on all of the text.
+rows. Only id and text are read, whatever the other columns' names. Long texts are tokenized in one go: their ids depend on all of the text. Pieces of equal
+length are alike to the bins, and which comes first follows the hash.
+
+Ids are those of ``tokenizers``. Plain texts may take a second library with the same vocabulary, which is faster; texts with very long runs of blanks, which its regular
+expressions can't hold, and any text that it fails on, go to ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ BATCH_CHARS = 1 << 20
 #: Texts of these characters only are split into words alike by every version of the Unicode tables and by both tokenizer libraries.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*")
 
+#: A run of blanks that the faster library's pattern may not get through.
+_LONG_RUN = re.compile(r"\s{5000}")
+
 _PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -62,8 +69,11 @@ def token_ids(tokenizer: str, ranks: str | None = None, pattern: str | None = No
     def ids(texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         for k, t in enumerate(texts):
-            if quick is not None and _PLAIN.fullmatch(t):
-                out[k] = quick.encode_to_numpy(t, disallowed_special=())
+            if quick is not None and _PLAIN.fullmatch(t) and not _LONG_RUN.search(t):
+                try:
+                    out[k] = quick.encode_to_numpy(t, disallowed_special=())
+                except Exception:  # whatever it can't do, the other can
+                    out[k] = None
         rest = [k for k, x in enumerate(out) if x is None]
         for k, e in zip(rest, full.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, np.uint32)
@@ -160,7 +170,8 @@ def pack(docs: DataFrame, tokenizer: tuple, id_col: str = "doc_id", text_col: st
     loose = pieces.where(F.col("length") < capacity)
     total = loose.agg(F.sum("length").alias("n")).first().n or 0
     buckets = 1 + total // BUCKET_TOKENS
-    order = F.xxhash64("doc_id", "ids_crc32", "piece")
+    # The number of the written row parts equal rows, so that a row repeated very often is spread over all tasks.
+    order = F.xxhash64("doc_id", "ids_crc32", "piece", F.monotonically_increasing_id())
     kind = pieces.schema["doc_id"].dataType.simpleString()
     packed = (
         loose.withColumn("_order", order)

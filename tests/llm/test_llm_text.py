@@ -224,6 +224,31 @@ def test_packing(documents):
     assert packing.pack(docs.limit(0), public_tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("t", [" " * 2_000_000, "\n" * 2_000_000 + "x", "a" * 1_000_000, "\t \n" * 700_000, " " * 4999 + "x" + "\n" * 4999, "x" + " " * 6000 + "y", "a  b\n\n c \t" * 3000])
+def test_ids_of_long_runs(t):
+    quick, full = (packing.token_ids(*args)([t])[0] for args in (public_tokenizer(), public_tokenizer()[:1]))
+    assert np.array_equal(quick, full)
+
+
+def test_a_text_that_the_faster_library_fails_on(monkeypatch):
+    import tiktoken
+
+    monkeypatch.setattr(tiktoken.Encoding, "encode_to_numpy", lambda *a, **k: (_ for _ in ()).throw(ValueError("stack")))
+    quick, full = (packing.token_ids(*args)(["some text", "", "more"]) for args in (public_tokenizer(), public_tokenizer()[:1]))
+    assert all(np.array_equal(a, b) for a, b in zip(quick, full, strict=True))
+
+
+def test_packing_long_runs_and_rows_repeated_often(documents):
+    docs = documents([(1, " " * 1_100_000 + "x"), (2, "\n" * 1_100_000), (3, "b" * 500_000), *[(7, "a row of its own kind")] * 3000])
+    got = packing.pack(docs, public_tokenizer()).collect()
+    n = packing.token_ids(public_tokenizer()[0])([" " * 1_100_000 + "x", "\n" * 1_100_000, "b" * 500_000, "a row of its own kind"])
+    assert sum(r.length for r in got) == sum(len(x) + 1 for x in n[:3]) + 3000 * (len(n[3]) + 1)
+    full = {}
+    for r in got:
+        full[r.sequence_id] = full.get(r.sequence_id, 0) + r.length
+    assert max(full.values()) <= 1024 and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+
+
 # personal data
 
 

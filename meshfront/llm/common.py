@@ -23,3 +23,11 @@ def crc_of_id(doc_id: Column) -> Column:
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, so that no other column of ``df`` can clash with a working name."""
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """A name that no column has, whatever its case."""
+    own, name = {c.lower() for c in taken}, f"_{name}"
+    while name.lower() in own:
+        name = f"_{name}"
+    return name

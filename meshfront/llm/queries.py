@@ -87,15 +87,23 @@ QUERIES = {
 
 ORACLES = {
     "op1_mixing": """
-WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS skey, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents),
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce('0' || source, '1') AS skey, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')) AS key FROM documents),
 s AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY skey),
-w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY skey COLLATE "binary") - 1) % 3 + 1 AS INT)] AS w, source_size * 3 AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s),
-a AS (SELECT *, coalesce(CAST(sum(cap) OVER o AS BIGINT), 0) AS ahead, CAST(sum(w) OVER () AS BIGINT) - coalesce(CAST(sum(w) OVER o AS BIGINT), 0) AS rest FROM w WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS INT)] AS w, source_size * 3 AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s),
+a AS (SELECT *, coalesce(CAST(sum(cap) OVER o AS BIGINT), 0) AS ahead, CAST(sum(w) OVER () AS BIGINT) - coalesce(CAST(sum(w) OVER o AS BIGINT), 0) AS rest
+  FROM w WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, CAST(cap AS DOUBLE) / w <= CAST(total - ahead AS DOUBLE) / rest AS is_full FROM a),
-t AS (SELECT skey, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE CAST(w * (total - coalesce(CAST(sum(cap) FILTER (is_full) OVER () AS BIGINT), 0)) AS DOUBLE) / CAST(sum(w) FILTER (NOT is_full) OVER () AS BIGINT) END AS target FROM f),
-c AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN t USING (skey))
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
- CAST(greatest(0, least(size, floor(target + 0.5) - start)) + greatest(0, least(size, floor(target + 0.5) - start - source_size)) + greatest(0, least(size, floor(target + 0.5) - start - 2 * source_size)) AS BIGINT) AS taken FROM c""".replace(' COLLATE "binary"', ""),
+t AS (SELECT skey, source_size, total, CASE WHEN is_full THEN CAST(cap AS DOUBLE)
+  ELSE CAST(w * (total - coalesce(CAST(sum(cap) FILTER (is_full) OVER () AS BIGINT), 0)) AS DOUBLE) / CAST(sum(w) FILTER (NOT is_full) OVER () AS BIGINT) END AS target FROM f),
+c AS (SELECT d.*, source_size, target, total, CAST(greatest(1, floor(target / 1000)) AS BIGINT) AS q,
+  coalesce(CAST(sum(size) OVER (PARTITION BY skey ORDER BY key, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start FROM d JOIN t USING (skey)),
+e AS (SELECT *, unnest([0, 1, 2]) AS epoch FROM c WHERE size > 0),
+p AS (SELECT *, unnest(range((size + q - 1) // q)) AS k FROM e),
+n AS (SELECT id, skey, total, target, start + epoch * source_size + k * q AS place, least(q, size - k * q) AS words FROM p),
+r AS (SELECT *, coalesce(CAST(sum(words) OVER (ORDER BY CAST(place + words AS DOUBLE) / target, skey, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM n),
+g AS (SELECT id, CAST(sum(least(words, total - before)) AS BIGINT) AS taken FROM r WHERE before < total GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM c LEFT JOIN g USING (id)""",
     "op7_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -40,44 +40,75 @@ def targets_by_hand(sizes, weights=(5, 2, 1), times=3):
     return out
 
 
+def mix_by_hand(rows, quanta=1000, times=3, budget=None):
+    """The order of virtual finish times, one quantum after another: words taken of each row."""
+    import hashlib
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    size = [len((t or "").split()) for _, t, _ in rows]
+    sizes = {}
+    for (_, _, s), n in zip(rows, size, strict=True):
+        sizes[s] = sizes.get(s, 0) + n
+    target, order = targets_by_hand(sizes), []
+    for s, t in target.items():
+        at, q = 0, max(1, int(t // quanta))
+        mine = sorted((md5(f"mix:{'null' if i is None else i}:{'null' if x is None else md5(x)}"), k) for k, (i, x, own) in enumerate(rows) if own == s)
+        for _ in range(times):
+            for _, k in mine:
+                for b in range(0, size[k], q):
+                    n = min(q, size[k] - b)
+                    order.append(((at + b + n) / t, "1" if s is None else "0" + s, at + b, n, k))
+                at += size[k]
+    left, taken = sum(size) if budget is None else budget, [0] * len(rows)
+    for *_, n, k in sorted(order):
+        taken[k] += min(n, left)
+        left -= min(n, left)
+    return sizes, target, taken
+
+
 def test_mixing(documents):
     rng = random.Random(1)
     rows = [(i, text(rng, rng.randrange(1, 40)), "en", rng.choice(["a", "a", "a", "b", "Z", "é", "", None])) for i in range(600)]
-    rows += [(900, None, None, "b"), (901, "", None, "tiny"), (902, "one two", None, "tiny"), (None, "three words here", None, "a"), (5, LONG, None, "a"), (7, "same row", "en", "b"), (7, "same row", "en", "b")]
+    rows += [(900, None, None, "b"), (901, "", None, "tiny"), (902, "one two", None, "tiny"), (None, "three words here", None, "a"), (None, "other words", None, "a"), (5, LONG, None, "a")]
+    rows += [(7, "same row", "en", "b")] * 40
     got = mixing.mix_report(documents(rows)).collect()
-    assert len(got) == len(rows)
-    sizes = {}
-    for _, t, _, s in rows:
-        sizes[s] = sizes.get(s, 0) + len((t or "").split())
-    want = targets_by_hand(sizes)
-    size_of = {(i, s): len((t or "").split()) for i, t, _, s in rows}
+    sizes, target, taken = mix_by_hand([(i, t, s) for i, t, _, s in rows])
+    want = [(i, len((t or "").split()), sizes[s], target[s], n) for (i, t, _, s), n in zip(rows, taken, strict=True)]
+    rounded = lambda x: sorted(((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in x), key=str)
+    assert rounded(got) == rounded(want)
     source = {}
     for r in got:
         assert 0 <= r.taken <= 3 * r.size
         source.setdefault(r.source_size, [0, r.target])[0] += r.taken
-    assert sorted(s for s, _ in ((k, v) for k, v in source.items())) == sorted(set(sizes.values())) and size_of
-    by_size = {n: s for s, n in sizes.items()}
-    for n, (taken, target) in source.items():
-        assert target == pytest.approx(want[by_size[n]]) and abs(taken - target) <= 1
+    assert all(abs(n - t) <= t / 1000 + 1 for n, t in source.values()) and sum(r.taken for r in got) == sum(sizes.values())
     assert sorted(got, key=str) == sorted(mixing.mix_report(documents(rows).repartition(7)).collect(), key=str)
 
 
 def test_mixing_whole_documents_and_order(documents):
     rng = random.Random(2)
-    docs = documents([(i, text(rng, 20), "en", rng.choice("abc")) for i in range(300)])
+    rows = [(i, text(rng, 20), "en", rng.choice("abc")) for i in range(300)]
+    docs = documents(rows)
+    clashes = {"_row": "x", "_ROW": "x", "_copies": "x", "_copy": "x", "_rid": "x", "_rn": "x", "_Copies": "x"}
+    for c in ("__row", "_copies", "_copy", "_rid", "_rn"):
+        docs = docs.withColumn(c, F.lit(clashes.get(c, "x")))
     out = mixing.mix_documents(docs)
     assert out.columns == docs.columns
     kept = {}
     for r in out.collect():
+        assert r["_copies"] == r["_copy"] == r["_rn"] == r["__row"] == "x" and r.text == rows[r.doc_id][1]
         kept[r.source] = kept.get(r.source, 0) + 20
     sized = mixing.sized_documents(docs)
-    for s in mixing.targets(sized).collect():
+    shares = mixing.targets(sized)
+    for s in shares.collect():
         assert abs(kept[s.skey[1:]] - s.target) <= 20
-    plan = mixing.schedule(sized)
-    times = [r.virtual_finish for p in plan.rdd.glom().collect() for r in p]
-    assert times == sorted(times)
+    order = mixing.queue(sized, shares)
+    assert "rangepartitioning(virtual_finish" in order._jdf.queryExecution().toString()
+    times = [r.virtual_finish for p in order.rdd.glom().collect() for r in p]
+    assert times == sorted(times) and len(times) >= 900
     assert mixing.mix_documents(docs.limit(0)).count() == 0 and mixing.mix_report(docs.limit(0)).count() == 0
-    assert mixing.schedule(sized, budget=100).agg(F.sum("taken")).first()[0] == pytest.approx(100, abs=3)
+    assert mixing.schedule(sized, budget=100).agg(F.sum("taken")).first()[0] == 100
+    upper = docs.select("doc_id", "text", "source", *(F.lit("x").alias(c) for c in ("_ROW", "_COPIES")))
+    assert mixing.mix_documents(upper).columns == upper.columns and mixing.mix_documents(upper).count() == out.count()
 
 
 # simhash

@@ -504,25 +504,98 @@ def test_suffix_automaton_knows_every_substring():
             assert known(x) == (x in subs)
 
 
-def test_phrases_by_hand():
+def phrases_by_hand(t, model):
+    joined, n, i = "".join(map(chr, model)), 0, 0
+    while i < len(t):
+        k = 1
+        while i + k < len(t) and "".join(map(chr, t[i : i + k + 1])) in joined:
+            k += 1
+        n, i = n + 1, i + k
+    return n
+
+
+def test_phrases_of_whole_texts_by_hand():
+    """Texts of many windows, also ones that hold the sample itself or repeat a letter, so that windows never fall into step; letters 6 and 7 are unknown."""
     rng = random.Random(14)
-    model = [rng.randrange(1, 6) for _ in range(300)]
-    flat = langid.SuffixAutomaton(model).table(langid.ALPHABET)
-    joined = "".join(map(chr, model))
-
-    def count(t):
-        n, i = 0, 0
-        while i < len(t):
-            k = 1
-            while i + k < len(t) and "".join(map(chr, t[i : i + k + 1])) in joined:
-                k += 1
-            n, i = n + 1, i + k
-        return n
-
-    texts = [[rng.randrange(1, 6) for _ in range(n)] for n in (0, 1, 5, 255, 256, 257, 700)]
-    want = [sum(count(t[i : i + langid.WINDOW]) for i in range(0, len(t), langid.WINDOW)) for t in texts]
-    got = langid.phrases([np.array(t, np.uint8) for t in texts], [flat])
-    assert got[:, 0].tolist() == want
+    model = [rng.randrange(1, 6) for _ in range(3000)]
+    texts = [[rng.randrange(1, 8) for _ in range(n)] for n in (0, 1, 5, 255, 256, 257, 700, 3000)]
+    texts += [model[:2500], model[100:900] + [1] + model[:1500], [1] * 3000, [6] * 600, [1, 2] * 900, model[5:] + model[5:], model + [7] + model]
+    got = langid.phrases([np.array(t, np.int32) for t in texts], langid.Parser(np.array(model), 9), 8)
+    assert got.tolist() == [phrases_by_hand(t, model) for t in texts]
+    big = [rng.randrange(1, 2000) for _ in range(4000)]  # an alphabet of thousands of letters
+    texts = [[rng.choice(big) for _ in range(n)] for n in (10, 300, 900)] + [big[50:1500]]
+    got = langid.phrases([np.array(t, np.int32) for t in texts], langid.Parser(np.array(big), 2001), 2000)
+    assert got.tolist() == [phrases_by_hand(t, big) for t in texts]
+
+
+SCRIPTS = {"la": (0x61, 26), "cy": (0x430, 32), "am": (0x1200, 300), "ko": (0xAC00, 2000), "zh": (0x4E00, 2500), "hi": (0x905, 50)}
+
+
+def in_script(rng, lang, words):
+    """Words of a language with its own syllables in its own script."""
+    start, n = SCRIPTS[lang[:2]]
+    own = random.Random(lang)
+    stems = ["".join(chr(start + own.randrange(n)) for _ in range(own.randrange(1, 4))) for _ in range(200)]
+    return " ".join("".join(rng.choice(stems) for _ in range(rng.randrange(1, 4))) for _ in range(words))
+
+
+def test_languages_of_many_scripts_and_unequal_samples(documents):
+    rng = random.Random(16)
+    langs = {"la": 60, "la2": 4, "cy": 60, "am": 60, "ko": 60, "zh": 60, "hi": 60, "hi2": 5}
+    rows = [(lang, in_script(rng, lang, 40)) for lang, n in langs.items() for _ in range(n)]
+    test = [(lang, in_script(rng, lang, 25)) for lang in langs for _ in range(40)]
+    docs = documents([(i, t, lang) for i, (lang, t) in enumerate(rows)])
+    sample = langid.fit(docs)
+    assert set(sample) == set(langs)
+    got = langid.predict(documents([(i, t) for i, (_, t) in enumerate(test)]), sample).collect()
+    right = {}
+    for r in got:
+        right.setdefault(test[r.doc_id][0], []).append(r.lang_pred == test[r.doc_id][0])
+    assert all(np.mean(x) >= 0.95 for x in right.values()), {k: np.mean(x) for k, x in right.items()}
+
+
+def test_language_costs_by_hand(documents, monkeypatch):
+    """predict() against a plain parse of whole texts, in one pass and in passes of two languages each."""
+    import unicodedata
+
+    rng = random.Random(17)
+    langs = ("la", "la2", "cy", "hi")
+    docs = documents([(i, in_script(rng, lang, 15), lang) for i, lang in enumerate(langs * 6)])
+    sample = langid.fit(docs)
+    mixed = [in_script(rng, rng.choice(langs), 30) + "  --  " + in_script(rng, rng.choice(langs), 30) for _ in range(25)] + ["\u4e00\u4e01 12", "A", None, "...", "\u093f"]
+
+    def symbols(t):
+        out = []
+        for c in t or "":
+            c = c.lower()[0] if unicodedata.category(c)[0] in "LM" else " "
+            if c != " " or out[-1:] != [" "]:
+                out.append(c)
+        return out
+
+    want = {}
+    for i, t in enumerate(mixed):
+        if not any(c.isalpha() for c in t or ""):
+            want[i] = ("und", 0.0)
+            continue
+        costs = []
+        for lang in sorted(sample):
+            model, most = symbols(sample[lang]), np.log2(1 + max(map(len, sample.values())))
+            lack = sum(c not in model for c in symbols(t))
+            n = phrases_by_hand(list(map(ord, symbols(t))), list(map(ord, model)))
+            costs.append(((n - lack) * np.log2(1 + len(model)) + lack * most, lang))
+        first, second = sorted(costs)[:2]
+        want[i] = (first[1], 1 - first[0] / second[0])
+    for at_once in (256, 2):
+        monkeypatch.setattr(langid, "AT_ONCE", at_once)
+        got = {r.doc_id: r for r in langid.predict(documents(list(enumerate(mixed))), sample).collect()}
+        for i, (lang, score) in want.items():
+            assert got[i].lang_pred == lang and got[i].score == pytest.approx(score), i
+
+
+def test_language_samples_share_documents(documents):
+    docs = documents([(0, "x" * 100_000, "l"), *((i, f"word{i} " * 20, "l") for i in range(1, 40)), *((0, f"again {k}", "l") for k in range(500))])
+    sample = langid.fit(docs)["l"]
+    assert len(sample) <= langid.SYMBOLS and sum(f"word{i} " in sample for i in range(1, 40)) > 20 and sample.count("again") <= 1
 
 
 def test_languages(documents):

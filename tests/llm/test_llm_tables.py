@@ -94,26 +94,67 @@ BIG = "x" * 1500
 PAGES = [(1, "http://b.example/1", BIG, 0), (9, "http://a.example/2?q=1 2", BIG, 0), (4, None, BIG, 0), (5, "http://a.example/\r\nX: y", "small", 0), (6, "http://a.example/", "small", 0), (7, "u", None, 0), (8, "", "", 0), (None, "http://n.example/", BIG, 0), (10, "http://é.example/ü", "é" * 700 + "\r\n\r\n", 0), (11, "http://é.example/ü", "é" * 700 + "\r\n\r\n", 0), (11, "http://é.example/ü", "é" * 700 + "\r\n\r\n", 0), (12, "http://c/", "WARC/1.1\r\n" * 100_000, 0), (None, None, "y" * 2000, 0)]
 
 
-def test_warc(spark, tmp_path):
-    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, digest int")
-    a = warc.write_archive(pages, f"file://{tmp_path}/w", lines=3)
-    got = [tuple(r)[:5] for r in warc.read_archive(spark, a).collect()]
+def pages_by_hand(pages):
     want = []
-    for i, _, h, _ in PAGES:
+    for i, _, h, *_ in pages:
         body = (h or "").encode()
-        ids = [j for j, _, g, _ in PAGES if (g or "") == (h or "") and j is not None]
+        ids = [j for j, _, g, *_ in pages if (g or "") == (h or "") and j is not None]
         again = len(body) >= 1000 and bool(ids) and (i is None or i < max(ids))
         want.append((i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", max(ids) if again else None))
-    assert sorted(got, key=str) == sorted(want, key=str)
+    return sorted(want, key=str)
+
+
+def test_warc(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, digest int")
+    for c in ("salt", "first", "key", "file", "found_id", "size"):
+        pages = pages.withColumn(c, F.lit("clash"))
+    a = warc.write_archive(pages, f"file://{tmp_path}/w", lines=3)
+    got = [tuple(r)[:5] for r in warc.read_archive(spark, a).collect()]
+    assert sorted(got, key=str) == pages_by_hand(PAGES)
     assert a.directory.count() > 1
-    hits = warc.lookup(a, ["http://é.example/ü", "http://a.example/", "http://missing.example/", "http://b.example/1"])
-    assert [len(h) for h in hits.values()] == [3, 1, 0, 1]
+    hits = warc.lookup(a, ["http://é.example/ü", "http://a.example/", "http://missing.example/", "http://b.example/1", "http://a.example/2?q=1 2"])
+    assert [len(h) for h in hits.values()] == [3, 1, 0, 1, 1]
     stored = b"".join(gzip.decompress(f.read_bytes()) for f in Path(tmp_path, "w/archive").iterdir() if f.suffix == ".gz")
     assert stored.count(b"WARC/1.1\r\nWARC-Type: ") == len(PAGES) and b"\r\nX: y" not in stored
+    names = re.findall(rb"WARC-Record-ID: (.*)\r", stored)
+    assert len(names) == len(set(names)) == len(PAGES)
     empty = warc.write_archive(pages.limit(0))
     assert warc.read_archive(spark, empty).count() == 0 and warc.lookup(empty, ["u"]) == {"u": []}
 
 
+def test_bisection_finds_what_a_scan_finds(spark, tmp_path):
+    """One key on a third of all captures, keys over several files and blocks, and few range reads for each."""
+    rng = random.Random(4)
+    pages = [(i, "http://hot.example/" if i % 3 == 0 else f"http://h{rng.randrange(40)}.example/{rng.randrange(30)}", f"p{i}") for i in range(1500)] + [(None, "http://hot.example/", "none")]
+    a = warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5), f"file://{tmp_path}/w", lines=10)
+    files = warc.index_files(a)
+    index = warc.Index(a.folder, files)
+    for url in sorted({u for _, u, _ in pages})[::7] + ["http://hot.example/", "http://none.example/"]:
+        assert sorted((h["page_id"] is not None, h["page_id"] or 0) for h in index.find(warc.surt(url))) == sorted((i is not None, i or 0) for i, u, _ in pages if u == url)
+    for i, u, _ in pages[::50]:
+        before = index.reads
+        assert [h["page_id"] for h in index.find(warc.surt(u), i, any_page=False)] == [i]
+        assert index.reads - before < 50
+    assert index.find(warc.surt("http://hot.example/"), 10**9, any_page=False) == []
+
+
+def test_reading_is_spread_by_bytes(spark, tmp_path):
+    pages = spark.range(400).select("id", F.concat(F.lit("http://x/"), "id").alias("url"), F.concat(F.repeat(F.lit("lorem ipsum "), 20_000), F.col("id").cast("string")).alias("html")).withColumnRenamed("id", "page_id")
+    a = warc.write_archive(pages, f"file://{tmp_path}/w")  # 96 MB of payload
+    found = warc.read_archive(spark, a)
+    seen = spark.read.parquet(*{p.rpartition("/")[0] for p in found.inputFiles() if "records-" in p}).groupBy(F.input_file_name()).count().collect()
+    assert len(seen) > 3 and sum(r["count"] for r in seen) == 400 and max(r['count'] for r in seen) < 200
+
+
+def test_a_lost_response_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, digest int")
+    a = warc.write_archive(pages, f"file://{tmp_path}/w")
+    gone = a.captures.where("NOT (page_id = 9 AND type = 'response')")
+    b = warc.Archive(gone, warc.materialize(gone.repartitionByRange(2, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset").mapInArrow(warc._blocks(f"{a.folder}/less", 3), warc._BLOCK), "directory"), a.folder)
+    with pytest.raises(Exception, match="response is missing"):
+        warc.read_archive(spark, b).collect()
+
+
 def test_surt():
     assert [warc.surt(u) for u in (None, "http://www.Example.com/a?b", "https://x.org")] == ["", "com,example,www)/a?b", "org,x)"]
 

@@ -1,16 +1,18 @@
 """Format-preserving pseudonyms for personal data by keyed Feistel permutations (native).
 
-Candidates come from one pattern; a candidate counts only if it validates: card numbers by the Luhn sum, IPv4 addresses by their octets, social security
-numbers by the ranges in use, dates by the calendar. Each kind is a pair of residues (l mod a, r mod b). Alternating rounds add a keyed
-hash of one to the other, which permutes the a * b values of the kind whatever the moduli, so equal values get equal pseudonyms in all
-documents, different values different ones, and the result has the format of the input: separators stay, a card number keeps a right check digit,
-a date stays a date. Addresses of e-mail have no such domain; they get a keyed digest, which links equal ones too.
+Candidates come from one pattern; a candidate counts only if it validates: card numbers by the Luhn sum, IBANs by their country's length and the check digits, IPv4 addresses by their octets, social
+security numbers by the ranges in use, phone numbers by their count of digits (8 to 15), dates by the calendar. Each kind is a pair of residues (l mod a, r mod b). Alternating rounds add a
+keyed hash of one to the other, which permutes the a * b values of the kind whatever the moduli; where the product exceeds the kind, what falls outside is permuted again until it is inside (cycle walking). So equal
+values get equal pseudonyms in all documents, different values different ones, and the result has the format of the input: separators stay, a card number or IBAN keeps right check digits, a date stays a date of the
+same layout. Addresses of e-mail have no such domain; they get a keyed digest, which links equal ones too.
 
 Card numbers are sought in the whole run of digit groups around them (4-4-4-4 and, last in a run, 4-6-5), so a year or another number beside one doesn't hide it.
-A date or social security number that doesn't validate still takes its text; what overlaps one isn't sought.
+A date or social security number that doesn't validate still takes its text; what overlaps one isn't sought. A date with slashes is read day first, or month first if that is the only reading;
+its pseudonym is written month first too, so it may look like a day-first one of another date.
 
-Other texts stay as they are. Defined cases: null gives null and no findings, an empty text is unchanged; rows are worked on one by one, so
-repeated rows, ties and empty tables need no rule. Columns besides the text are kept whatever their names. Dates outside 1900-2099 are left.
+Other texts stay as they are: among them IPv6 addresses, social security numbers without hyphens, dates with one-digit days or two-digit years, and dates outside 1900-2099. Defined cases: null gives null and no
+findings, an empty text is unchanged; very long texts are worked on whole; rows are worked on one by one, so repeated rows, ties and empty tables need no rule. Columns besides the text are kept whatever their
+names; a count whose name is taken gets underscores before it.
 """
 
 from __future__ import annotations
@@ -18,18 +20,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "phone", "ipv4", "ssn", "card", "date")
+from meshfront.llm.common import free_name
+
+KINDS = ("email", "phone", "ipv4", "ssn", "card", "date", "iban")
 ROUNDS = 10
 
 #: Candidate patterns. None has a nested repetition without a bound, so very long texts need no deep recursion.
 PATTERNS = {
     "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+){1,8}",
     "ipv4": r"(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\p{L}\p{N}])|\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}(?![\p{L}\p{N}])|[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\p{L}\p{N}-])",
+    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\p{L}\p{N}])|\([0-9]{3}\) ?[0-9]{3}[-.][0-9]{4}(?![\p{L}\p{N}])|[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\p{L}\p{N}-])|[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![\p{L}\p{N}]|\.[0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "card": r"[0-9]{4}(?:[ -][0-9]{4})*[ -][0-9]{6}[ -][0-9]{5}(?![\p{L}\p{N}])|[0-9]{4}(?:[ -][0-9]{4}){3,}(?![\p{L}\p{N}])|[0-9]{13,19}(?![\p{L}\p{N}])",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\p{L}\p{N}-])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![\p{L}\p{N}/])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![\p{L}\p{N}])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
 }
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24, "FI": 18,
+    "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "XK": 20,
+}
 CANDIDATE = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
 #: A card number at the start of a card candidate, which is a run of groups of four digits.
 CARD = r"^(?:(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|[0-9]{13,19}$)"
@@ -37,9 +49,9 @@ CARD = r"^(?:(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{
 HINT = r"@|[0-9][0-9 ().+/-]{5,}[0-9]"
 
 _POWERS = [10**k for k in range(19)]
-#: Days from 1900-01-01 to 2099-12-31 as a product.
-_DAYS = (319, 229)
-_LAYOUTS = (("^[0-9]{4}-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), (r"\.", "dd.MM.yyyy"))
+#: Days from 1900-01-01 to 2099-12-31, and the sides of a product that holds them. Two values lie outside, so a walk ends after three steps at most.
+DAYS, _DAYS = 73_049, (319, 229)
+_LAYOUTS = (("^[0-9]{4}-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), ("/", "MM/dd/yyyy"), (r"\.", "dd.MM.yyyy"))
 
 
 def _digits(m: Column) -> Column:
@@ -87,10 +99,21 @@ def _refill(layout: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(layout)), at), "")
 
 
-def _permuted_digits(digits: Column, tweak: str, key: str) -> Column:
+def _refill_all(layout: Column, text: Column) -> Column:
+    """The layout with its zeros replaced by the characters of ``text`` in order."""
+
+    def at(i: Column) -> Column:
+        c = F.substring(layout, i, F.lit(1))
+        return F.when(c == "0", F.substring(text, F.length(_digits(F.substring(layout, F.lit(1), i))), F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(layout)), at), "")
+
+
+def _permuted_digits(digits: Column, tweak: str | Column, key: str) -> Column:
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
-    pair = _feistel(F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, n - half), _power(half), _power(n - half), F.lit(tweak), key)
+    tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
+    pair = _feistel(F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, n - half), _power(half), _power(n - half), tweak, key)
     return F.transform(F.array(pair), lambda p: F.concat(F.lpad(p["l"].cast("string"), half, F.lit("0")), F.lpad(p["r"].cast("string"), n - half, F.lit("0"))))[0]
 
 
@@ -152,19 +175,69 @@ def _card_run(m: Column, key: str) -> Column:
     return F.transform(F.array(_cards(m)), joined)[0]
 
 
+def _remainder(rearranged: Column) -> Column:
+    """The number that the letters (A is 10) and digits spell, modulo 97."""
+    at = F.transform(F.split(rearranged, ""), lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55))
+    return F.aggregate(at, F.lit(0), lambda n, d: F.when(d < 10, n * 10 + d).otherwise(n * 100 + d) % 97)
+
+
+def _iban_length(m: Column) -> Column:
+    lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+    return F.try_element_at(lengths, F.substring(m, 1, 2))
+
+
+def _valid_iban(m: Column) -> Column:
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    right = _remainder(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
+    return F.coalesce((F.length(plain) == _iban_length(m)) & right, F.lit(False))
+
+
+def _iban(m: Column, key: str) -> Column:
+    """Country and letters stay; the account's digits are permuted, by country and place of the letters, and the check digits follow."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    body = F.substring(plain, F.lit(5), F.length(plain))
+    shape = F.concat(F.substring(plain, 1, 2), F.regexp_replace(body, "[0-9]", "0"))
+    new = F.transform(F.array(body), lambda x: _refill(x, _permuted_digits(_digits(x), F.concat(F.lit("iban"), shape), key)))[0]
+    check = F.transform(F.array(new), lambda x: F.concat(F.lpad((98 - _remainder(F.concat(x, F.substring(plain, 1, 2), F.lit("00")))).cast("string"), 2, "0"), x))[0]
+    spaced = F.regexp_replace(F.substring(m, F.lit(3), F.length(m)), "[A-Z0-9]", "0")
+    whole = F.transform(F.array(check), lambda x: _refill_all(spaced, x))[0]
+    return F.concat(F.substring(m, 1, 2), whole)
+
+
 def _day(m: Column, layout: str) -> Column:
     day = F.try_to_timestamp(m, F.lit(layout)).cast("date")
     return F.datediff(day, F.lit("1900-01-01").cast("date"))
 
 
-def _date(m: Column, key: str) -> Column:
+def _layout(m: Column) -> Column:
+    """The first layout in which the text is a day of the domain, as a struct of its name and the day."""
+    found = F.lit(None).cast("struct<layout:string,day:int>")
+    for mark, layout in reversed(_LAYOUTS):
+        day = F.when(m.rlike(mark), _day(m, layout))
+        found = F.when(day.between(0, DAYS - 1), F.struct(F.lit(layout).alias("layout"), day.alias("day"))).otherwise(found)
+    return found
+
+
+def _moved(day: Column, key: str) -> Column:
+    """Another day of the domain."""
     a, b = (F.lit(x).cast("long") for x in _DAYS)
-    out = F.lit(None).cast("string")
-    for mark, layout in _LAYOUTS:
-        pair = _feistel(F.floor(_day(m, layout) / b), _day(m, layout) % b, a, b, F.lit("date"), key)
-        moved = F.transform(F.array(pair), lambda p: F.date_add(F.lit("1900-01-01").cast("date"), (p["l"] * b + p["r"]).cast("int")))[0]
-        out = F.when(m.rlike(mark), F.date_format(moved, layout)).otherwise(out)
-    return out
+
+    def step(x: Column, i: Column) -> Column:
+        pair = F.transform(F.array(_feistel(F.floor(x / b), x % b, a, b, F.lit("date"), key)), lambda p: p["l"] * b + p["r"])[0]
+        return F.when((i == 0) | (x >= DAYS), pair).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_DAYS[0] * _DAYS[1] - DAYS)), day.cast("long"), step)
+
+
+def _date(m: Column, key: str) -> Column:
+    def text(found: Column) -> Column:
+        day = F.date_add(F.lit("1900-01-01").cast("date"), _moved(found["day"], key).cast("int"))
+        out = F.date_format(day, "yyyy-MM-dd")
+        for _, layout in _LAYOUTS[1:]:
+            out = F.when(found["layout"] == layout, F.date_format(day, layout)).otherwise(out)
+        return out
+
+    return F.transform(F.array(_layout(m)), text)[0]
 
 
 def _kind(m: Column) -> Column:
@@ -172,20 +245,20 @@ def _kind(m: Column) -> Column:
     like = {k: m.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
     octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
     ssn = ~m.rlike("^(?:000|666|9..)-|-00-|-0000$")
-    day = F.coalesce(*(F.when(m.rlike(mark), _day(m, layout)) for mark, layout in _LAYOUTS))
     return (
         F.when(m.contains("@"), "email")
         .when(like["ipv4"], F.when(octets, "ipv4"))
         .when(like["ssn"], F.when(ssn, "ssn"))
-        .when(like["date"], F.when(day.between(0, _DAYS[0] * _DAYS[1] - 1), "date"))
+        .when(like["date"], F.when(_layout(m).isNotNull(), "date"))
         .when(like["card"], F.when(F.size(_cards(m)) > 0, "card"))
-        .when(like["phone"], "phone")
+        .when(like["iban"], F.when(_valid_iban(m), "iban"))
+        .when(like["phone"], F.when(F.length(_digits(m)).between(8, 15), "phone"))
     )
 
 
 def _replaced(m: Column, key: str) -> Column:
     """``struct(kind, n, text)`` of a candidate; n is how many of the kind it has."""
-    makers = {"email": _email, "phone": _phone, "ipv4": _ipv4, "ssn": _ssn, "card": _card_run, "date": _date}
+    makers = {"email": _email, "phone": _phone, "ipv4": _ipv4, "ssn": _ssn, "card": _card_run, "date": _date, "iban": _iban}
 
     def of(kind: Column) -> Column:
         text = m
@@ -196,18 +269,17 @@ def _replaced(m: Column, key: str) -> Column:
     return F.transform(F.array(_kind(m)), of)[0]
 
 
-def _count(kind: str) -> Column:
-    return F.aggregate("_pii_new", F.lit(0), lambda n, x: n + F.when(x["kind"] == kind, x["n"]).otherwise(0))
-
-
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
-    """``docs`` with its text column pseudonymized; with ``counts`` also ``n_<kind>`` for each kind (a column of that name is replaced)."""
+    """``docs`` with its text column pseudonymized; with ``counts`` also ``n_<kind>`` for each kind."""
     text = F.col(f"`{text_col}`")
-    found = docs.withColumn("_pii_found", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("_pii_new", F.transform("_pii_found", lambda m: _replaced(m, key)))
-    found = found.withColumn("_pii_gaps", F.when(F.size("_pii_found") > 0, F.split(text, CANDIDATE, -1)))
-    joined = F.array_join(F.concat(F.transform("_pii_new", lambda x, i: F.concat(F.get("_pii_gaps", i), x["text"])), F.slice("_pii_gaps", -1, 1)), "")
-    out = found.withColumn(text_col, F.when(F.size("_pii_found") > 0, joined).otherwise(text))
+    found, new, gaps = (free_name(docs.columns, f"pii_{n}") for n in ("found", "new", "gaps"))
+    rows = docs.withColumn(found, F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn(new, F.transform(found, lambda m: _replaced(m, key)))
+    rows = rows.withColumn(gaps, F.when(F.size(found) > 0, F.split(text, CANDIDATE, -1)))
+    joined = F.array_join(F.concat(F.transform(new, lambda x, i: F.concat(F.get(gaps, i), x["text"])), F.slice(gaps, -1, 1)), "")
+    rows = rows.withColumn(text_col, F.when(F.size(found) > 0, joined).otherwise(text))
     if counts:
-        out = out.withColumns({f"n_{k}": _count(k) for k in KINDS})
-    return out.drop("_pii_found", "_pii_new", "_pii_gaps")
+        taken = {c.lower() for c in docs.columns}
+        count = lambda kind: F.aggregate(new, F.lit(0), lambda n, x: n + F.when(x["kind"] == kind, x["n"]).otherwise(0))
+        rows = rows.withColumns({f"n_{k}" if f"n_{k}" not in taken else free_name(docs.columns, f"n_{k}"): count(k) for k in KINDS})
+    return rows.drop(found, new, gaps)

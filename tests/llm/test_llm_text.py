@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from datetime import date
+from datetime import date, datetime
 
 import numpy as np
 import pytest
@@ -311,7 +311,7 @@ def test_pseudonyms_keep_formats(documents):
 
 
 def test_what_does_not_validate_stays(documents):
-    texts = ["4111111111111112", "300.1.1.1 and 1.2.3.4.5", "000-12-3456 666-12-3456 123-00-4567", "2023-02-30 31/02/2020 1850-01-01", "v1.2 and 3.14 in 2024", "x4111111111111111y", "token 0411159052546b92d0a7", "a @ b.c", "", LONG, "+++ 12", "GPL version 3. 4.0."]
+    texts = ["4111111111111112", "300.1.1.1 and 1.2.3.4.5", "000-12-3456 666-12-3456 123-00-4567", "2023-02-30 31/02/2020 1850-01-01 2100-01-01 13/13/1999", "DE89 3704 0044 0532 0130 01", "v1.2 and 3.14 in 2024", "x4111111111111111y", "token 0411159052546b92d0a7", "a @ b.c", "", LONG, "+++ 12", "GPL version 3. 4.0."]
     assert run_pii(documents, *texts) == texts
 
 
@@ -342,6 +342,122 @@ def test_pseudonyms_are_a_permutation(spark):
     assert sorted(out) == [(a, b) for a in range(10) for b in range(6)]
 
 
+def test_every_date_of_the_domain_moves_to_another_of_it(spark):
+    days = spark.range(pii.DAYS).select(pii._moved(F.col("id"), "k").alias("d"))
+    assert [r.d for r in days.orderBy("d").collect()] == list(range(pii.DAYS))
+    assert date(1900, 1, 1).toordinal() + pii.DAYS - 1 == date(2099, 12, 31).toordinal()
+
+
+# An implementation of its own, one match after another.
+
+
+def feistel_by_hand(l, r, a, b, tweak, key):  # noqa: E741
+    import hashlib
+
+    for i in range(10):
+        h = int(hashlib.sha256("|".join(map(str, (key, tweak, a, b, i, l if i % 2 else r))).encode()).hexdigest()[:15], 16)
+        l, r = (l, (r + h % b) % b) if i % 2 else ((l + h % a) % a, r)  # noqa: E741
+    return l, r
+
+
+def digits_by_hand(d, tweak, key):
+    h = len(d) // 2
+    l, r = feistel_by_hand(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), tweak, key)  # noqa: E741
+    return f"{l:0{h}d}{r:0{len(d) - h}d}"
+
+
+def refill_by_hand(layout, d):
+    left = iter(d)
+    return re.sub("[0-9]", lambda m: next(left), layout)
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s)) % 97
+
+
+def replaced_by_hand(m, key):
+    import hashlib
+
+    plain = re.sub("[^0-9]", "", m)
+    if "@" in m:
+        return "u" + hashlib.sha256(f"{key}|email|{m.lower()}".encode()).hexdigest()[:16] + "@example.invalid"
+    if re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", m):
+        o = list(map(int, m.split(".")))
+        if max(o) > 255:
+            return m
+        l, r = feistel_by_hand(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ipv4", key)  # noqa: E741
+        return f"{l >> 8}.{l % 256}.{r >> 8}.{r % 256}"
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+        a, g, s = map(int, m.split("-"))
+        if a in (0, 666) or a >= 900 or not g or not s:
+            return m
+        l, r = feistel_by_hand(a - 1 - (a > 666), (g - 1) * 9999 + s - 1, 898, 99 * 9999, "ssn", key)  # noqa: E741
+        return f"{l + 1 + (l >= 665):03d}-{r // 9999 + 1:02d}-{r % 9999 + 1:04d}"
+    for pattern, order in ((r"(\d{4})-(\d\d)-(\d\d)", "%Y-%m-%d"), (r"\d\d/\d\d/\d{4}", "%d/%m/%Y"), (r"\d\d/\d\d/\d{4}", "%m/%d/%Y"), (r"\d\d\.\d\d\.\d{4}", "%d.%m.%Y")):
+        if re.fullmatch(pattern, m):
+            try:
+                n = datetime.strptime(m, order).toordinal() - date(1900, 1, 1).toordinal()
+            except ValueError:
+                continue
+            if 0 <= n < 73049:
+                while True:
+                    l, r = feistel_by_hand(n // 229, n % 229, 319, 229, "date", key)  # noqa: E741
+                    n = l * 229 + r
+                    if n < 73049:
+                        return date.fromordinal(date(1900, 1, 1).toordinal() + n).strftime(order)
+    if re.fullmatch(r"[A-Z]{2}\d\d[A-Z0-9 ]+", m):
+        own = m.replace(" ", "")
+        if len(own) != pii.IBAN_LENGTHS.get(m[:2]) or mod97(own[4:] + own[:4]) != 1:
+            return m
+        body = own[4:]
+        new = refill_by_hand(body, digits_by_hand(re.sub("[^0-9]", "", body), "iban" + m[:2] + re.sub("[0-9]", "0", body), key))
+        left = iter(f"{98 - mod97(new + m[:2] + '00'):02d}" + new)
+        return m[:2] + re.sub("[A-Z0-9]", lambda _: next(left), m[2:])
+    if re.match(r"\+|\(", m) or re.fullmatch(r"\d{3}([-.])\d{3}\1\d{4}", m):
+        if not 8 <= len(plain) <= 15:
+            return m
+        code = ""
+        if m[0] == "+":
+            known = re.match(r"\+\d{1,3}(?=[ (.-])", m)
+            code = known[0] if known else m[:2]
+        rest = m[len(code) :]
+        return code + refill_by_hand(rest, digits_by_hand(re.sub("[^0-9]", "", rest), "phone", key))
+    if len(plain) >= 13 and luhn(plain):
+        body = digits_by_hand(plain[:-1], "card", key)
+        return refill_by_hand(m, body + next(c for c in "0123456789" if luhn(body + c)))
+    return m
+
+
+def test_pseudonyms_by_hand(spark, documents):
+    """Row by row: values of every kind between words, valid and not, against an implementation of its own."""
+    rng = random.Random(21)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = number(15)
+        d += next(c for c in "0123456789" if luhn(d + c)) if rng.random() < 0.7 else number(1)
+        return rng.choice([d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4))])
+
+    def iban():
+        country, shape = rng.choice([("DE", "0" * 18), ("GB", "AAAA" + "0" * 14), ("NO", "0" * 11), ("FR", "0" * 10 + "0A0A0" + "0" * 8)])
+        body = "".join(rng.choice("ABCXYZ") if c == "A" else rng.choice("0123456789") for c in shape)
+        check = f"{98 - mod97(body + country + '00'):02d}" if rng.random() < 0.7 else number(2)
+        own = country + check + body
+        return rng.choice([own, " ".join(own[i : i + 4] for i in range(0, len(own), 4))])
+
+    makers = [
+        card, iban, lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: f"+{rng.randrange(1, 99)} ({number(3)}) {number(3)}-{number(4)}",
+        lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"{number(3)}.{number(3)}.{number(4)}", lambda: f"{rng.randrange(1850, 2120)}-{rng.randrange(1, 14):02d}-{rng.randrange(1, 33):02d}",
+        lambda: f"{rng.randrange(1, 33):02d}/{rng.randrange(1, 33):02d}/{rng.randrange(1890, 2110)}", lambda: f"{rng.randrange(1, 33):02d}.{rng.randrange(1, 14):02d}.{rng.randrange(1890, 2110)}", lambda: f"a.{number(2)}@b{number(1)}.example.com",
+    ]
+    parts = [[p for _ in range(6) for p in (rng.choice(["word", "é ü", "so,", "(", "日本"]), rng.choice(makers)())] for _ in range(250)]
+    texts = [" ; ".join(p) for p in parts]
+    got = pii.pseudonymize(documents(list(enumerate(texts))).withColumn("_pii_new", F.lit("x")).withColumn("_PII_found", F.lit("x")), "k").orderBy("doc_id").collect()
+    for p, r in zip(parts, got, strict=True):
+        assert r.text == " ; ".join(x if k % 2 == 0 else replaced_by_hand(x, "k") for k, x in enumerate(p))
+        assert r["_pii_new"] == r["_PII_found"] == "x"
+
+
 def test_pii_nulls_and_counts(documents):
     docs = documents([(1, None), (2, "1.2.3.4 1.2.3.4"), (2, "1.2.3.4 1.2.3.4"), (None, "none")])
     out = pii.pseudonymize(docs, "k").collect()

@@ -2,12 +2,13 @@
 
 Every url has a few candidate keys: a host suffix joined to a path prefix. One cascade for the block list and one for the allow list tell which
 candidates are listed. Level 0 of a cascade encodes the listed keys, level 1 those keys of the corpus that level 0 takes for listed, level 2 the
-listed keys that level 1 takes for false, and so on, until a level makes no mistake over the whole key universe of the corpus. So membership is
-exact and the main path has no join: the levels are literals in the plan. Their size follows the list, not the corpus, because level 0 gets a
-false-positive rate of about sqrt(1/2) * listed / universe and the later ones 1/2; MAX_LISTED bounds the list.
+listed keys that level 1 takes for false, and so on, until a level makes no mistake over the whole key universe of the corpus; a remainder of FEW keys or less is a level of the keys
+themselves, which ends every cascade. So membership is exact and the main path has no join: the levels are literals in the plan, read inside functions over an array of a url's candidates, so the
+plan is as large for many path lengths as for one. Level 0 gets a false-positive rate of about sqrt(1/2) * listed / universe and the later ones 1/2, so the literals follow the lists, which the
+caller holds on the driver, by a few bytes a rule, and not the corpus. Lists have no cap.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, and no rule fits it. A url without a path fits no rule, since every
-rule's path starts with ``/``. The longest fitting rule wins; of two equally long ones the greater by code point; a key on both lists is blocked.
+rule's path starts with ``/``. Very long urls are judged whole. The longest fitting rule wins; of two equally long ones the greater by code point; a key on both lists is blocked.
 Repeated rows are judged each for itself. An empty table gives no rows. Columns other than the id and url aren't read, whatever their names.
 """
 
@@ -15,35 +16,37 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshfront.llm.common import ascii_lower
 from meshfront.plans.storage import materialize, release
 
-#: Rules that one list may hold: a level of as many keys takes some MB as a literal.
-MAX_LISTED = 1_000_000
+#: So many keys at most are a level by themselves.
+FEW = 32
 
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: ``words`` holds ``bits`` bits."""
+    """One Bloom filter: ``words`` holds ``bits`` bits. A level of few keys has the keys instead."""
 
-    words: tuple[int, ...]
-    bits: int
-    hashes: int
-    salt: int
+    words: tuple[int, ...] = ()
+    bits: int = 0
+    hashes: int = 0
+    salt: int = 0
+    keys: tuple[str, ...] | None = None
 
     def may_hold(self, key: Column) -> Column:
+        if self.keys is not None:
+            return key.isin(*self.keys)
         table = F.lit(np.array(self.words, dtype=np.int64))
-        return reduce(lambda x, y: x & y, (F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1 for p in positions(key, self.bits, self.hashes, self.salt)))
+        bit = lambda p: F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1
+        return F.forall(F.sequence(F.lit(0), F.lit(self.hashes - 1)), lambda i: bit(self.position(key, i)))
 
-
-def positions(key: Column, bits: int, hashes: int, salt: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(salt * 64 + i)), F.lit(bits)) for i in range(hashes)]
+    def position(self, key: Column, i: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(self.salt * 64) + i), F.lit(self.bits))
 
 
 @dataclass(frozen=True)
@@ -59,40 +62,44 @@ class Cascade:
 
 
 def _level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
-    """Built by a partial aggregate per 64-bit word; the driver gets the words of the filter, no keys."""
+    """Built by a partial aggregate per 64-bit word; the driver gets the words of the filter, no keys but a level's FEW."""
+    if n <= FEW and salt % 1000:
+        return Level(keys=tuple(sorted(r.key for r in keys.select("key").distinct().collect())))
     rate = min(0.5, max(rate, 2.0**-40))
     bits = max(64, math.ceil(n * math.log(1 / rate) / math.log(2) ** 2))
-    hashes = max(1, round(bits / n * math.log(2))) if bits > 64 else 2
-    hashes = min(hashes, 40)
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, hashes, salt))).alias("p"))
-    rows = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63).cast("int"))).alias("v")).collect()
+    hashes = min(max(1, round(bits / n * math.log(2))) if bits > 64 else 2, 40)
+    empty = Level((), bits, hashes, salt)
+    at = keys.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: empty.position(F.col("key"), i))).alias("p"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63).cast("int"))
     words = [0] * -(-bits // 64)
-    for r in rows:
+    for r in at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("v")).collect():
         words[r.w] = r.v
     return Level(tuple(words), bits, hashes, salt)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, salt: int = 1, max_levels: int = 64) -> Cascade:
+def rule_table(spark: SparkSession, rules: list[str]) -> DataFrame:
+    """The rules as a column key: one literal, parted by a character that no rule has."""
+    whole = "".join(rules)
+    mark = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in whole)
+    return spark.range(1, numPartitions=1).select(F.explode(F.split(F.lit(mark.join(rules)), mark)).alias("key")) if rules else spark.range(0).select(F.lit("").alias("key"))
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, salt: int = 1) -> Cascade:
     """``listed`` and ``universe`` have a column key. Two passes over the universe: one estimates its size, one finds the false positives of level 0."""
     n = listed.count()
-    if n > MAX_LISTED:
-        raise ValueError(f"{n} rules; at most {MAX_LISTED} are allowed")
     if not n:
         return Cascade(())
     others = universe.agg(F.approx_count_distinct("key").alias("n")).first().n
     levels = [_level(listed, n, math.sqrt(0.5) * n / max(others, 1), salt * 1000)]
-    wrong = materialize(universe.where(levels[0].may_hold(F.col("key"))).distinct().join(listed, "key", "left_anti"), "cascade")
-    inside, outside = listed, wrong
     # Levels in turn hold some of the keys of one side; what the newest wrongly takes is on the other side.
-    for depth in range(1, max_levels):
-        m = outside.count()
-        if not m:
-            break
-        levels.append(_level(outside, m, 0.5, salt * 1000 + depth))
-        inside, outside = outside, inside.where(levels[-1].may_hold(F.col("key")))
-    else:
-        raise RuntimeError("the cascade did not end")
-    release(wrong)
+    inside, outside = listed, materialize(universe.where(levels[0].may_hold(F.col("key"))).distinct().join(listed, "key", "left_anti"), "cascade")
+    while m := outside.count():
+        levels.append(_level(outside, m, 0.5, salt * 1000 + len(levels)))
+        wrong = materialize(inside.where(levels[-1].may_hold(F.col("key"))), "cascade")
+        release(inside)
+        inside, outside = outside, wrong
+    release(inside)
+    release(outside)
     return Cascade(tuple(levels))
 
 
@@ -110,24 +117,27 @@ def _split(rule: str) -> tuple[str, str]:
     return host, slash + path
 
 
-def candidate_keys(host: Column, path: Column, rules: list[str]) -> list[Column]:
-    """One key for each count of host labels and each path length that the rules have; null where the url is too short. Other keys can't be listed."""
-    labels, lengths = sorted({_split(r)[0].count(".") + 1 for r in rules}), sorted({len(_split(r)[1]) for r in rules})
-    return [F.when(F.length(path) >= k, F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, k))) for n in labels for k in lengths]
+def candidate_keys(host: Column, path: Column, rules: list[str]) -> Column:
+    """An array with a key for each count of host labels and each path length that the rules have and the url reaches. Other keys can't be listed."""
+    parts = [_split(r) for r in rules]
+    labels, lengths = (F.array(*map(F.lit, sorted(x))) for x in ({h.count(".") + 1 for h, _ in parts}, {len(p) for _, p in parts}))
+    hosts = F.array_distinct(F.transform(labels, lambda n: F.call_function("substring_index", host, F.lit("."), -n)))
+    paths = F.transform(F.filter(lengths, lambda k: F.length(path) >= k), lambda k: F.substring(path, F.lit(1), k))
+    return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
 
 
 def judge_urls(pages: DataFrame, block: list[str], allow: list[str], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """``(id, host, path, rule, verdict)`` for every row of ``pages``."""
     spark, rules = pages.sparkSession, sorted({*block, *allow})
     host, path = url_parts(F.col(f"`{url_col}`"))
-    parts = pages.select(F.col(f"`{id_col}`").alias(id_col), host.alias("host"), path.alias("path"))
+    parts = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
     if not rules:
-        return parts.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    keys = candidate_keys(F.col("host"), F.col("path"), rules)
-    universe = parts.select(F.explode(F.array_compact(F.array(*keys))).alias("key"))
-    cascades = {what: build_cascade(spark.createDataFrame([(r,) for r in sorted(set(listed))], "key string"), universe, salt) for salt, (what, listed) in enumerate((("block", block), ("allow", allow)), 1)}
-    named = [f"_key{i}" for i in range(len(keys))]
-    found = [F.when(cascades["block"].holds(F.col(k)), F.struct(F.length(k).alias("n"), F.col(k).alias("rule"), F.lit("block").alias("verdict"))).when(cascades["allow"].holds(F.col(k)), F.struct(F.length(k).alias("n"), F.col(k).alias("rule"), F.lit("allow").alias("verdict"))) for k in named]
-    best = F.greatest(*found, found[0])
-    judged = parts.withColumns(dict(zip(named, keys, strict=True))).select(id_col, "host", "path", best.alias("best"))
-    return judged.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        return parts.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), rules))
+    universe = keyed.select(F.explode("keys").alias("key"))
+    blocked, allowed = (build_cascade(rule_table(spark, sorted(set(listed))), universe, salt) for salt, listed in enumerate((block, allow), 1))
+    verdict = lambda k: F.when(blocked.holds(k), "block").when(allowed.holds(k), "allow")
+    found = F.transform("keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), verdict(k).alias("verdict")))
+    best = F.array_max(F.filter(found, lambda x: x["verdict"].isNotNull()))
+    judged = keyed.select("id", "host", "path", best.alias("best"))
+    return judged.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -58,9 +58,21 @@ def test_many_rules_need_several_levels(spark):
     assert all((r.host, r.path, r.rule, r.verdict) == judged_by_hand(urls[r.page_id], block, allow) for r in got)
     keys = spark.createDataFrame([(f"{h}/",) for h in hosts], "key string")
     cascade = url_filter.build_cascade(keys.where("key < 'h2'"), keys)
+    assert url_filter.rule_table(spark, ["a/", "\ue000/", ""]).collect() == [("a/",), ("\ue000/",), ("",)]
     assert len(cascade.levels) > 1 and keys.where(cascade.holds(F.col("key"))).subtract(keys.where("key < 'h2'")).count() == 0 and keys.where(cascade.holds(F.col("key"))).count() == keys.where("key < 'h2'").count()
 
 
+def test_rules_of_many_lengths_are_a_small_plan(spark):
+    """Two hundred path lengths and six counts of labels: the plan holds functions over arrays, not an expression for each."""
+    rng = random.Random(7)
+    block = [f"{'x.' * (i % 6)}h/{'p' * i}/" for i in range(200)]
+    urls = [f"http://{'x.' * rng.randrange(7)}h/{'p' * rng.randrange(210)}/q" for _ in range(500)] + [None, "http://h/" + "p" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_filter.judge_urls(pages, block, ["h/ppp/"])
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+    assert all((r.host, r.path, r.rule, r.verdict) == judged_by_hand(urls[r.page_id], block, ["h/ppp/"]) for r in found.collect())
+
+
 # search
 
 

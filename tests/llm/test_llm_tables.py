@@ -93,11 +93,21 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.where("vec_id = 50")).count() == 0
 
 
-def test_large_products_stay_exact():
+def test_large_products_stay_exact(spark):
     q, x = np.array([[2.0**30, 3.0]]), np.array([[2.0**30, 5.0]])
     assert topk._products(q, x, 2.0**60)[0, 0] == 2**60 + 15
-    with pytest.raises(OverflowError):
-        topk._products(q, x, 2.0**63)
+    assert topk._products(q * 2.0**40, x * 2.0**40, 2.0**142)[0, 0] == (2**60 + 15) << 80
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([0.0, 1.0, -3.0, 2.0**23, -(2.0**31), 2.0**40, 1e200, -1e308, 0.75]) if rng.random() < 0.2 else rng.gauss(0, 1) for _ in range(4)]) for i in range(400)]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = [(i, [int(v) for v in topk.quantize(x).tolist()]) for i, x in rows]
+    assert all(a == int(np.floor(v * 256)) for (_, x), (_, y) in zip(rows, whole, strict=True) for v, a in zip(x, y, strict=True) if abs(v) < 1e300)
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for i, x in whole[::50]:
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for j, y in whole if j != i)[:5]
+        assert sorted(got[i]) == [(k, j, held(-s)) for k, (s, j) in enumerate(best, 1)]
 
 
 # warc

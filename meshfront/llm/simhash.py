@@ -2,15 +2,17 @@
 
 Fingerprints are taken of whole texts. Equal fingerprints collapse before anything else, so copies are never paired. The 64 bits stand on a ring of
 SEGMENTS segments. If two fingerprints differ in at most MAX_BITS bits, then from some segment on every chain of k consecutive segments differs
-in at most ``k * MAX_BITS / SEGMENTS`` bits (the pigeonring principle). The first two steps of such a chain make the bucket key: the first segment is
-equal and the second differs in at most one bit. Two values that differ in one bit have unlike parity, so values of even parity are filed under
-themselves only and those of odd parity also under their one-bit neighbours. In a bucket, the longer chains prune before the full Hamming check.
-
-A bucket never emits all its pairs: small ones are compared by shifted arrays and large ones by a search that drops what it has reached, and
-what a task found is reduced to a spanning forest. No bucket has a cap: a large one only takes longer. Its rows are
+in at most ``k * MAX_BITS / SEGMENTS`` bits (the pigeonring principle). The first steps of such a chain make the bucket key. With two steps the first segment is
+equal and the second differs in at most one bit; two values that differ in one bit have unlike parity, so values of even parity are filed under
+themselves only and those of odd parity also under their one-bit neighbours. With three steps the second and third segments together differ in at most two bits, so some value between them is at most one bit from each:
+every print is filed under its own and all one-bit neighbours there, in buckets that are smaller by the third segment's bits. In a bucket, the longer chains prune before the full Hamming check.
+
+Two steps serve up to MANY prints, three beyond, where buckets of two would hold many unrelated prints. A bucket that has more than LARGE prints isn't kept in a task either: its prints are passed on and filed anew
+under three steps. Both find the same links. A bucket never emits all its pairs: small ones are compared by shifted arrays and large ones by a search that drops what it has reached, and
+what a task found is reduced to a spanning forest. No bucket has a cap: one of three steps that is still large only takes longer. Its rows are
 distinct fingerprints, of which even a very large group of near copies has few.
 
-Defined cases: a null text or one without words has fingerprint zero, linked like any other; shorter texts than a shingle are one shingle.
+Defined cases: a null text or one without words has fingerprint zero, linked like any other; shorter texts than a shingle are one shingle. Very long texts are hashed whole.
 Repeated rows are alike. A null doc_id never names a component unless all of its ids are null. An empty table gives no rows. Only id and text
 are read; keep_first() returns all columns of ``docs`` whatever their names.
 """
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from meshfront.llm.common import free_name
 from meshfront.operators.components import connected_components
 from meshfront.plans.storage import materialize, release
 
@@ -34,6 +37,8 @@ SHINGLE, SEED, MAX_BITS, SEGMENTS = 4, 42, 4, 5
 WIDTHS = (13, 13, 13, 13, 12)
 #: Runs of up to so many rows are compared by shifts, larger ones by search.
 SHORT_RUN = 24
+#: Prints of a bucket that a task keeps, and prints from which on keys have three steps.
+LARGE, MANY = 1 << 16, 1 << 29
 #: Rows of bit counts held at once.
 BLOCK = 1 << 15
 
@@ -79,23 +84,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
 
 
-def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for k in range(0, len(every), 20_000):
-            fp = every[k : k + 20_000]
-            seg = [(fp & m) >> np.uint64(int(s)) for m, s in zip(_SEGMENT, _STARTS, strict=False)]
-            keys, prints = [], []
-            for i in range(SEGMENTS):
-                j = (i + 1) % SEGMENTS
-                top = (np.uint64(i) << np.uint64(32)) | (seg[i] << np.uint64(16))
-                odd = np.bitwise_count(seg[j]) % 2 == 1
-                keys.append(top | seg[j])
-                prints.append(fp)
-                for b in range(WIDTHS[j]):
-                    keys.append(top[odd] | (seg[j][odd] ^ np.uint64(1 << b)))
-                    prints.append(fp[odd])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, prints)], ["key", "fp"])
+def _keys(fp: np.ndarray, i: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(keys, prints)`` for the chains of two or three steps from segment i on; a key's top bits are i."""
+    seg = [(fp & _SEGMENT[j]) >> np.uint64(int(_STARTS[j])) for j in ((i + n) % SEGMENTS for n in range(3))]
+    if steps == 2:
+        top, odd = (np.uint64(i) << np.uint64(32)) | (seg[0] << np.uint64(16)), np.bitwise_count(seg[1]) % 2 == 1
+        yield top | seg[1], fp
+        for b in range(WIDTHS[(i + 1) % SEGMENTS]):
+            yield top[odd] | (seg[1][odd] ^ np.uint64(1 << b)), fp[odd]
+    else:
+        key = (np.uint64(i) << np.uint64(48)) | (seg[0] << np.uint64(32)) | (seg[1] << np.uint64(16)) | seg[2]
+        yield key, fp
+        for n, shift in ((1, 16), (2, 0)):
+            for b in range(WIDTHS[(i + n) % SEGMENTS]):
+                yield key ^ np.uint64(1 << (b + shift)), fp
+
+
+def _filed(steps: int, every: bool):
+    """File prints under the chains from every segment on, or from the one given in a second column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            first = None if every else batch.column(1).to_numpy(zero_copy_only=False)
+            for k in range(0, len(whole), 20_000):
+                part = whole[k : k + 20_000]
+                chosen = [part if every else part[first[k : k + 20_000] == i] for i in range(SEGMENTS)]
+                found = [pair for i, own in enumerate(chosen) for pair in _keys(own, i, steps)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found, strict=True)], ["key", "fp"])
+
+    return run
 
 
 def _viable(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -146,47 +164,86 @@ def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within the runs of equal keys of a sorted partition. The last run of a batch may go on in the next."""
-    parent: dict[int, int] = {}
-    held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-    def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        first = key >> 32
-        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[cut, len(key)])
-        a, b = [], []
-        small = np.repeat(sizes <= SHORT_RUN, sizes)
-        k_small, f_small, i_small = key[small], fp[small], first[small]
-        for d in range(1, int(sizes[sizes <= SHORT_RUN].max(initial=1))):
-            at = np.flatnonzero(k_small[d:] == k_small[:-d])
-            x = f_small[at] ^ f_small[at + d]
-            at = at[_viable(x, i_small[at])]
-            a.append(f_small[at])
-            b.append(f_small[at + d])
-        for c, n in zip(cut[sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist(), strict=True):
-            p, q = _search(fp[c : c + n], int(first[c]))
-            a.append(p)
-            b.append(q)
-        edges = _forest(np.concatenate(a), np.concatenate(b), parent) if a else []
-        pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    for batch in batches:
-        key = np.concatenate([held_key, batch.column(0).to_numpy(zero_copy_only=False)])
-        fp = np.concatenate([held_fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        stop = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        held_key, held_fp = key[stop:], fp[stop:]
-        if stop:
-            yield done(key[:stop], fp[:stop])
-    if len(held_key):
-        yield done(held_key, held_fp)
+def _linked(steps: int, large: int):
+    """Links within the runs of equal keys of a sorted partition, ``(a, b, first)`` with first null; the prints of a run of two steps that grows beyond ``large`` as ``(fp, null, first)``."""
+    shift = 32 if steps == 2 else 48
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+        held: list[np.ndarray] = []  # the prints of the last key, whose run may go on in the next batch
+        held_key, n_held, passing = None, 0, False
+
+        def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            first = key >> shift
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            sizes = np.diff(np.r_[cut, len(key)])
+            a, b = [], []
+            small = np.repeat(sizes <= SHORT_RUN, sizes)
+            k_small, f_small, i_small = key[small], fp[small], first[small]
+            for d in range(1, int(sizes[sizes <= SHORT_RUN].max(initial=1))):
+                at = np.flatnonzero(k_small[d:] == k_small[:-d])
+                x = f_small[at] ^ f_small[at + d]
+                at = at[_viable(x, i_small[at])]
+                a.append(f_small[at])
+                b.append(f_small[at + d])
+            for c, n in zip(cut[sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist(), strict=True):
+                p, q = _search(fp[c : c + n], int(first[c]))
+                a.append(p)
+                b.append(q)
+            edges = _forest(np.concatenate(a), np.concatenate(b), parent) if a else []
+            pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32())], _LINK)
+
+        def passed_on(fp: np.ndarray, key: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(np.full(len(fp), key >> shift, np.int32))], _LINK)
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(key):
+                continue
+            start = int(np.searchsorted(key, held_key, "right")) if held_key is not None else 0
+            if start:
+                held.append(fp[:start])
+                n_held += start
+            stop = int(np.searchsorted(key, key[-1]))  # where the batch's last run begins
+            if stop >= start and held_key is not None and start < len(key):  # the held run is over
+                if passing:
+                    yield passed_on(np.concatenate(held), held_key)
+                else:
+                    yield done(np.full(n_held, held_key), np.concatenate(held))
+                held, n_held, passing = [], 0, False
+            if start < len(key):
+                if stop > start:
+                    yield done(key[start:stop], fp[start:stop])
+                held, n_held, passing, held_key = [fp[stop:]], len(key) - stop, False, int(key[-1])
+            if steps == 2 and (passing or n_held > large):  # too many to keep: from here on they pass through
+                yield passed_on(np.concatenate(held), held_key)
+                held, n_held, passing = [np.zeros(0, np.uint64)], 0, True
+        if held_key is not None:
+            yield passed_on(np.concatenate(held), held_key) if passing else done(np.full(n_held, held_key), np.concatenate(held))
+
+    return run
+
+
+_LINK = ["a", "b", "first"]
+_LINK_SCHEMA = "a long, b long, first int"
+
+
+def fingerprint_links(distinct: DataFrame, many: int = MANY, large: int = LARGE) -> DataFrame:
     """``(a, b)``: links that join all fingerprints (column fp, distinct) of each component."""
-    filed = distinct.select("fp").mapInArrow(_filed, "key long, fp long")
-    return filed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+
+    def linked(rows: DataFrame, steps: int, every: bool) -> DataFrame:
+        filed = rows.mapInArrow(_filed(steps, every), "key long, fp long")
+        return filed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(steps, large), _LINK_SCHEMA)
+
+    fp = distinct.select("fp")
+    if fp.count() > many:
+        return linked(fp, 3, True).select("a", "b")
+    found = materialize(linked(fp, 2, True), "links")
+    over = found.where("b IS NULL").select(F.col("a").alias("fp"), "first").distinct()
+    links = found.where("b IS NOT NULL").select("a", "b")
+    return links if over.isEmpty() else links.unionAll(linked(over, 3, False).select("a", "b"))
 
 
 def _rooted(own: DataFrame) -> DataFrame:
@@ -211,7 +268,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are written once with their fingerprint and a number; the rows to stay are then found among numbers, so texts are shuffled once.
     """
-    fp, row = (next(n for n in (f"_{'_' * k}{name}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for name in ("fp", "row"))
+    fp, row = (free_name(docs.columns, n) for n in ("fp", "row"))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,8 +144,9 @@ def components_by_hand(prints):
     return {p: find(p) for p in every}
 
 
-def test_links_find_every_component(spark):
-    """Random centers with clouds at 0 to 6 bits, one of them large enough for the search, and chains."""
+@pytest.mark.parametrize(("many", "large"), [(simhash.MANY, simhash.LARGE), (0, simhash.LARGE), (simhash.MANY, 30), (simhash.MANY, 0)])
+def test_links_find_every_component(spark, many, large):
+    """Random centers with clouds at 0 to 6 bits, one of them large enough for the search, and chains; keys of two steps, of three, and of three for large buckets alone."""
     rng = random.Random(6)
     prints = {0, (1 << 64) - 1}
     for k in range(40):
@@ -161,7 +162,7 @@ def test_links_find_every_component(spark):
             chain ^= 1 << b
         prints.add(chain)
     signed = lambda p: p - (1 << 64) if p >> 63 else p
-    links = simhash.fingerprint_links(spark.createDataFrame([(signed(p),) for p in prints], "fp long").repartition(5)).collect()
+    links = simhash.fingerprint_links(spark.createDataFrame([(signed(p),) for p in prints], "fp long").repartition(5), many, large).collect()
     unsigned = lambda p: p % (1 << 64)
     assert all((unsigned(a) ^ unsigned(b)).bit_count() <= 4 for a, b in links)
     want, got = components_by_hand(prints), {p: p for p in prints}
@@ -177,6 +178,27 @@ def test_links_find_every_component(spark):
     assert {p: find(p) for p in prints} == want
 
 
+@pytest.mark.parametrize("rows", [1, 3, 50])
+def test_runs_go_on_over_batches(rows):
+    """Links don't depend on how a partition is cut into batches, and a run that is too large is passed on whole."""
+    import pyarrow as pa
+
+    rng = random.Random(rows)
+    keys = np.sort(np.array([rng.choice([(1 << 32) | 5, (1 << 32) | 9, (3 << 32) | 2]) for _ in range(60)], np.int64))
+    fps = np.array([rng.getrandbits(2) << 40 | k for k in range(60)], np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[s : s + rows]), pa.array(fps[s : s + rows])], ["key", "fp"]) for s in range(0, 60, rows)]
+    for large in (1000, 10):
+        out = pa.Table.from_batches(simhash._linked(2, large)(iter(batches))).to_pylist()
+        over = sorted((r["a"], r["first"]) for r in out if r["b"] is None)
+        sizes = {k: int((keys == k).sum()) for k in set(keys.tolist())}
+        if large == 1000:
+            assert not over
+        whole = {k for k in sizes if {(f, k >> 32) for f in fps[keys == k].tolist()} <= set(over)}
+        assert sorted((f, k >> 32) for k in whole for f in fps[keys == k].tolist()) == over
+        inner = [(r["a"], r["b"]) for r in out if r["b"] is not None]
+        assert all((a ^ b).bit_count() <= 4 for a, b in inner)
+
+
 def test_near_duplicates(documents):
     rng = random.Random(8)
     base = [text(rng, 300) for _ in range(12)]
@@ -194,7 +216,7 @@ def test_near_duplicates(documents):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_first(docs.limit(0)).count() == 0
-    odd = documents([(None, base[1]), (None, base[2]), (None, base[1]), (4, base[3]), (4, base[4])]).withColumn("_fp", F.lit("clash")).withColumn("_row", F.lit("clash"))
+    odd = documents([(None, base[1]), (None, base[2]), (None, base[1]), (4, base[3]), (4, base[4])]).withColumn("_FP", F.lit("clash")).withColumn("_ROW", F.lit("clash"))
     assert sorted((r.doc_id, r.text) for r in simhash.keep_first(odd).na.fill(-1).collect()) == sorted([(-1, base[1]), (-1, base[2]), (4, base[3]), (4, base[4])])
 
 

@@ -3,10 +3,11 @@
 A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, become a grey PNG 64 samples wide; its text chunk keeps the length before padding. Tasks write
 PNGs as stored members of ZIP archives in the shared folder, each archive under a temporary name that an atomic rename replaces, so a repeated task replaces its own
 archive and a folder never shows half of one. The data source ``archive_members`` plans a partition for every byte range of every archive; a reader takes the members whose headers
-begin in its range, streams them in Arrow batches of bounded size, and on a bad read opens the archive anew at that member's offset, up to RETRIES times, while the others stand.
+begin in its range (every range reads the archive's directory, about 100 bytes a member), streams them in Arrow batches of bounded size, and on a bad read opens the archive anew at that member's offset, up to RETRIES
+times, while the others stand; opening is retried alike. Members written are compared with members listed before any is read.
 
-Defined cases: a null text is an empty one: 64 zero bytes. Long texts are one member each. Repeated rows are members each for themselves. An empty table
-gives no rows. Only id and text are read; a null id comes back null.
+Defined cases: a null text is an empty one: 64 zero bytes. Long texts are one member each, which a task holds alone. Repeated rows are members each for themselves. An empty table
+gives no rows. Only id and text are read, whatever the other columns' names; ids of any type that a string can be cast to, and null, come back as they were.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import struct
 import time
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,28 @@ def from_png(media: bytes) -> tuple[bytes, int]:
     return rows[:, 1:].tobytes(), int(parts[b"tEXt"].partition(b"\0")[2])
 
 
+def member_name(doc_id: str | None) -> str:
+    return "null" if doc_id is None else "=" + quote(doc_id, safe="")
+
+
+def id_of(name: str) -> str | None:
+    own = name.rpartition("/")[2].removesuffix(".png")
+    return None if own == "null" else unquote(own[1:])
+
+
+def retried(act: Callable, again: Callable | None = None):
+    """What ``act`` returns; a bad read is tried RETRIES times, after ``again``."""
+    for attempt in range(RETRIES):
+        try:
+            return act()
+        except (OSError, zipfile.BadZipFile, EOFError):
+            if attempt + 1 == RETRIES:
+                raise
+            time.sleep(0.1 * 2**attempt)
+            if again:
+                again()
+
+
 def _store(uri: str):
     from pyarrow import fs
 
@@ -92,7 +116,7 @@ def _writer(folder: str):
                     sink = pa.PythonFile(store.open_output_stream(temporary, compression=None), mode="w")
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True)
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                name = f"{members:09d}/{'null' if not doc_id.is_valid else doc_id.as_py()}.png"
+                name = f"{members:09d}/{member_name(doc_id.as_py())}.png"
                 archive.writestr(zipfile.ZipInfo(name), to_png(pad(data), len(data)))
                 members += 1
                 if sink.tell() >= ARCHIVE_BYTES:
@@ -107,7 +131,7 @@ def _writer(folder: str):
 
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Write a member for every row into archives in ``folder``; the number of members."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(_writer(folder), "members long").agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).first().n
 
 
@@ -119,6 +143,7 @@ class Range(InputPartition):
 class MemberReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.folder, self.bytes = options["path"], int(options.get("rangebytes", RANGE_BYTES))
+        self.listed = options.get("listed", "false") == "true"  # members without their data
 
     def partitions(self) -> list[Range]:
         from pyarrow import fs
@@ -137,21 +162,20 @@ class MemberReader(DataSourceReader):
             columns = [pa.array([part.path] * len(names)), pa.array(names), pa.array(offsets, pa.int64()), pa.array(media, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["archive", "member", "offset", "media"])
 
-        archive = zipfile.ZipFile(store.open_input_file(part.path))
+        archive = None
+
+        def opened() -> None:
+            nonlocal archive
+            archive = zipfile.ZipFile(store.open_input_file(part.path))
+
+        retried(opened)
         for member in (m for m in archive.infolist() if part.start <= m.header_offset < part.end):
-            for attempt in range(RETRIES):
-                try:
-                    data = archive.read(member)  # seeks to the member's offset and verifies its checksum
-                    break
-                except (OSError, zipfile.BadZipFile, EOFError):
-                    if attempt + 1 == RETRIES:
-                        raise
-                    time.sleep(0.1 * 2**attempt)
-                    archive = zipfile.ZipFile(store.open_input_file(part.path))
+            # Reading seeks to the member's offset and verifies its checksum.
+            data = None if self.listed else retried(lambda m=member: archive.read(m), lambda: retried(opened))
             names.append(member.filename)
             offsets.append(member.header_offset)
             media.append(data)
-            size += len(data)
+            size += len(data or b"") + 100
             if size >= BATCH_BYTES:
                 yield batch()
                 names, offsets, media, size = [], [], [], 0
@@ -173,9 +197,10 @@ class ArchiveMembers(DataSource):
         return MemberReader(self.options)
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, listed: bool = False) -> DataFrame:
+    """All members; with ``listed`` their places alone, from the archives' directories."""
     spark.dataSource.register(ArchiveMembers)
-    return spark.read.format("archive_members").load(folder)
+    return spark.read.format("archive_members").option("listed", str(listed).lower()).load(folder)
 
 
 def feature(payload: bytes) -> str:
@@ -185,28 +210,31 @@ def feature(payload: bytes) -> str:
     mean = float((counts * values).sum() / n)
     deviation = float(np.sqrt(max((counts * values**2).sum() / n - mean**2, 0)))
     p = counts[counts > 0] / n
-    return f"rows={n // WIDTH} mean={mean:.4f} std={deviation:.4f} entropy={float(-(p * np.log2(p)).sum()):.4f} hist=" + ",".join(map(str, counts.reshape(8, 32).sum(axis=1)))
+    return f"rows={n // WIDTH} mean={mean:.4f} std={deviation:.4f} entropy={abs(float((p * np.log2(p)).sum())):.4f} hist=" + ",".join(map(str, counts.reshape(8, 32).sum(axis=1)))
 
 
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FEATURES = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     names = [c.split()[0] for c in _FEATURES.split(", ")]
     for batch in batches:
         rows = []
         for member, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            media, own = value.as_py(), member.rpartition("/")[2].removesuffix(".png")
+            media = value.as_py()
             payload, n = from_png(media)
-            rows.append((None if own == "null" else int(own), n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
+            rows.append((id_of(member), n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
-def media_features(docs: DataFrame, folder: str | None = None) -> DataFrame:
+def media_features(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as media, read the archives back and describe each member."""
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "media")
-    write_archives(docs, folder)
-    return read_archives(spark, folder).select("member", "media").mapInArrow(_described, _FEATURES)
+    written, listed = write_archives(docs, folder, id_col, text_col), read_archives(spark, folder, listed=True).count()
+    if written != listed:
+        raise OSError(f"{written} members were written and {listed} are there")
+    found = read_archives(spark, folder).select("member", "media").mapInArrow(_described, _FEATURES)
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

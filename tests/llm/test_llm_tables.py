@@ -2,10 +2,13 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
+import struct
 import zipfile
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -193,18 +196,37 @@ def test_png_round_trip(n):
         media.from_png(media.to_png(p, n).replace(b"IDAT", b"IDAX"))
 
 
+def described_by_hand(i, t):
+    """The stored form written out by struct and zlib, and the feature by counting."""
+    b = (t or "").encode()
+    p = b + bytes(64 if not b else -len(b) % 64)
+    chunk = lambda k, x: struct.pack(">I", len(x)) + k + x + struct.pack(">I", zlib.crc32(k + x))
+    rows = b"".join(b"\0" + p[s : s + 64] for s in range(0, len(p), 64))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, len(p) // 64, 8, 0, 0, 0, 0)) + chunk(b"tEXt", b"Length\0" + str(len(b)).encode())
+    png += chunk(b"IDAT", zlib.compress(rows, media.LEVEL)) + chunk(b"IEND", b"")
+    count = Counter(p)
+    mean = sum(v * n for v, n in count.items()) / len(p)
+    std = math.sqrt(max(sum(v * v * n for v, n in count.items()) / len(p) - mean**2, 0))
+    entropy = abs(sum(n / len(p) * math.log2(n / len(p)) for n in count.values()))
+    hist = ",".join(str(sum(n for v, n in count.items() if v // 32 == k)) for k in range(8))
+    text = f"rows={len(p) // 64} mean={mean:.4f} std={std:.4f} entropy={entropy:.4f} hist={hist}"
+    return i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(png), hashlib.sha256(png).hexdigest(), text
+
+
+def test_media_ids_of_any_type(spark, tmp_path):
+    rows = [("null", "a"), (None, "b"), ("x/y.png", "c"), ("é =%", "d"), ("", "e")]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "name string, body string, member string")
+    got = media.media_features(docs, f"file://{tmp_path}/m", "name", "body").select("doc_id", "payload_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, hashlib.sha256(t.encode() + bytes(63)).hexdigest()) for i, t in rows), key=str)
+
+
 def test_media(spark, documents, tmp_path, monkeypatch):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice("abé日 \n") for _ in range(rng.randrange(300)))) for i in range(120)] + [(500, None), (501, ""), (502, "z" * 300_000), (None, "no id"), (3, "again"), (3, "again")]
     docs = documents(rows).repartition(3)
     folder = f"file://{tmp_path}/m"
     got = media.media_features(docs, folder).collect()
-    want = []
-    for i, t in rows:
-        b = (t or "").encode()
-        p = b + bytes(64 if not b else -len(b) % 64)
-        want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
-    assert sorted((tuple(r[:5]) for r in got), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, got), key=str) == sorted((described_by_hand(i, t) for i, t in rows), key=str)
     same_text = [tuple(r)[1:] for r in got if r.doc_id == 3 and r.n_bytes == 5]
     assert len(set(same_text)) == 1 and len(same_text) == 2
     # Small ranges cut each archive into many partitions that together read every member once.
@@ -229,6 +251,15 @@ def test_a_bad_read_is_retried_at_its_member(tmp_path, monkeypatch):
         return real(self, member, *a)
 
     monkeypatch.setattr(zipfile.ZipFile, "read", flaky)
+    opened, real_open = [], zipfile.ZipFile.__init__
+
+    def flaky_open(self, *a, **k):
+        opened.append(1)
+        if len(opened) in (1, 3):
+            raise OSError("not yet")
+        return real_open(self, *a, **k)
+
+    monkeypatch.setattr(zipfile.ZipFile, "__init__", flaky_open)
     (batch,) = reader.read(part)
     assert batch.column(3).to_pylist() == [bytes([i]) * 100 for i in range(5)] and len(failed) == 2
     failed[:] = [1] * -9

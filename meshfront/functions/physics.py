@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from meshfront.plans.ranges import check_choice
+
 #: Cgs constants, and kiloparsecs in cm and km.
 K_BOLTZMANN, PROTON_MASS, MSUN, KPC = 1.380649e-16, 1.67262192369e-24, 1.98847e33, 3.0856775814913673e21
 KPC_IN_KM = KPC / 1.0e5
@@ -79,8 +81,7 @@ def dot(a: tuple, b: tuple) -> Column:
 
 def surface_area(base, normal: tuple, mode: str = "normal") -> Column:
     """A front's area in its cell: the face, or the face over the largest direction cosine (at least 1/sqrt 3). A zero normal leaves the face."""
-    if mode not in ("cell", "normal"):
-        raise ValueError("area_mode must be one of: normal, cell")
+    check_choice("area_mode", mode, {"cell", "normal"})
     if mode == "cell":
         return _col(base)
     largest = F.greatest(*(F.abs(_col(c)) for c in normal))
@@ -103,6 +104,5 @@ def normalized(value, low: float, high: float, log: bool = False, stretch: float
 
 
 def projected(plane: str) -> tuple[str, str, str]:
-    if plane not in PLANES:
-        raise ValueError("plane must be one of: xy, xz, yz")
+    check_choice("plane", plane, PLANES)
     return PLANES[plane]

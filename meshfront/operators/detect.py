@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 from functools import reduce
 
@@ -154,7 +155,7 @@ def _plain_planning(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def walk(probe: DataFrame, starts: DataFrame, way: int, max_steps: int) -> DataFrame:
+def walk(probe: DataFrame, starts: DataFrame, way: int, max_steps: int, report: Callable[[int, int], None] | None = None) -> DataFrame:
     """``(row_id, reason, end)`` of every walk from ``starts`` along ``way`` times its normal; ``end`` is the first cell outside the zone, or null.
 
     A round joins the walks still under way with the probes and is written to the shared folder; its count comes with the write. Walks only stand on candidates, and they thin out
@@ -177,6 +178,8 @@ def walk(probe: DataFrame, starts: DataFrame, way: int, max_steps: int) -> DataF
             seen = Observation()
             df = materialize(df.observe(seen, F.count_if(F.col("reason").isNull()).alias("left")), "walk")
             left, done = seen.get["left"], done + hops
+            if report:
+                report(done, left)
             ended.append(df.where("reason IS NOT NULL").select("row_id", "reason", "end"))
             front = df.where("reason IS NULL")
     if left != 0:

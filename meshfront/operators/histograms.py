@@ -31,12 +31,12 @@ def _histogram(df: DataFrame, weight: Column, edges: list[float], volume: float
 def mach_distribution(result: DataFrame, dissipation: DataFrame, mach_bins=None, min_mach: float = 1.5, volume: float | None = None, weight_field: str = "total") -> DataFrame:
     """Dissipated energy by log10 Mach number."""
     if mach_bins is not None and (min(mach_bins) <= 0 or any(b <= a for a, b in zip(mach_bins, mach_bins[1:], strict=False))):
-        raise ValueError("mach_bins must be positive and strictly increasing")
+        raise ValueError(f"edges must rise from above 0: {list(mach_bins)}")
     rows = result.select("row_id", "mach", "shock").join(dissipation.select("row_id", F.col(weight_field).alias("energy")), "row_id")
     strong = F.col("shock") & (F.col("mach") >= min_mach)
     c = rows.agg(F.count_if("shock").alias("shock"), F.count_if(strong).alias("strong"), F.count_if(F.col("energy") > 0).alias("energy"), F.max(F.when(strong & (F.col("energy") > 0), F.col("mach"))).alias("top")).first()
     if c.top is None:
-        raise ValueError(f"no shock in the Mach range dissipates: shock_count={c.shock}, mach_above_min_count={c.strong}, positive_{weight_field}_count={c.energy}; try a smaller min_mach or another weight_field")
+        raise ValueError(f"nothing to count: {c.shock} shocks, {c.strong} of them at Mach {min_mach:g} or more, {c.energy} rows with a positive {weight_field}")
     edges = list(mach_bins) if mach_bins is not None else log_edges(min_mach, max(c.top * 1.001, min_mach * 1.01))
     return _histogram(rows.where(strong & (F.col("energy") > 0)), F.col("energy"), edges, volume or 1.0)
 

@@ -1,12 +1,12 @@
 """Registered mesh queries. Their SQL counterparts are in ``oracles``.
 
-Queries over one mesh share its written stages (links, stencil, detection), as one analysis does; the memo below holds them for a session and data folder. forget() empties it.
+Queries over one mesh share its written stages (links, stencil, detection), as one analysis does; the memo below holds them for a session and the state of a data folder. forget() empties it and deletes them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,53 +16,64 @@ from meshfront.operators import catalog as cat
 from meshfront.operators import detect, histograms, links, raster, stencil, tracks
 from meshfront.operators import dissipation as diss
 from meshfront.plans import oracles
-from meshfront.plans.finder import Detection, ShockFinder
-from meshfront.plans.storage import fresh_dir, materialize
+from meshfront.plans.detector import Detection, Detector
+from meshfront.plans.storage import Scratch, fresh_dir, materialize, stamp
 from meshfront.sources import cells, meshes, store
 
 _MEMO: dict[tuple, Products] = {}
 
 
+def _stage(make: Callable) -> cached_property:
+    """A product that is made when first asked for; its files belong to the products' scratch."""
+
+    @wraps(make)
+    def run(self):
+        with self.scratch:
+            return make(self)
+
+    return cached_property(run)
+
+
 class Products:
-    """What the queries over one mesh share, each made when first asked for."""
+    """What the queries over one mesh share."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, mesh: str) -> None:
-        self.spark, self.sf_dir, self.mesh = spark, sf_dir, mesh
+        self.spark, self.sf_dir, self.mesh, self.scratch = spark, sf_dir, mesh, Scratch()
 
-    @cached_property
-    def finder(self) -> ShockFinder:
-        return ShockFinder()
+    @_stage
+    def finder(self) -> Detector:
+        return Detector()
 
-    @cached_property
+    @_stage
     def cells(self) -> DataFrame:
         table = meshes.two_level_mesh if self.mesh == "two" else meshes.uniform_mesh
         return materialize(cells.prepare(table(self.spark, self.sf_dir), self.finder), "cells")
 
-    @cached_property
+    @_stage
     def links(self) -> DataFrame:
         return links.cached_links(self.cells)
 
-    @cached_property
+    @_stage
     def stencil(self) -> DataFrame:
         return materialize(stencil.stencil(self.cells, self.links, self.finder.gamma), "stencil")
 
-    @cached_property
+    @_stage
     def found(self) -> Detection:
         return self.finder._scan(self.cells, self.links, self.stencil)
 
-    @cached_property
+    @_stage
     def rows(self) -> DataFrame:
         return self.found.rows
 
-    @cached_property
+    @_stage
     def dissipation(self) -> DataFrame:
         return materialize(diss.compute_dissipation(self.cells, self.rows), "dissipation")
 
-    @cached_property
+    @_stage
     def catalog(self) -> cat.Catalog:
         return cat.build_catalog(self.rows, self.links, self.cells, self.dissipation, CATALOG)
 
-    @cached_property
+    @_stage
     def fronts(self) -> DataFrame:
         return materialize(tracks.front_catalog(self.rows, self.dissipation, min_mach=FRONT_MACH), "fronts")
 
@@ -75,11 +86,13 @@ MAP = {"bins": (24, 40), "plane": "xy"}
 
 
 def products(spark: SparkSession, sf_dir: str, mesh: str = "two") -> Products:
-    return _MEMO.setdefault((spark.sparkContext.applicationId, sf_dir, mesh), Products(spark, sf_dir, mesh))
+    key = spark.sparkContext.applicationId, sf_dir, mesh, stamp(spark, f"{sf_dir}/orders.parquet")
+    return _MEMO.setdefault(key, Products(spark, sf_dir, mesh))
 
 
 def forget() -> None:
-    _MEMO.clear()
+    while _MEMO:
+        _MEMO.popitem()[1].scratch.drop()
 
 
 def r6(c: Column | str) -> Column:
@@ -181,7 +194,7 @@ def _cache(s: SparkSession, d: str) -> DataFrame:
 
 
 def _mask(s: SparkSession, d: str) -> DataFrame:
-    finder = ShockFinder(minlevel=0, maxlevel=20, min_temperature=3.0e5, min_density=2.0e6, max_density=4.0e6)
+    finder = Detector(minlevel=0, maxlevel=20, min_temperature=3.0e5, min_density=2.0e6, max_density=4.0e6)
     return cells.prepare(meshes.two_level_mesh(s, d), finder).select("row_id", "level", "mask")
 
 
@@ -191,7 +204,7 @@ def _lattice(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "cells_level_filter": lambda s, d: cells.prepare(meshes.two_level_mesh(s, d), ShockFinder(minlevel=1)).select("row_id", "level"),
+    "cells_level_filter": lambda s, d: cells.prepare(meshes.two_level_mesh(s, d), Detector(minlevel=1)).select("row_id", "level"),
     "cells_detection_mask": _mask,
     "cells_box": lambda s, d: cells.box(meshes.two_level_mesh(s, d), (10.0, 12.0, 14.0), 6.0).select("row_id"),
     "lattice_coords": _lattice,

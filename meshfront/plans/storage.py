@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN: ContextVar[tuple[Scratch, ...]] = ContextVar("open_scratches", default=())
+
+
+class Scratch:
+    """The paths that fresh_dir() gives inside a ``with`` block, which may be entered again and again; drop() deletes what is there once nothing reads it any more."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.spark: SparkSession | None = None
+        self._tokens: list = []
+
+    def __enter__(self) -> Scratch:
+        self._tokens.append(_OPEN.set((*_OPEN.get(), self)))
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OPEN.reset(self._tokens.pop())
+
+    def drop(self) -> None:
+        while self.paths:
+            drop_dir(self.spark, self.paths.pop())
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only a local session may go without the setting: it gets a folder of its own."""
+    """The folder of ``spark.checkpoint.dir``. Only a local session may go without the setting: it gets a folder of its own, which goes when Python ends."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='meshfront-')}"
+        own = tempfile.mkdtemp(prefix="meshfront-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.sparkContext.setCheckpointDir(path)
     return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for scratch in _OPEN.get():
+        scratch.spark = spark
+        scratch.paths.append(path)
+    return path
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -33,6 +64,14 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of change of a table's files: another value if the table was written anew."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in store.listStatus(target)))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table: later jobs neither recompute it nor depend on one executor."""
     path = fresh_dir(df.sparkSession, name)

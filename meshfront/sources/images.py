@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshfront.functions.physics import normalized
-from meshfront.operators.raster import bin_shape, color_limits
+from meshfront.operators.raster import color_limits, pixel_counts
 
 #: Color scales by a few anchors, red, green and blue in 0..1, evenly spaced; colors between them are interpolated.
 SCALES = {
@@ -40,7 +40,7 @@ def colored(raster: DataFrame, scale: str = "night", low: float | None = None, h
 
 def save_png(path: str, colors: DataFrame, bins, bad=(0.0, 0.0, 0.0, 0.0)) -> str:
     """An RGBA file, row 0 at the bottom. The map's size, not the data's, bounds what the driver gets."""
-    ny, nx = bin_shape(bins)
+    ny, nx = pixel_counts(bins)
     image = np.broadcast_to(np.array(bad), (ny, nx, 4)).copy()
     t = colors.select("iy", "ix", "r", "g", "b", "a").toArrow()
     image[t["iy"].to_numpy(), t["ix"].to_numpy()] = np.stack([t[c].to_numpy() for c in "rgba"], axis=1)

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from meshfront.plans.finder import Analysis, ShockFinder
+from meshfront.plans.detector import Analysis, Detector
 
 
-def watch(spark: SparkSession, folder: str, schema, checkpoint: str, finder: ShockFinder, publish: Callable[[Analysis, str, int], None], key: str = "snapshot") -> StreamingQuery:
+def watch(spark: SparkSession, folder: str, schema, checkpoint: str, detector: Detector, publish: Callable[[Analysis, str, int], None], key: str = "snapshot") -> StreamingQuery:
     """Analyse every snapshot that lands in ``folder``, a file for each, and hand it to ``publish(analysis, snapshot, batch_id)``.
 
     A region is complete within its file, so no state is kept between batches and there is nothing to arrive late. A batch that is run again
@@ -19,7 +19,7 @@ def watch(spark: SparkSession, folder: str, schema, checkpoint: str, finder: Sho
 
     def each(batch: DataFrame, batch_id: int) -> None:
         for r in batch.select(key).distinct().collect():  # one row for each file in the batch
-            analysis = finder.analyze(batch.where(batch[key] == r[0]).drop(key))
+            analysis = detector.analyze(batch.where(batch[key] == r[0]).drop(key))
             publish(analysis, r[0], batch_id)
             analysis.clear()
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshfront.operators import detect, links
-from meshfront.plans.finder import ShockFinder
+from meshfront.plans.detector import Detector
 from meshfront.plans.settings import Settings
 from meshfront.sources import cells, meshes
 
@@ -41,9 +41,9 @@ def test_many_steps_only_warn():
 def test_level_filter_and_mask(spark):
     levels = [12, 13, 13, 14, 14, 20, 21, 22]
     base = meshes.line_mesh(spark).withColumn("level", F.element_at(F.array(*map(F.lit, levels)), (F.col("row_id") + 1).cast("int")))
-    kept = cells.prepare(base.withColumn("dx", F.lit(1.0)), ShockFinder(minlevel=13, maxlevel=20))
+    kept = cells.prepare(base.withColumn("dx", F.lit(1.0)), Detector(minlevel=13, maxlevel=20))
     assert sorted(r.row_id for r in kept.collect()) == [1, 2, 3, 4, 5]
-    masked = cells.prepare(meshes.line_mesh(spark), ShockFinder(min_temperature=2.0e4, max_density=3.0))
+    masked = cells.prepare(meshes.line_mesh(spark), Detector(min_temperature=2.0e4, max_density=3.0))
     assert masked.count() == 8 and masked.where("mask").count() == 4
 
 
@@ -107,7 +107,7 @@ def test_links_against_brute_force(spark):
 
 
 def test_link_cache_is_used_and_depends_on_geometry_alone(spark, tmp_path, monkeypatch):
-    finder, calls = ShockFinder(neighbor_cache_dir=f"file://{tmp_path}"), []
+    finder, calls = Detector(neighbor_cache_dir=f"file://{tmp_path}"), []
     build = links.build_links
     monkeypatch.setattr(links, "build_links", lambda c: calls.append(1) or build(c))
     for mesh in (meshes.line_mesh(spark), meshes.line_mesh(spark).withColumn("T", F.col("T") * 2)):
@@ -119,7 +119,7 @@ def test_link_cache_is_used_and_depends_on_geometry_alone(spark, tmp_path, monke
 
 
 def test_line(spark):
-    finder = ShockFinder()
+    finder = Detector()
     found = finder.find(meshes.line_mesh(spark))
     own = shocks(found)
     assert list(own) == [3]
@@ -134,7 +134,7 @@ def test_planar_shocks_recover_the_mach_number(spark):
     for k, m in enumerate((1.5, 2.0, 5.0, 10.0), 1):
         more = meshes.planar_shock(spark, m, 18, 9).withColumns({"row_id": F.col("row_id") + 100 * k, "y": F.lit(0.5 + 10 * k)})
         df = df.unionByName(more)
-    own = shocks(ShockFinder().find(df))
+    own = shocks(Detector().find(df))
     assert {i: round(r.mach, 9) for i, r in own.items()} == {8: 3.0, 108: 1.5, 208: 2.0, 308: 5.0, 408: 10.0}
     assert all((r.upstream_index, r.downstream_index) == (i - 1, i + 2) for i, r in own.items())
 
@@ -144,21 +144,21 @@ def test_no_shock_without_convergence_or_jump(spark):
     contact, rarefaction = base.withColumn("vx", F.lit(0.0)), base.withColumn("vx", -F.col("vx"))
     mismatch = base.withColumn("rho", F.lit(4.0e6) - F.col("rho"))
     for df in (contact, rarefaction, mismatch):
-        assert not shocks(ShockFinder().find(df))
-    assert not shocks(ShockFinder(min_mach=1.5).find(meshes.planar_shock(spark, 1.3, 12)))
+        assert not shocks(Detector().find(df))
+    assert not shocks(Detector(min_mach=1.5).find(meshes.planar_shock(spark, 1.3, 12)))
 
 
 def test_a_masked_cell_may_end_a_walk(spark):
-    masked = shocks(ShockFinder(min_temperature=2.0e4).find(meshes.line_mesh(spark)))
+    masked = shocks(Detector(min_temperature=2.0e4).find(meshes.line_mesh(spark)))
     assert masked[4].upstream_index == 3 and masked[4].downstream_index == 5
 
 
 def test_step_limits(spark):
-    finder = ShockFinder(max_steps=1)
+    finder = Detector(max_steps=1)
     found = finder.find(meshes.line_mesh(spark))
     counts = finder.diagnose(found).first()
     assert not shocks(found) and counts.downstream_step_limit == 1 and counts.nonconverging_exit == 1
-    finder = ShockFinder(max_steps=0)
+    finder = Detector(max_steps=0)
     found = finder.find(meshes.line_mesh(spark))
     assert not shocks(found) and finder.diagnose(found).first().upstream_step_limit == 1
 
@@ -175,12 +175,12 @@ def test_center_step_limit_replays_in_row_order(spark):
 
 def test_partitions_do_not_matter(spark):
     mesh = meshes.grid_mesh(spark)
-    first = sorted(ShockFinder().find(mesh.repartition(1)).rows.collect())
-    assert sorted(ShockFinder().find(mesh.repartition(17, "x")).rows.collect()) == first
+    first = sorted(Detector().find(mesh.repartition(1)).rows.collect())
+    assert sorted(Detector().find(mesh.repartition(17, "x")).rows.collect()) == first
 
 
 def test_empty_mesh(spark):
-    finder = ShockFinder(minlevel=3, maxlevel=4)
+    finder = Detector(minlevel=3, maxlevel=4)
     a = finder.analyze(meshes.line_mesh(spark))
     assert a.counts == {"retained": 0, "shock": 0, "representative": 0, "groups": 0}
     a.clear()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from meshfront.plans.finder import ShockFinder
+from meshfront.plans.detector import Detector
 from meshfront.sources import meshes
 from meshfront.streaming.snapshots import merged_maximum, watch
 
@@ -14,7 +14,7 @@ def test_each_snapshot_is_analysed_once(spark, tmp_path):
     schema = spark.read.parquet(f"file://{tmp_path}/in/a").schema
 
     def run():
-        q = watch(spark, f"file://{tmp_path}/in/*", schema, f"file://{tmp_path}/state", ShockFinder(), lambda a, name, batch: seen.append((name, a.counts["shock"])))
+        q = watch(spark, f"file://{tmp_path}/in/*", schema, f"file://{tmp_path}/state", Detector(), lambda a, name, batch: seen.append((name, a.counts["shock"])))
         q.awaitTermination()
 
     run()

@@ -280,6 +280,28 @@ def test_query(spark, name):
         assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_pipeline_of_odd_tables(spark, documents, tmp_path):
+    """Empty tables, clashing columns, nulls everywhere, long runs of blanks and a repeated row go through every stage."""
+    base = [(1, None, None, None), (None, None, None, None), (2, "", "en", "a"), (3, " " * 1_100_000 + "x y z", "en", "a"), (4, "word " * 300_000, "en", None), *[(5, "one row many times over", "en", "b")] * 200, (5, "another text of five", None, "b")]
+    labels = spark.createDataFrame([(1, None, None), (None, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    for k, rows in enumerate((base, [])):
+        sf = f"file://{tmp_path}/sf{k}"
+        docs = documents(rows)
+        for c in ("_row", "_FP", "_copies", "_pii_new", "n_card", "_pii_Found"):
+            docs = docs.withColumn(c, F.lit("clash"))
+        docs.write.parquet(f"{sf}/documents.parquet")
+        (labels if rows else labels.limit(0)).write.parquet(f"{sf}/labels.parquet")
+        now = spark.read.parquet(f"{sf}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, sf)
+            assert out.columns == docs.columns, name
+            out.write.parquet(f"{sf}/{name}")
+            now = spark.read.parquet(f"{sf}/{name}")
+        assert now.where("`_pii_new` <> 'clash' OR `_FP` <> 'clash' OR `_row` <> 'clash'").count() == 0
+        packed = corpus_pipeline.run(spark, sf).collect()
+        assert {r.doc_id for r in packed} == ({3, 4, 5} if rows else set())
+
+
 def test_pipeline(spark, documents, tmp_path):
     """Each stage's decision takes effect, and what is left is packed whole."""
     rng = random.Random(5)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshfront.llm.common import WORD, free_name
-from meshfront.plans.storage import materialize, release
+from meshfront.plans.storage import materialize
 
 #: Hash ranges of each source.
 BUCKETS = 4096
@@ -84,13 +84,13 @@ def _lined_up(sized: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def queue(sized: DataFrame, shares: DataFrame, max_repeat: int = 3) -> DataFrame:
-    """All quanta of all copies, range-sorted by virtual finish time: ``(row, skey, epoch, start, words, virtual_finish)``."""
+    """All quanta of all copies, range-sorted by virtual finish time: ``(row, size, skey, epoch, start, words, virtual_finish)``."""
     rows = _lined_up(sized, shares).withColumn("quantum", F.greatest(F.lit(1), F.floor(F.col("target") / QUANTA)).cast("long"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))).alias("epoch"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.col("quantum")))).alias("k"))
     begin = F.col("start") + F.col("epoch") * F.col("source_size") + F.col("k") * F.col("quantum")
     words = F.least("quantum", F.col("size") - F.col("k") * F.col("quantum"))
-    out = rows.select("row", "skey", "epoch", begin.alias("start"), words.alias("words"), ((begin + words) / F.col("target")).alias("virtual_finish"))
+    out = rows.select("row", "size", "skey", "epoch", begin.alias("start"), words.alias("words"), ((begin + words) / F.col("target")).alias("virtual_finish"))
     by = ["virtual_finish", "skey", "start"]
     return out.repartitionByRange(*by).sortWithinPartitions(*by)
 
@@ -109,7 +109,7 @@ def schedule(sized: DataFrame, weights=WEIGHTS, max_repeat: int = 3, budget: int
     ahead = Window.partitionBy("shard").orderBy("virtual_finish", "skey", "start").rowsBetween(Window.unboundedPreceding, -1)
     last = rows.where("n > left").withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
     cut = last.where("ahead < left").withColumn("taken", F.least("words", F.col("left") - F.col("ahead")))
-    names = ["row", "skey", "epoch", "start", "words", "virtual_finish", "shard"]
+    names = ["row", "size", "skey", "epoch", "start", "words", "virtual_finish", "shard"]
     return rows.where("n <= left").select(*names, F.col("words").alias("taken")).unionAll(cut.select(*names, "taken"))
 
 
@@ -126,9 +126,7 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     row, copies = (free_name(docs.columns, n) for n in ("row", "copies"))
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     sized = sized_documents(numbered.select(F.col(f"`{row}`"), "doc_id", "text", "source"), row=F.col(row))
-    own = schedule(sized, **how).groupBy("row", "epoch").agg(F.sum("taken").alias("taken"))
-    times = own.join(sized.select("row", "size"), "row").where("2 * taken >= size").groupBy("row").agg(F.count("*").cast("int").alias(copies))
-    times = materialize(times.withColumnRenamed("row", row), "copies")
-    release(sized)
+    own = schedule(sized, **how).groupBy("row", "epoch").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    times = own.where("2 * taken >= size").groupBy("row").agg(F.count("*").cast("int").alias(copies)).withColumnRenamed("row", row)
     out = numbered.join(times.hint("merge"), row)
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(copies)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -80,47 +80,54 @@ def centers(stepped: DataFrame) -> DataFrame:
 
 
 def long_paths(stepped: DataFrame, limit: int) -> int:
-    """How many starts, in row order, exceed ``limit`` moves to a center or to a row that is already resolved.
+    """How many starts, in row order, need more than ``limit`` moves to a center or to a row that an earlier start has resolved.
 
-    Jumps double their length each round and end when all have arrived. Only if some row is farther than the limit from its center are trees replayed in row order.
+    A start resolves its whole path, so what is resolved includes all that lies ahead of it: a start finds a resolved row within ``limit`` moves if and only if the row just ``limit`` moves
+    ahead is resolved by then. ``first`` of a row is the earliest start that resolves it. Starts no farther than ``limit`` from their center are known at once; each round then
+    adds those whose mark has an earlier ``first``, until none is added. Jumps double their length, so depths, marks and the way of ``first`` ahead take a logarithm of the longest path in joins.
     """
-    now = materialize(stepped.select("row_id", F.col("next_id").alias("to"), F.lit(1).cast("long").alias("span")).withColumn("span", (F.col("row_id") != F.col("to")).cast("long")), "jumps")
-    while now.agg(F.max("span").alias("m")).first().m:
-        ahead = now.select(F.col("row_id").alias("mid"), F.col("to").alias("then"), F.col("span").alias("more"))
-        after = materialize(now.join(ahead, F.col("to") == F.col("mid")).select("row_id", F.col("then").alias("to"), (F.col("span") + F.col("more")).alias("span")), "jumps")
-        moved = after.join(now.select("row_id", F.col("to").alias("was")), "row_id").where("to <> was").limit(1).count()
-        release(now)
-        now = after
-        if not moved:
+    moved = F.col("row_id") != F.col("next_id")
+    hops = [materialize(stepped.select("row_id", F.col("next_id").alias("to"), moved.cast("long").alias("span")), "jumps")]  # hops[k]: 2**k moves ahead, or the center
+    while hops[-1].where("span > 0").limit(1).count():
+        now = hops[-1]
+        then = now.select(F.col("row_id").alias("mid"), F.col("to").alias("then"), F.col("span").alias("more"))
+        ahead = now.join(then, F.col("to") == F.col("mid")).select("row_id", F.col("then").alias("to"), (F.col("span") + F.col("more")).alias("span"))
+        hops.append(materialize(ahead, "jumps"))
+        if not hops[-1].join(now.select("row_id", F.col("to").alias("was")), "row_id").where("to <> was").limit(1).count():
             break
-    far = now.where(F.col("span") > limit).select("to").distinct()
-    if not far.limit(1).count():
+    depth = hops[-1].select("row_id", F.col("span").alias("depth"))
+    if not depth.where(F.col("depth") > limit).limit(1).count():
+        for h in hops:
+            release(h)
         return 0
-
-    def replay(rows):
-        ids = dict(zip(rows["row_id"], rows["next_id"], strict=True))
-        resolved, failed = set(), 0
-        for i in sorted(ids):
-            if i in resolved:
-                continue
-            path, at, done = [], i, False
-            for _ in range(limit + 1):
-                if at in resolved:
-                    done = True
-                    break
-                path.append(at)
-                if ids[at] == at:
-                    done = True
-                    break
-                at = ids[at]
-            if done:
-                resolved.update(path)
-            else:
-                failed += 1
-        return rows.head(1).assign(failed=failed)[["failed"]]
-
-    trees = stepped.select("row_id", "next_id").join(now.select("row_id", "to"), "row_id").join(far, "to", "left_semi")
-    return trees.groupBy("to").applyInPandas(replay, "failed long").agg(F.sum("failed").alias("n")).first().n
+    mark = stepped.select("row_id", F.col("row_id").alias("mark"))
+    for k in range(limit.bit_length()):
+        if limit >> k & 1:
+            step = hops[min(k, len(hops) - 1)].select(F.col("row_id").alias("mid"), F.col("to").alias("then"))
+            mark = mark.join(step, F.col("mark") == F.col("mid")).select("row_id", F.col("then").alias("mark"))
+    rows = materialize(mark.join(depth, "row_id"), "marks")
+
+    def spread(first: DataFrame) -> DataFrame:
+        """The least ``first`` of each row and of all rows behind it."""
+        for h in hops:
+            onward = first.join(h.select("row_id", "to"), "row_id").select(F.col("to").alias("row_id"), "first")
+            first = first.unionAll(onward).groupBy("row_id").agg(F.min("first").alias("first"))
+        return materialize(first, "firsts")
+
+    done, known = 0, rows.where(F.col("depth") <= limit).select("row_id", F.col("row_id").alias("first"))
+    while True:
+        first = spread(known)
+        late = rows.where(F.col("depth") > limit).join(first.select(F.col("row_id").alias("mark"), "first"), "mark").where("first < row_id")
+        n = late.count()
+        if n == done:
+            break
+        done, known = n, rows.where(F.col("depth") <= limit).select("row_id", F.col("row_id").alias("first")).unionAll(late.select("row_id", F.col("row_id").alias("first")))
+        known = materialize(known, "known")
+        release(first)
+    failed = rows.where(F.col("depth") > limit).count() - done
+    for df in (*hops, rows, first):
+        release(df)
+    return failed
 
 
 def _wall(c: str, axis: int) -> str:

@@ -7,7 +7,6 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from meshfront.functions.physics import KPC_IN_KM, norm
 from meshfront.operators.components import connected_components
@@ -52,32 +51,36 @@ def component_numbers(labels: DataFrame) -> DataFrame:
     return sequential(labels.select("root").distinct(), [F.col("root")], "component_id")
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _principal(cov: pd.Series) -> pd.Series:
-    """First eigenvector of the covariance sums xx, xy, xz, yy, yz, zz: a row for each component."""
+@F.pandas_udf("axis array<double>, gap double")
+def _principal(cov: pd.Series) -> pd.DataFrame:
+    """First eigenvector of the covariance sums xx, xy, xz, yy, yz, zz, and how far its eigenvalue is ahead of the next: a row for each component."""
     import numpy as np
 
     a = np.array(cov.tolist()).reshape(-1, 6)[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-    return pd.Series(list(np.linalg.eigh(a)[1][:, :, 2]))
+    values, vectors = np.linalg.eigh(a)
+    gap = np.divide(values[:, 2] - values[:, 1], values[:, 2], out=np.zeros(len(a)), where=values[:, 2] > 0)
+    return pd.DataFrame({"axis": list(vectors[:, :, 2]), "gap": gap})
 
 
 def component_extents(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(root, size, total_flux, extent)``: extent along the first principal axis. Covariances fold partially, so no component is gathered in one task."""
+    """``(root, size, total_flux, extent, gap)``: extent along the first principal axis, which is a matter of chance where ``gap`` is 0. Covariances fold partially, so no component is gathered in one task."""
     rows = points.join(labels, "row_id")
     means = rows.groupBy("root").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
     rows = rows.join(means, "root").select("root", "flux", *((F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"))
-    folds = rows.groupBy("root").agg(F.count("*").alias("size"), F.sum("flux").alias("total_flux"), F.array(*(F.sum(F.col(a) * F.col(b)) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))).alias("cov"))
-    axes = folds.select("root", "size", "total_flux", _principal("cov").alias("axis"))
+    squares = F.array(*(F.sum(F.col(a) * F.col(b)) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
+    folds = rows.groupBy("root").agg(F.count("*").alias("size"), F.sum("flux").alias("total_flux"), squares.alias("cov"))
+    axes = folds.select("root", "size", "total_flux", _principal("cov").alias("p")).select("root", "size", "total_flux", "p.axis", "p.gap")
     along = sum(F.col(c) * F.get("axis", F.lit(k)) for k, c in enumerate("xyz"))
     spans = rows.join(axes.select("root", "axis"), "root").groupBy("root").agg((F.max(along) - F.min(along)).alias("extent"))
-    return axes.select("root", "size", "total_flux").join(spans, "root").select("root", "size", "total_flux", F.when(F.col("size") > 1, F.col("extent")).otherwise(0.0).alias("extent"))
+    extent = F.when(F.col("size") > 1, F.col("extent")).otherwise(0.0)
+    return axes.drop("axis").join(spans, "root").select("root", "size", "total_flux", extent.alias("extent"), "gap")
 
 
 def filter_large_fronts(fronts: DataFrame, link_length: float = 50 * KPC_IN_KM, min_cells: int = 30, min_extent: float = 300 * KPC_IN_KM, min_total_flux: float = 0.0) -> DataFrame:
-    """Fronts of large components with ``component_id``, ``component_size``, ``component_extent`` and ``component_total_flux``."""
+    """Fronts of large components with ``component_id``, ``component_size``, ``component_extent``, ``component_total_flux`` and ``component_gap``."""
     labels = materialize(spatial_components(fronts, link_length), "components")
     large = component_extents(fronts, labels).where((F.col("size") >= min_cells) & (F.col("extent") >= min_extent) & (F.col("total_flux") >= min_total_flux))
-    named = large.join(component_numbers(labels), "root").select("root", "component_id", F.col("size").alias("component_size"), F.col("extent").alias("component_extent"), F.col("total_flux").alias("component_total_flux"))
+    named = large.join(component_numbers(labels), "root").select("root", "component_id", F.col("size").alias("component_size"), F.col("extent").alias("component_extent"), F.col("total_flux").alias("component_total_flux"), F.col("gap").alias("component_gap"))
     return fronts.join(labels, "row_id").join(named, "root").drop("root")
 
 

@@ -61,6 +61,10 @@ class Products:
     def found(self) -> Detection:
         return self.finder._scan(self.cells, self.links, self.stencil)
 
+    @_stage
+    def limited(self) -> Detection:
+        return LIMITED._scan(self.cells, self.links, self.stencil)
+
     @_stage
     def rows(self) -> DataFrame:
         return self.found.rows
@@ -81,6 +85,8 @@ class Products:
 #: Catalog settings of the queries: both classes and both kinds of surfaces occur with them.
 CATALOG = cat.CatalogSettings(deduplicate=True, min_mach=1.0, external_temperature=2.0e5)
 FRONT_MACH, FRONT_LINK, RADIUS = 1.8, 1.8, 3.0
+#: Limits low enough to be met.
+LIMITED = Detector(min_mach=1.5, max_steps=2, max_center_steps=1)
 #: A map of the two-level mesh that doesn't line up with its cells.
 MAP = {"bins": (24, 40), "plane": "xy"}
 
@@ -120,6 +126,34 @@ def _unpivot(df: DataFrame) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.name", "p.n")
 
 
+def _faces(c: str) -> Column:
+    return F.concat_ws("", F.transform(c, lambda x: x.cast("int").cast("string"))).alias("faces")
+
+
+def _per_cell(df: DataFrame) -> DataFrame:
+    """Every retained cell; magnitudes as logarithms but just above Mach 1, where the efficiency cancels."""
+    strong = lambda v: lg(F.when(F.col("mach") >= 1.02, v).otherwise(0.0))
+    return df.select("row_id", r6(F.col("flux") / 1e38).alias("flux"), strong(F.col("flux")).alias("lg_flux"), strong(F.col("total")).alias("lg_total"), lg(F.col("area") * 1e33).alias("lg_area"), r6("efficiency").alias("efficiency"), r6("sound_speed").alias("sound_speed"))
+
+
+def _cell_area(s: SparkSession, d: str) -> DataFrame:
+    p = products(s, d)
+    return _per_cell(diss.compute_dissipation(p.cells, p.rows, area_mode="cell").join(p.rows.select("row_id", "mach"), "row_id"))
+
+
+def _plain_groups(s: SparkSession, d: str) -> DataFrame:
+    """Without dissipation areas are in squared position units."""
+    p = products(s, d)
+    groups = cat.build_catalog(p.rows, p.links, p.cells, None, CATALOG).groups
+    return groups.select("root", "n_centers", r6("area").alias("area"), r6("mach_mean").alias("mach_mean"), "area_unit")
+
+
+def _levels(s: SparkSession, d: str) -> DataFrame:
+    c = products(s, d).cells
+    widest = c.agg(F.max("dx").alias("m")).first().m
+    return c.select("row_id", physics.inferred_level(F.lit(widest), "dx").alias("level"))
+
+
 def _shocks(s: SparkSession, d: str) -> DataFrame:
     return products(s, d).rows.where("shock").select("row_id", r6("mach").alias("mach"), "upstream_index", "downstream_index", r6("nx").alias("nx"), r6("ny").alias("ny"), r6("nz").alias("nz"), "level", r6("zone_width").alias("zone_width"))
 
@@ -130,10 +164,15 @@ def _curve(s: SparkSession, d: str) -> DataFrame:
     return grid.select("id", r6(jump).alias("temperature_ratio"), r6(physics.density_jump("mach")).alias("density_ratio"), r6(physics.mach_from_temperature_jump(jump)).alias("mach_back"), r6(physics.mach_from_jump_monatomic(jump)).alias("mach_closed"))
 
 
-def _groups(g: DataFrame) -> DataFrame:
-    exact = ["group_id", "root", "n_centers", "level_min", "level_max", "level_count", "classification", "touches_boundary", "is_complete"]
+def _groups(g: DataFrame, *more) -> DataFrame:
+    """The summary's values, all but root and faces, in comparable form.""" 
+    exact = ["group_id", "n_centers", "level_min", "level_max", "level_count", "classification", "touches_boundary", "is_complete"]
     rounded = ["mach_peak", "mach_mean", "centroid_x", "centroid_y", "centroid_z", "normal_x", "normal_y", "normal_z", "xmin", "xmax", "ymin", "ymax", "zmin", "zmax", "external_fraction", "valid_upstream_fraction", "classification_confidence", "mach_std", "normal_dispersion", "zone_width_mean", "zone_width_min", "zone_width_max"]
-    return g.select(*exact, *(r6(c).alias(c) for c in rounded), lg(F.col("area") * 1e33).alias("lg_area"), r6(F.col("dissipation_total") / 1e5).alias("dissipation"), lg("upstream_temperature").alias("lg_temperature"), lg("upstream_density").alias("lg_density"), F.concat_ws(";", "quality_flags").alias("flags"))
+    return g.select(*exact, *(r6(c).alias(c) for c in rounded), lg(F.col("area") * 1e33).alias("lg_area"), r6(F.col("dissipation_total") / 1e5).alias("dissipation"), lg("upstream_temperature").alias("lg_temperature"), lg("upstream_density").alias("lg_density"), F.concat_ws(";", "quality_flags").alias("flags"), *more)
+
+
+def _whole_groups(g: DataFrame) -> DataFrame:
+    return _groups(g, "root", _faces("boundary_faces"))
 
 
 def _sensitivity(s: SparkSession, d: str) -> DataFrame:
@@ -172,25 +211,28 @@ def _crossings(s: SparkSession, d: str) -> DataFrame:
 
 def _round_trip(s: SparkSession, d: str) -> DataFrame:
     path = store.save_catalog(fresh_dir(s, "catalog"), products(s, d).catalog)
-    return _groups(store.load_catalog(s, path).groups)
+    return _whole_groups(store.load_catalog(s, path).groups)
 
 
 def _csv(s: SparkSession, d: str) -> DataFrame:
     path = store.save_csv(fresh_dir(s, "csv"), products(s, d).catalog)
-    df = s.read.csv(path, header=True)
-    return df.select(F.col("group_id").cast("long").alias("group_id"), F.col("n_centers").cast("long").alias("n_centers"), r6(F.col("mach_peak").cast("double")).alias("mach_peak"), "classification", F.coalesce("quality_flags", F.lit("")).alias("flags"))
+    kinds = dict(products(s, d).catalog.groups.dtypes) | {"quality_flags": "string"}
+    df = s.read.schema(", ".join(f"{c} {kinds[c]}" for c in store.CSV_COLUMNS)).csv(path, header=True, enforceSchema=False)
+    return _groups(df.withColumn("quality_flags", F.coalesce("quality_flags", F.lit(""))), "area_unit")
 
 
 def _upgrade(s: SparkSession, d: str) -> DataFrame:
     old = products(s, d).catalog.groups.select(*store.required_fields(1))
     g = store.upgrade_v1(old)
-    return g.select("group_id", "level_count", r6("valid_upstream_fraction").alias("valid_upstream_fraction"), r6("classification_confidence").alias("classification_confidence"), "is_complete", F.concat_ws(";", "quality_flags").alias("flags"))
+    same = ["group_id", "touches_boundary", "is_complete", "level_count", "zone_width_mean", "zone_width_min", "zone_width_max", "valid_upstream_fraction"]
+    unknown = (F.isnan(c).alias(f"{c}_unknown") for c in ("mach_std", "normal_dispersion"))
+    return g.select(*same, *unknown, _faces("boundary_faces"), r6("classification_confidence").alias("classification_confidence"), F.concat_ws(";", "quality_flags").alias("flags"))
 
 
 def _cache(s: SparkSession, d: str) -> DataFrame:
     p, folder = products(s, d), fresh_dir(s, "cache")
     links.cached_links(p.cells, folder)
-    return links.cached_links(p.cells, folder).groupBy("kind").agg(F.count("*").alias("n"))
+    return links.cached_links(p.cells, folder)
 
 
 def _mask(s: SparkSession, d: str) -> DataFrame:
@@ -211,21 +253,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "links_same": _links("uniform", "same"),
     "links_coarse": _links("two", "coarse"),
     "links_fine": _links("two", "fine"),
-    "face_samples": lambda s, d: stencil.face_samples(products(s, d).cells, products(s, d).links).select("row_id", "face", r6("v").alias("v"), r6("t").alias("t"), r6("s").alias("s")),
-    "stencil_divergence": lambda s, d: products(s, d, "uniform").stencil.select("row_id", r6("divv").alias("divv"), "valid"),
+    "face_samples": lambda s, d: stencil.face_samples(products(s, d).cells, products(s, d).links).select("row_id", "face", r6(F.coalesce("p", F.lit(-1.0))).alias("p"), r6("v").alias("v"), r6("t").alias("t"), r6("s").alias("s")),
+    "stencil_divergence": lambda s, d: products(s, d, "uniform").stencil.select("row_id", r6("divv").alias("divv"), "valid", *(r6(F.col(f"gt{a}") / 1e6).alias(f"gt{a}") for a in "xyz"), *(r6(f"gs{a}").alias(f"gs{a}") for a in "xyz")),
     "candidates": lambda s, d: products(s, d).stencil.where("candidate").select("row_id"),
     "center_next": lambda s, d: products(s, d).found.stepped.select("row_id", "next_id"),
     "shock_centers": lambda s, d: detect.centers(products(s, d).found.stepped).select("row_id"),
     "walk_endpoints": lambda s, d: _walks(products(s, d)),
     "walk_diagnostics": lambda s, d: _unpivot(products(s, d).finder.diagnose(products(s, d).found)),
+    "walk_diagnostics_limited": lambda s, d: _unpivot(LIMITED.diagnose(products(s, d).limited)),
+    "shocks_limited": lambda s, d: products(s, d).limited.rows.where("shock").select("row_id", r6("mach").alias("mach"), "upstream_index", "downstream_index"),
     "shocks": _shocks,
     "jump_relations": _curve,
     "efficiency_curve": lambda s, d: meshes.mach_grid(s, d).select("id", r6(physics.thermalization_efficiency("mach")).alias("efficiency")),
     "upstream_state": lambda s, d: diss.upstream_state(products(s, d).rows.where("shock"), products(s, d).cells).select("row_id", r6("up_temp").alias("up_temp"), r6("up_rho").alias("up_rho")),
-    "dissipation": lambda s, d: products(s, d).dissipation.where("flux > 0").select("row_id", r6(F.col("flux") / 1e38).alias("flux"), r6(F.col("total") / 1e5).alias("total"), lg(F.col("area") * 1e33).alias("lg_area"), r6("efficiency").alias("efficiency"), r6("sound_speed").alias("sound_speed")),
-    "center_representatives": lambda s, d: products(s, d).catalog.cells.where("center_representative >= 0").select("row_id", "center_representative"),
+    "dissipation": lambda s, d: _per_cell(products(s, d).dissipation.join(products(s, d).rows.select("row_id", "mach"), "row_id")),
+    "dissipation_cell_area": _cell_area,
+    "center_representatives": lambda s, d: products(s, d).catalog.cells.select("row_id", "center_representative"),
     "group_labels": lambda s, d: products(s, d).catalog.members().join(products(s, d).catalog.groups.select("group_id", "root"), "group_id").select("row_id", "root"),
-    "shock_groups": lambda s, d: _groups(products(s, d).catalog.groups),
+    "shock_groups": lambda s, d: _whole_groups(products(s, d).catalog.groups),
     "group_quality_flags": lambda s, d: products(s, d).catalog.groups.select("root", F.explode("quality_flags").alias("flag")),
     "group_preview": lambda s, d: cat.preview(products(s, d).catalog.groups).select("group_id", "n_centers", r6("mach_peak").alias("mach_peak")),
     "quality_summary": lambda s, d: cat.quality_summary(products(s, d).catalog.groups).select("n_groups", "n_complete", "n_boundary", lg(F.col("surface_area") * 1e33).alias("lg_area"), lg("dissipation_total").alias("lg_dissipation")),
@@ -245,11 +290,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_dense": lambda s, d: raster.densified(raster.mach_map(products(s, d).rows, **MAP), MAP["bins"]).select("iy", "ix", r6(F.when(F.isnan("value"), -1.0).otherwise(F.col("value"))).alias("value")),
     "mach_distribution": lambda s, d: histograms.mach_distribution(products(s, d).rows, products(s, d).dissipation, mach_bins=[1.2, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0], min_mach=1.2).select("bin", lg("value").alias("value")),
     "surface_histogram": lambda s, d: histograms.surface_histogram(products(s, d).rows, [1.5, 2.0, 3.0, 4.0, 6.0]).select("bin", r6("value").alias("value")),
-    "external_internal": lambda s, d: histograms.external_internal(products(s, d).rows, products(s, d).cells, threshold=2.0e5).where("external OR internal"),
+    "external_internal": lambda s, d: histograms.external_internal(products(s, d).rows, products(s, d).cells, threshold=2.0e5),
     "front_catalog": lambda s, d: products(s, d).fronts.select("row_id", r6("mach").alias("mach"), lg("flux").alias("lg_flux"), r6("nx").alias("nx"), r6("ny").alias("ny"), r6("nz").alias("nz"), "valid_normal"),
     "front_components": lambda s, d: _components(products(s, d)),
-    "front_extent": lambda s, d: tracks.component_extents(products(s, d).fronts, _components(products(s, d))).select("root", "size", lg("total_flux").alias("lg_flux"), r6("extent").alias("extent")),
-    "front_large": lambda s, d: tracks.filter_large_fronts(products(s, d).fronts, FRONT_LINK, 5, 2.0).select("row_id", "component_size"),
+    "front_extent": lambda s, d: tracks.component_extents(products(s, d).fronts, _components(products(s, d))).select("root", "size", lg("total_flux").alias("lg_flux"), r6(F.when(F.col("size") == 1, 0.0).when(F.col("gap") < 1e-6, -1.0).otherwise(F.col("extent"))).alias("extent")),
+    "front_large": lambda s, d: tracks.filter_large_fronts(products(s, d).fronts, FRONT_LINK, 5, 2.0).where("component_gap >= 1e-6").select("row_id", "component_size"),
     "track_nearest_front": lambda s, d: tracks.nearest_front(meshes.tracks(s, d), products(s, d).fronts, RADIUS).select("galaxy_id", F.coalesce("front.row_id", F.lit(-1).cast("long")).alias("front"), r6(F.coalesce("far", F.lit(-1.0))).alias("far")),
     "track_crossing": lambda s, d: _crossings(s, d).select("galaxy_id", "crossed", "near_shock", "nearest_shock_row", *(r6(F.coalesce(c, F.lit(-999.0))).alias(c) for c in ("nearest_mach", "distance_to_shock", "signed_distance_prev", "signed_distance_now", "transverse_distance"))),
     "track_compact": lambda s, d: tracks.compact(_crossings(s, d), "crossed", ["nearest_shock_row"]),
@@ -257,6 +302,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog_csv": _csv,
     "catalog_v1_upgrade": _upgrade,
     "neighbor_cache": _cache,
+    "groups_without_dissipation": _plain_groups,
+    "retained_rank": lambda s, d: detect.retained_rank(products(s, d).rows).select("row_id", "rank"),
+    "levels_inferred": _levels,
+    "mesh_planar": lambda s, d: meshes.planar_shock(s, 3.0, 18, 9).select("row_id", "x", r6(F.col("T") / 1e4).alias("t"), r6(F.col("rho") / 1e6).alias("rho"), "vx"),
+    "mesh_sheet": lambda s, d: meshes.tiled_sheet(meshes.line_mesh(s), 8, 4, 2).select("row_id", "x", "y", "z", F.col("T").alias("t")),
+    "mesh_grid": lambda s, d: meshes.grid_mesh(s).select("row_id", "x", "y", "rho"),
 }
 
 

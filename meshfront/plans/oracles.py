@@ -65,7 +65,7 @@ def _stencil() -> str:
     return f""",
 pairs AS (SELECT * FROM ({pairs}) WHERE abs(far) > 0),
 grads AS (SELECT row_id, {grads} FROM pairs GROUP BY row_id),
-st0 AS (SELECT c.*, coalesce(gvx, 0) + coalesce(gvy, 0) + coalesce(gvz, 0) AS divv, coalesce(gtx, 0) AS gtx, coalesce(gty, 0) AS gty, coalesce(gtz, 0) AS gtz, grads.row_id IS NOT NULL AS valid,
+st0 AS (SELECT c.*, coalesce(gvx, 0) + coalesce(gvy, 0) + coalesce(gvz, 0) AS divv, coalesce(gtx, 0) AS gtx, coalesce(gty, 0) AS gty, coalesce(gtz, 0) AS gtz, coalesce(gsx, 0) AS gsx0, coalesce(gsy, 0) AS gsy0, coalesce(gsz, 0) AS gsz0, grads.row_id IS NOT NULL AS valid,
  coalesce(gtx * gsx + gty * gsy + gtz * gsz, 0) AS rising FROM c LEFT JOIN grads USING (row_id)),
 st AS MATERIALIZED (SELECT *, valid AND divv < 0 AND rising > 0 AS candidate, CASE WHEN gl > 0 THEN gtx / gl ELSE 0e0 END AS nx, CASE WHEN gl > 0 THEN gty / gl ELSE 0e0 END AS ny, CASE WHEN gl > 0 THEN gtz / gl ELSE 0e0 END AS nz FROM (SELECT *, {_norm("gtx", "gty", "gtz")} AS gl FROM st0))"""
 
@@ -93,8 +93,22 @@ nextid AS MATERIALIZED (SELECT a.row_id, CASE WHEN d.id IS NOT NULL AND {better(
 center AS MATERIALIZED (SELECT st.* FROM st JOIN nextid USING (row_id) WHERE next_id = st.row_id AND gl > 0)"""
 
 
-def _walk(name: str, starts: str, way: str) -> str:
-    src = "(SELECT w.center, w.px, w.py, w.pz, w.ux, w.uy, w.uz, w.n, a.row_id AS cur, a.x, a.y, a.z, a.dx, a.t AS ct, a.rho AS cr FROM {0} w JOIN st a ON a.row_id = w.here WHERE w.reason = 'go' AND w.n < 50)".format(name)
+def _long_paths(limit: int) -> str:
+    """Starts that fail to reach a center or a resolved row in ``limit`` moves. What is resolved includes all that lies ahead of it, so a row finds a resolved one in reach if and only if the row ``limit`` moves ahead is one."""
+    return f""",
+mv AS MATERIALIZED (SELECT row_id, next_id FROM nextid JOIN st USING (row_id) WHERE gl > 0),
+ahead(id, anc, n) AS (SELECT row_id, row_id, 0 FROM mv UNION ALL SELECT a.id, m.next_id, n + 1 FROM ahead a JOIN mv m ON m.row_id = a.anc WHERE m.next_id <> m.row_id),
+depth AS MATERIALIZED (SELECT id, max(n) AS d FROM ahead GROUP BY id),
+mark AS MATERIALIZED (SELECT id, anc FROM ahead WHERE n = {limit}),
+since(id, first) USING KEY (id) AS (
+ SELECT anc, min(id) FROM ahead JOIN depth USING (id) WHERE d <= {limit} GROUP BY anc
+ UNION (SELECT a.anc, min(m.id) AS early FROM mark m JOIN depth d ON d.id = m.id AND d.d > {limit} JOIN recurring.since s ON s.id = m.anc AND s.first < m.id JOIN ahead a ON a.id = m.id
+  LEFT JOIN recurring.since o ON o.id = a.anc WHERE o.first IS NULL OR m.id < o.first GROUP BY a.anc)),
+far AS (SELECT count(*) AS n FROM mark m JOIN depth d ON d.id = m.id AND d.d > {limit} LEFT JOIN since s ON s.id = m.anc WHERE s.first IS NULL OR s.first >= m.id)"""
+
+
+def _walk(name: str, starts: str, way: str, steps: int = 50) -> str:
+    src = "(SELECT w.center, w.px, w.py, w.pz, w.ux, w.uy, w.uz, w.n, a.row_id AS cur, a.x, a.y, a.z, a.dx, a.t AS ct, a.rho AS cr FROM {0} w JOIN st a ON a.row_id = w.here WHERE w.reason = 'go' AND w.n < {1})".format(name, steps)
     ray = _ray(src, "center, n, cur, ct, cr")
     best = "min(struct_pack(far := (b.x - qx) * (b.x - qx) + (b.y - qy) * (b.y - qy) + (b.z - qz) * (b.z - qz), slot := k.slot, id := b.row_id))"
     return f""",
@@ -107,18 +121,18 @@ def _walk(name: str, starts: str, way: str) -> str:
   FROM {ray} r LEFT JOIN links k ON k.row_id = r.cur AND k.face = r.out LEFT JOIN st b ON b.row_id = k.nbr_id GROUP BY r.center) h LEFT JOIN st e ON e.row_id = h.hit.id)"""
 
 
-def _shocks() -> str:
+def _shocks(steps: int = 50, floor: str = "1") -> str:
     a, b, cc = f"(2 * {G} * ({G} - 1))", f"(4 * {G} - ({G} - 1) * ({G} - 1) - ratio * (({G} + 1) * ({G} + 1)))", f"(-2 * ({G} - 1))"
     mach = f"CASE WHEN ratio <= 1 THEN 1e0 ELSE sqrt(greatest((sqrt(greatest({b} * {b} - 4 * {a} * {cc}, 0e0)) - {b}) / (2 * {a}), 1e0)) END"
-    return f"""{_walk("up", "center", "-1e0")},
-upend AS MATERIALIZED (SELECT * FROM up WHERE reason <> 'go' OR n = 50),
-reached AS MATERIALIZED (SELECT center.* FROM center JOIN upend ON upend.center = center.row_id WHERE reason IN ('nonconverging', 'thermodynamic', 'candidate')){_walk("down", "reached", "1e0")},
-downend AS MATERIALIZED (SELECT * FROM down WHERE reason <> 'go' OR n = 50),
+    return f"""{_walk("up", "center", "-1e0", steps)},
+upend AS MATERIALIZED (SELECT * FROM up WHERE reason <> 'go' OR n = {steps}),
+reached AS MATERIALIZED (SELECT center.* FROM center JOIN upend ON upend.center = center.row_id WHERE reason IN ('nonconverging', 'thermodynamic', 'candidate')){_walk("down", "reached", "1e0", steps)},
+downend AS MATERIALIZED (SELECT * FROM down WHERE reason <> 'go' OR n = {steps}),
 both_ends AS (SELECT u.center AS row_id, a.row_id AS ui, d.row_id AS di, a.t AS ut, a.rho AS ur, d.t AS dt, d.rho AS dr, d.x - a.x AS ex, d.y - a.y AS ey, d.z - a.z AS ez, greatest(a.t, 1e4) AS t0
  FROM upend u JOIN downend w ON w.center = u.center JOIN st a ON a.row_id = u.here JOIN st d ON d.row_id = w.here WHERE u.reason IN ('nonconverging', 'thermodynamic', 'candidate') AND w.reason IN ('nonconverging', 'thermodynamic', 'candidate')),
 judged AS MATERIALIZED (SELECT *, CASE WHEN dt > t0 AND dr > ur THEN {mach} END AS mach FROM (SELECT *, dt / t0 AS ratio FROM both_ends)),
 shock AS MATERIALIZED (SELECT s.row_id, mach, ui, di, ut, ur, zw, CASE WHEN zw > 0 THEN ex / zw ELSE 0e0 END AS nx, CASE WHEN zw > 0 THEN ey / zw ELSE 0e0 END AS ny, CASE WHEN zw > 0 THEN ez / zw ELSE 0e0 END AS nz, c.x, c.y, c.z, c.dx, c.level
- FROM (SELECT *, {_norm("ex", "ey", "ez")} AS zw FROM judged WHERE mach >= 1 - 1e-12) s JOIN c USING (row_id))"""
+ FROM (SELECT *, {_norm("ex", "ey", "ez")} AS zw FROM judged WHERE mach >= {floor} * (1 - 1e-12)) s JOIN c USING (row_id))"""
 
 
 def _dissipation() -> str:
@@ -162,6 +176,7 @@ agg AS (SELECT root, count(*) AS n_centers, max(mach) AS mach_peak, max(mm) AS m
  min(level) AS level_min, max(level) AS level_max, CAST(count(DISTINCT level) AS INTEGER) AS level_count, sum(ut * area) / sum(area) AS ut, sum(ur * area) / sum(area) AS ur, coalesce(sum(CASE WHEN ut <= @external THEN area END), 0e0) / sum(area) AS ext,
  sqrt(sum((mach - mm) * (mach - mm) * area) / sum(area)) AS mach_std, sum(CASE WHEN has_n THEN area END) AS nw, sum(CASE WHEN has_n THEN nx * turn * area END) AS tx, sum(CASE WHEN has_n THEN ny * turn * area END) AS ty, sum(CASE WHEN has_n THEN nz * turn * area END) AS tz,
  coalesce(sum(CASE WHEN has_z THEN zw * area END) / sum(CASE WHEN has_z THEN area END), 0e0) AS zone_width_mean, coalesce(min(CASE WHEN has_z THEN zw END), 0e0) AS zone_width_min, coalesce(max(CASE WHEN has_z THEN zw END), 0e0) AS zone_width_max,
+ concat('', max(CAST(x - dx / 2 <= x0 AS INT)), max(CAST(x + dx / 2 >= x1 AS INT)), max(CAST(y - dx / 2 <= y0 AS INT)), max(CAST(y + dx / 2 >= y1 AS INT)), max(CAST(z - dx / 2 <= z0 AS INT)), max(CAST(z + dx / 2 >= z1 AS INT))) AS faces,
  bool_or(x - dx / 2 <= x0 OR x + dx / 2 >= x1 OR y - dx / 2 <= y0 OR y + dx / 2 >= y1 OR z - dx / 2 <= z0 OR z + dx / 2 >= z1) AS touches_boundary FROM ori, region GROUP BY root),
 grp AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY mach_peak DESC, cx, cy, cz, area DESC, root) - 1 AS group_id, {_norm("ax", "ay", "az")} AS al, CASE WHEN nw IS NULL THEN 1e0 ELSE 1 - least(greatest({_norm("tx / nw", "ty / nw", "tz / nw")}, 0e0), 1e0) END AS disp,
  CASE WHEN ext >= 8e-1 THEN 'external' WHEN ext <= 1 - 8e-1 THEN 'internal' ELSE 'mixed' END AS classification FROM agg),
@@ -194,6 +209,31 @@ hits AS (SELECT galaxy_id, f.row_id, """ + _norm("f.x - cx", "f.y - cy", "f.z -
 nearest AS MATERIALIZED (SELECT galaxy_id, row_id, far FROM hits WHERE far <= 3 QUALIFY row_number() OVER (PARTITION BY galaxy_id ORDER BY far, row_id) = 1)"""
 
 
+#: Components' covariances, the largest eigenvalue by the cosine formula, its vector as the longest cross product of two rows of A - l1, and the span along it.
+_AXES = """,
+pt AS (SELECT f.*, comp AS root FROM front f JOIN fc ON fc.id = f.row_id),
+ctr AS (SELECT root, count(*) AS size, sum(flux) AS flux, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pt GROUP BY root),
+cv AS (SELECT root, any_value(size) AS size, any_value(ctr.flux) AS flux, sum((x - mx) * (x - mx)) AS a, sum((x - mx) * (y - my)) AS b, sum((x - mx) * (z - mz)) AS c, sum((y - my) * (y - my)) AS d, sum((y - my) * (z - mz)) AS e, sum((z - mz) * (z - mz)) AS f
+ FROM pt JOIN ctr USING (root) GROUP BY root),
+e0 AS (SELECT *, (a + d + f) / 3 AS q FROM cv),
+e1 AS (SELECT *, sqrt(((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2 * (b * b + c * c + e * e)) / 6) AS p FROM e0),
+e2 AS (SELECT *, CASE WHEN p > 0 THEN acos(least(greatest(((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)) / (2 * p * p * p), -1e0), 1e0)) / 3 ELSE 0e0 END AS phi FROM e1),
+e3 AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi - 2 * pi() / 3) AS l2 FROM e2),
+e4 AS (SELECT *, CASE WHEN l1 > 0 THEN (l1 - l2) / l1 ELSE 0e0 END AS gap, b * e - c * (d - l1) AS ux, c * b - (a - l1) * e AS uy, (a - l1) * (d - l1) - b * b AS uz,
+ b * (f - l1) - c * e AS vx, c * c - (a - l1) * (f - l1) AS vy, (a - l1) * e - b * c AS vz, (d - l1) * (f - l1) - e * e AS wx, e * c - b * (f - l1) AS wy, b * e - (d - l1) * c AS wz FROM e3),
+e5 AS (SELECT *, ux * ux + uy * uy + uz * uz AS uu, vx * vx + vy * vy + vz * vz AS vv, wx * wx + wy * wy + wz * wz AS ww FROM e4),
+ax AS (SELECT root, size, flux, gap, sqrt(greatest(uu, vv, ww)) AS len, CASE WHEN uu >= vv AND uu >= ww THEN ux WHEN vv >= ww THEN vx ELSE wx END AS ax, CASE WHEN uu >= vv AND uu >= ww THEN uy WHEN vv >= ww THEN vy ELSE wy END AS ay, CASE WHEN uu >= vv AND uu >= ww THEN uz WHEN vv >= ww THEN vz ELSE wz END AS az FROM e5),
+span AS MATERIALIZED (SELECT root, any_value(size) AS size, any_value(ax.flux) AS flux, any_value(gap) AS gap, max((x * ax + y * ay + z * az) / len) - min((x * ax + y * ay + z * az) / len) AS extent FROM pt JOIN ax USING (root) GROUP BY root)"""
+
+
+def _per_cell(area: str) -> str:
+    """Every retained cell; magnitudes as logarithms but just above Mach 1, where the efficiency cancels."""
+    strong = lambda v: lg(f"CASE WHEN mach >= 102e-2 THEN {v} ELSE 0e0 END")
+    zero = lambda v: f"coalesce({v}, 0e0)"
+    return f"""SELECT row_id, {r6(zero('flux / 1e38'))} AS flux, {strong('flux')} AS lg_flux, {strong(f'flux * {area}')} AS lg_total, {lg(zero(f'{area} * 1e33'))} AS lg_area, {r6(zero('eff'))} AS efficiency, {r6(zero('cs / 1e5'))} AS sound_speed
+FROM (SELECT c.row_id, d.* EXCLUDE (row_id) FROM c LEFT JOIN dis d ON d.row_id = c.row_id)"""
+
+
 def sql() -> dict[str, str]:
     lattice_u, lattice = _UNIFORM + _LATTICE, _TWO + _LATTICE
     st_u, st = lattice_u + _SAMPLES + _stencil(), lattice + _SAMPLES + _stencil()
@@ -205,18 +245,19 @@ def sql() -> dict[str, str]:
     links = lambda kind: f"SELECT row_id, face, slot, nbr_id FROM links WHERE kind = '{kind}'"
     front = dis + _FRONT
     comp = front + f", fe AS MATERIALIZED (SELECT p.row_id AS a, q.row_id AS b FROM front p JOIN front q ON p.row_id <> q.row_id AND q.x BETWEEN p.x - 2 AND p.x + 2 AND q.y BETWEEN p.y - 2 AND p.y + 2 AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 18e-1 * 18e-1){_component('fc', 'front', 'fe')}"
-    exact = "group_id, root, n_centers, level_min, level_max, level_count, classification, touches_boundary, NOT touches_boundary AS is_complete"
+    exact = "group_id, n_centers, level_min, level_max, level_count, classification, touches_boundary, NOT touches_boundary AS is_complete"
     names = {"mach_peak": "mach_peak", "mach_mean": "mach_mean", "centroid_x": "cx", "centroid_y": "cy", "centroid_z": "cz", "normal_x": "CASE WHEN al > 0 THEN ax / al ELSE 0e0 END", "normal_y": "CASE WHEN al > 0 THEN ay / al ELSE 0e0 END", "normal_z": "CASE WHEN al > 0 THEN az / al ELSE 0e0 END", "xmin": "xmin", "xmax": "xmax", "ymin": "ymin", "ymax": "ymax", "zmin": "zmin", "zmax": "zmax", "external_fraction": "ext", "valid_upstream_fraction": "1e0", "classification_confidence": "greatest(ext, 1 - ext)", "mach_std": "mach_std", "normal_dispersion": "disp", "zone_width_mean": "zone_width_mean", "zone_width_min": "zone_width_min", "zone_width_max": "zone_width_max"}
-    groups = f"SELECT {exact}, {', '.join(f'{r6(v)} AS {k}' for k, v in names.items())}, {lg('area * 1e33')} AS lg_area, {r6('total / 1e5')} AS dissipation, {lg('ut')} AS lg_temperature, {lg('ur')} AS lg_density, flags FROM flagged"
-    diagnostics = "SELECT 'center_step_limit' AS name, CAST(0 AS BIGINT) AS n" + "".join(
-        f" UNION ALL SELECT '{name}', ({count})"
-        for name, count in (
-            ("upstream_missing_neighbor", "SELECT count(*) FROM upend WHERE reason = 'missing'"), ("upstream_step_limit", "SELECT count(*) FROM upend WHERE reason = 'go'"),
-            ("downstream_missing_neighbor", "SELECT count(*) FROM downend WHERE reason = 'missing'"), ("downstream_step_limit", "SELECT count(*) FROM downend WHERE reason = 'go'"),
-            *((f"{k}_exit", f"SELECT count(*) FROM (SELECT reason FROM upend UNION ALL SELECT reason FROM downend) WHERE reason = '{k}'") for k in ("candidate", "thermodynamic", "nonconverging")),
-            ("invalid_jump", "SELECT count(*) FROM judged WHERE mach IS NULL"), ("mach_rejected", "SELECT count(*) FROM judged WHERE mach < 1 - 1e-12"),
-        )
+    summary = f"SELECT {exact}, {', '.join(f'{r6(v)} AS {k}' for k, v in names.items())}, {lg('area * 1e33')} AS lg_area, {r6('total / 1e5')} AS dissipation, {lg('ut')} AS lg_temperature, {lg('ur')} AS lg_density, flags"
+    groups = f"{summary}, root, faces FROM flagged"
+    counters = (
+        ("center_step_limit", "SELECT n FROM far"),
+        ("upstream_missing_neighbor", "SELECT count(*) FROM upend WHERE reason = 'missing'"), ("upstream_step_limit", "SELECT count(*) FROM upend WHERE reason = 'go'"),
+        ("downstream_missing_neighbor", "SELECT count(*) FROM downend WHERE reason = 'missing'"), ("downstream_step_limit", "SELECT count(*) FROM downend WHERE reason = 'go'"),
+        *((f"{k}_exit", f"SELECT count(*) FROM (SELECT reason FROM upend UNION ALL SELECT reason FROM downend) WHERE reason = '{k}'") for k in ("candidate", "thermodynamic", "nonconverging")),
+        ("invalid_jump", "SELECT count(*) FROM judged WHERE mach IS NULL"), ("mach_rejected", "SELECT count(*) FROM judged WHERE mach < @floor * (1 - 1e-12)"),
     )
+    diagnostics = lambda floor: " UNION ALL ".join(f"SELECT '{name}' AS name, CAST(({count}) AS BIGINT) AS n" for name, count in counters).replace("@floor", floor)
+    limited = cen + _long_paths(1) + _shocks(2, "15e-1")
     grid = "m AS (SELECT CAST(p_partkey AS BIGINT) AS id, p_partkey / 100 + 1e0 AS mach FROM part)"
     t_jump = f"((2 * {G} * mach * mach - ({G} - 1)) * (({G} - 1) * mach * mach + 2) / (mach * mach * ({G} + 1) * ({G} + 1)))"
     r_jump = f"(({G} + 1) * mach * mach / (({G} - 1) * mach * mach + 2))"
@@ -244,19 +285,22 @@ def sql() -> dict[str, str]:
         "links_same": q(lattice_u, links("same")),
         "links_coarse": q(lattice, links("coarse")),
         "links_fine": q(lattice, links("fine")),
-        "face_samples": q(lattice + _SAMPLES, f"SELECT row_id, face, {r6('v')} AS v, {r6('t')} AS t, {r6('s')} AS s FROM samples"),
-        "stencil_divergence": q(st_u, f"SELECT row_id, {r6('divv')} AS divv, valid FROM st"),
+        "face_samples": q(lattice + _SAMPLES, f"SELECT row_id, face, {r6('coalesce(p, -1e0)')} AS p, {r6('v')} AS v, {r6('t')} AS t, {r6('s')} AS s FROM samples"),
+        "stencil_divergence": q(st_u, f"SELECT row_id, {r6('divv')} AS divv, valid, {', '.join(f'{r6(f"gt{a} / 1e6")} AS gt{a}, {r6(f"gs{a}0")} AS gs{a}' for a in 'xyz')} FROM st"),
         "candidates": q(st, "SELECT row_id FROM st WHERE candidate"),
         "center_next": q(cen, "SELECT row_id, next_id FROM nextid"),
         "shock_centers": q(cen, "SELECT row_id FROM center"),
         "walk_endpoints": q(sho, "SELECT u.center AS row_id, replace(u.reason, 'go', 'step_limit') AS upstream_reason, u.here AS upstream, coalesce(replace(d.reason, 'go', 'step_limit'), 'none') AS downstream_reason, coalesce(d.here, -1) AS downstream FROM upend u LEFT JOIN downend d ON d.center = u.center"),
-        "walk_diagnostics": q(sho, diagnostics),
+        "walk_diagnostics": q(cen + _long_paths(50) + _shocks(), diagnostics("1")),
+        "walk_diagnostics_limited": q(limited, diagnostics("15e-1")),
+        "shocks_limited": q(limited, f"SELECT row_id, {r6('mach')} AS mach, ui AS upstream_index, di AS downstream_index FROM shock"),
         "shocks": q(sho, f"SELECT row_id, {r6('mach')} AS mach, ui AS upstream_index, di AS downstream_index, {r6('nx')} AS nx, {r6('ny')} AS ny, {r6('nz')} AS nz, level, {r6('zw')} AS zone_width FROM shock"),
         "jump_relations": f"WITH {grid} SELECT id, {r6(t_jump)} AS temperature_ratio, {r6(r_jump)} AS density_ratio, {r6('mach')} AS mach_back, {r6('mach')} AS mach_closed FROM m",
         "efficiency_curve": f"WITH {grid} SELECT id, {r6(eff)} AS efficiency FROM m",
         "upstream_state": q(sho, f"SELECT row_id, {r6('ut')} AS up_temp, {r6('ur')} AS up_rho FROM shock"),
-        "dissipation": q(dis, f"SELECT row_id, {r6('flux / 1e38')} AS flux, {r6('total / 1e5')} AS total, {lg('area * 1e33')} AS lg_area, {r6('eff')} AS efficiency, {r6('cs / 1e5')} AS sound_speed FROM dis WHERE flux > 0"),
-        "center_representatives": q(ctl, "SELECT row_id, representative AS center_representative FROM rep"),
+        "dissipation": q(dis, _per_cell("area")),
+        "dissipation_cell_area": q(dis, _per_cell(f"((dx / {KPC_IN_KM!r}) * (dx / {KPC_IN_KM!r}))")),
+        "center_representatives": q(ctl, "SELECT c.row_id, coalesce(representative, -1) AS center_representative FROM c LEFT JOIN rep USING (row_id)"),
         "group_labels": q(ctl, "SELECT row_id, root FROM mem"),
         "shock_groups": q(ctl, groups),
         "group_quality_flags": q(ctl, "SELECT root, unnest(string_split(flags, ';')) AS flag FROM flagged WHERE flags <> ''"),
@@ -278,14 +322,22 @@ def sql() -> dict[str, str]:
         "map_dense": q(sho + _ext("x", "y") + f", px AS ({_draw('shock', 'x', 'y', 'mach', out=str)})", f"SELECT CAST(a AS INTEGER) AS iy, CAST(b AS INTEGER) AS ix, {r6('coalesce(value, -1e0)')} AS value FROM (SELECT unnest(range(24)) AS a) CROSS JOIN (SELECT unnest(range(40)) AS b) LEFT JOIN px ON iy = a AND ix = b"),
         "mach_distribution": q(dis, f"SELECT bin, {lg('coalesce(sum(total), 0e0) / any_value(log10(hi) - log10(lo))')} AS value FROM {bins(edges)} LEFT JOIN dis ON total > 0 AND mach >= 12e-1 AND {inside} GROUP BY bin"),
         "surface_histogram": q(sho, f"SELECT bin, {r6('coalesce(sum(dx * dx * 119e-2), 0e0) / any_value(log10(hi) - log10(lo))')} AS value FROM {bins([1.5, 2.0, 3.0, 4.0, 6.0])} LEFT JOIN shock ON mach >= 15e-1 AND {inside} GROUP BY bin"),
-        "external_internal": q(sho, "SELECT row_id, ut <= 2e5 AS external, ut > 2e5 AS internal FROM shock WHERE mach >= 15e-1"),
+        "external_internal": q(sho, "SELECT c.row_id, coalesce(ut <= 2e5, FALSE) AS external, coalesce(ut > 2e5, FALSE) AS internal FROM c LEFT JOIN (SELECT * FROM shock WHERE mach >= 15e-1) s USING (row_id)"),
         "front_catalog": q(front, f"SELECT row_id, {r6('mach')} AS mach, {lg('flux')} AS lg_flux, {r6('nx')} AS nx, {r6('ny')} AS ny, {r6('nz')} AS nz, valid_normal FROM front"),
         "front_components": q(comp, "SELECT id AS row_id, comp AS root FROM fc"),
         "track_nearest_front": q(front + _TRACK, f"SELECT galaxy_id, coalesce(row_id, -1) AS front, {r6('coalesce(far, -1e0)')} AS far FROM trk LEFT JOIN nearest USING (galaxy_id)"),
         "track_crossing": q(crossing, f"SELECT galaxy_id, crossed, near_shock, nearest_shock_row, {none('mach', 'nearest_mach')}, {none('far', 'distance_to_shock')}, {none('sp', 'signed_distance_prev')}, {none('sc', 'signed_distance_now')}, {none('tr', 'transverse_distance')} FROM cls"),
         "track_compact": q(crossing, "SELECT galaxy_id AS galaxy_index, (SELECT count(*) FROM cls) AS n_galaxies, nearest_shock_row FROM cls WHERE crossed"),
         "catalog_roundtrip": q(ctl, groups),
-        "catalog_csv": q(ctl, f"SELECT group_id, n_centers, {r6('mach_peak')} AS mach_peak, classification, flags FROM flagged"),
-        "catalog_v1_upgrade": q(ctl, f"SELECT group_id, level_max - level_min + 1 AS level_count, 1e0 AS valid_upstream_fraction, {r6('greatest(ext, 1 - ext)')} AS classification_confidence, FALSE AS is_complete, 'legacy_schema' AS flags FROM grp"),
-        "neighbor_cache": q(lattice, "SELECT kind, count(*) AS n FROM links GROUP BY kind"),
+        "catalog_csv": q(ctl, f"{summary}, 'kpc2' AS area_unit FROM flagged"),
+        "catalog_v1_upgrade": q(ctl, f"SELECT group_id, '000000' AS faces, FALSE AS touches_boundary, CASE WHEN ut IS NOT NULL AND NOT isnan(ut) THEN 1e0 ELSE 0e0 END AS valid_upstream_fraction, {r6('greatest(ext, 1 - ext)')} AS classification_confidence, TRUE AS mach_std_unknown, TRUE AS normal_dispersion_unknown, 0e0 AS zone_width_mean, 0e0 AS zone_width_min, 0e0 AS zone_width_max, level_max - level_min + 1 AS level_count, FALSE AS is_complete, 'legacy_schema' AS flags FROM grp"),
+        "neighbor_cache": q(lattice, "SELECT row_id, face, kind, slot, nbr_id FROM links"),
+        "front_extent": q(comp + _AXES, f"SELECT root, size, {lg('flux')} AS lg_flux, {r6('CASE WHEN size = 1 THEN 0e0 WHEN gap < 1e-6 THEN -1e0 ELSE extent END')} AS extent FROM span"),
+        "front_large": q(comp + _AXES, "SELECT fc.id AS row_id, size AS component_size FROM fc JOIN span ON root = comp WHERE size >= 5 AND gap >= 1e-6 AND extent >= 2"),
+        "retained_rank": q(_TWO, "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS rank FROM c"),
+        "levels_inferred": q(_TWO, "SELECT row_id, CAST(round(log2((SELECT max(dx) FROM c) / dx)) AS INTEGER) AS level FROM c"),
+        "groups_without_dissipation": q(ctl, f"SELECT root, count(*) AS n_centers, {r6('sum(area * (' + repr(KPC_IN_KM) + ' * ' + repr(KPC_IN_KM) + '))')} AS area, {r6('sum(mach * area) / sum(area)')} AS mach_mean, 'position_unit2' AS area_unit FROM mem GROUP BY root"),
+        "mesh_planar": f"SELECT CAST(i AS BIGINT) AS row_id, i + 5e-1 AS x, {r6('CASE WHEN i >= 9 THEN 1e4 * ' + t_jump.replace('mach', '3e0') + ' ELSE 1e4 END / 1e4')} AS t, {r6('CASE WHEN i >= 9 THEN ' + r_jump.replace('mach', '3e0') + ' ELSE 1e0 END')} AS rho, CASE WHEN i >= 9 THEN -100e0 ELSE 100e0 END AS vx FROM (SELECT unnest(range(18)) AS i)",
+        "mesh_sheet": "SELECT CAST(k * 8 + i AS BIGINT) AS row_id, i + 5e-1 AS x, k % 4 + 5e-1 AS y, k // 4 + 5e-1 AS z, CASE WHEN i >= 4 THEN 4e4 ELSE 1e4 END AS t FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS k)",
+        "mesh_grid": "SELECT CAST(i AS BIGINT) AS row_id, i % 10 + 5e-1 AS x, i // 10 + 5e-1 AS y, CASE WHEN i % 10 >= 5 THEN 3e6 ELSE 1e6 END AS rho FROM (SELECT unnest(range(40)) AS i)",
     }

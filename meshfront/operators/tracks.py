@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from meshfront.functions.physics import KPC_IN_KM, norm
 from meshfront.operators.components import connected_components
-from meshfront.plans.storage import materialize
+from meshfront.plans.storage import materialize, release
 
 
 def front_catalog(result: DataFrame, dissipation: DataFrame, min_mach: float = 1.5, min_flux: float = 0.0) -> DataFrame:
@@ -20,28 +22,70 @@ def front_catalog(result: DataFrame, dissipation: DataFrame, min_mach: float = 1
     return strong.select("row_id", "x", "y", "z", "dx", "mach", "flux", "nx", "ny", "nz", ok.alias("valid_normal"))
 
 
-def _box(c: str, size: float) -> Column:
-    return F.floor(F.col(c) / size)
+#: Boxes are cut in SPLIT parts an axis, twice.
+SPLIT = 4
+_LEVELS = ("b", "f", "g")
+
+
+def _celled(points: DataFrame, edge: float) -> DataFrame:
+    """``points`` with lattice numbers of the box of edge ``edge`` around each (b*), of its part (f*) and of that one's part (g*). The finest are rounded down and the others follow from them, so the levels nest."""
+    fine = {c: F.floor(F.col(c) / (edge / SPLIT**2)) for c in "xyz"}
+    levels = zip(_LEVELS, (SPLIT**2, SPLIT, 1), strict=True)
+    return points.withColumns({f"{n}{c}": F.floor(fine[c] / k) for n, k in levels for c in "xyz"})
+
+
+def _apart(a: str, b: str, edge: float) -> tuple[Column, Column]:
+    """Squares of the least and the largest distance that points of two cells of a lattice can have."""
+    steps = [F.abs(F.col(f"{b}{c}") - F.col(f"{a}{c}")) for c in "xyz"]
+    square = lambda parts: sum(p * p for p in parts) * (edge * edge)
+    return square([F.greatest(s - 1, F.lit(0)) for s in steps]), square([s + 1 for s in steps])
 
 
 def spatial_components(points: DataFrame, length: float) -> DataFrame:
     """``(row_id, root)``: points chained by steps of at most ``length``; root is the lowest row of the component.
 
-    In a box of edge ``length / sqrt 3`` all points are within reach of each other, so a box is one vertex however many points it holds. Only pairs of points in boxes within two
-    of each other are compared, and they fold to one edge for a pair of boxes.
+    In a box of edge ``length / sqrt 3`` all points are within reach of each other, so a box is one vertex however many points it holds. Which boxes are linked is decided on their occupied parts: a pair of
+    parts that are close enough as a whole links two boxes, one that is too far apart is dropped, and what stays open is decided on the parts' parts, and only then on points, for pairs
+    of boxes that nothing has linked yet. So dense boxes make a bounded number of pairs, and points meet only across a shell of a few hundredths of the length.
     """
     edge = length / math.sqrt(3) * (1 - 1e-12)
-    boxed = materialize(points.select("row_id", "x", "y", "z", *(_box(c, edge).alias(f"b{c}") for c in "xyz")), "boxed")
-    boxes = boxed.groupBy("bx", "by", "bz").agg(F.min("row_id").alias("box"))
-    rows = materialize(boxed.join(boxes, ["bx", "by", "bz"]), "boxes")
-    # Half of the 124 offsets: the other half are the same pairs.
+    rows = _celled(points.select("row_id", "x", "y", "z"), edge)
+    names = [f"{n}{c}" for n in _LEVELS for c in "xyz"]
+    boxed = materialize(rows, "boxed")
+    boxes = boxed.groupBy(*(f"b{c}" for c in "xyz")).agg(F.min("row_id").alias("box"))
+    rows = materialize(boxed.join(boxes, [f"b{c}" for c in "xyz"]), "boxes")
+    release(boxed)
+    parts = [rows.select("box", *names[: 3 * k]).distinct() for k in (2, 3)]
+
+    def split(pairs_: DataFrame, edge_: float, level: str) -> tuple[DataFrame, DataFrame]:
+        """Pairs of boxes that these parts link, and the open pairs of parts of other boxes."""
+        least, most = _apart(f"p{level}", f"q{level}", edge_)
+        judged = pairs_.withColumn("sure", most <= length * length * (1 - 1e-12)).where(least <= length * length * (1 + 1e-12))
+        judged = materialize(judged, "pairs")
+        sure = judged.where("sure").select("a", "b").distinct()
+        return sure, judged.where("NOT sure").drop("sure").join(sure, ["a", "b"], "left_anti")
+
+    # Half of the 124 offsets of boxes: the other half are the same pairs.
     offsets = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
     near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("ijk", o, strict=True))) for o in offsets)))
-    moved = rows.select("x", "y", "z", "box", "bx", "by", "bz", near.alias("o")).select(F.col("box").alias("a"), *(F.col(c).alias(f"a{c}") for c in "xyz"), *((F.col(f"b{c}") + F.col(f"o.{n}")).alias(f"b{c}") for c, n in zip("xyz", "ijk", strict=True)))
-    apart = sum((F.col(c) - F.col(f"a{c}")) * (F.col(c) - F.col(f"a{c}")) for c in "xyz")
-    edges = moved.join(rows, ["bx", "by", "bz"]).where(apart <= length * length).select("a", F.col("box").alias("b")).distinct()
-    parts = connected_components(edges)
-    return rows.join(parts, rows.box == parts.node, "left").select("row_id", F.coalesce("component", "box").alias("root"))
+    ours = lambda side, level: [F.col(f"{level}{c}").alias(f"{side}{level}{c}") for c in "xyz"]
+    left = parts[0].select(F.col("box").alias("a"), *(f"b{c}" for c in "xyz"), *ours("p", "f"), near.alias("o"))
+    left = left.select("a", *(f"pf{c}" for c in "xyz"), *((F.col(f"b{c}") + F.col(f"o.{n}")).alias(f"b{c}") for c, n in zip("xyz", "ijk", strict=True)))
+    right = parts[0].select(F.col("box").alias("b"), *(f"b{c}" for c in "xyz"), *ours("q", "f"))
+    sure, still = split(left.join(right, [f"b{c}" for c in "xyz"]).drop(*(f"b{c}" for c in "xyz")), edge / SPLIT, "f")
+    edges = [sure]
+    for side, box in (("p", "a"), ("q", "b")):
+        finer = parts[1].select(F.col("box").alias(box), *ours(side, "f"), *ours(side, "g"))
+        still = still.join(finer, [box, *(f"{side}f{c}" for c in "xyz")])
+    sure, still = split(still, edge / SPLIT**2, "g")
+    edges.append(sure)
+    for side, box in (("p", "a"), ("q", "b")):
+        own = rows.select(F.col("box").alias(box), *ours(side, "g"), *(F.col(c).alias(f"{side}{c}") for c in "xyz"))
+        still = still.join(own, [box, *(f"{side}g{c}" for c in "xyz")])
+    gap = sum((F.col(f"q{c}") - F.col(f"p{c}")) * (F.col(f"q{c}") - F.col(f"p{c}")) for c in "xyz")
+    edges.append(still.where(gap <= length * length).select("a", "b").distinct())
+    parts_ = connected_components(reduce(DataFrame.unionAll, edges))
+    return rows.join(parts_, rows.box == parts_.node, "left").select("row_id", F.coalesce("component", "box").alias("root"))
 
 
 def component_numbers(labels: DataFrame) -> DataFrame:
@@ -51,7 +95,7 @@ def component_numbers(labels: DataFrame) -> DataFrame:
     return sequential(labels.select("root").distinct(), [F.col("root")], "component_id")
 
 
-@F.pandas_udf("axis array<double>, gap double")
+@F.pandas_udf(StructType([StructField("axis", ArrayType(DoubleType())), StructField("gap", DoubleType())]))
 def _principal(cov: pd.Series) -> pd.DataFrame:
     """First eigenvector of the covariance sums xx, xy, xz, yy, yz, zz, and how far its eigenvalue is ahead of the next: a row for each component."""
     import numpy as np
@@ -90,14 +134,29 @@ _FILLS = {"component_id": (-1, "long"), "component_size": (-1, "long"), "compone
 def nearest_front(tracks: DataFrame, fronts: DataFrame, radius: float) -> DataFrame:
     """Each track with the front nearest to where it is now, as struct ``front`` with distance ``far``, if one lies within ``radius``; the lowest row of equals.
 
-    Fronts stay where they are and a track looks into the 27 boxes around it, so the sides meet by an equi-join and the minimum folds partially.
+    A track looks into the 27 boxes of edge ``radius`` around it, then into the occupied parts of those that can hold its nearest front, then into their parts: a cell is left out if another
+    one lies as a whole nearer than it begins. Sides meet by equi-joins, and a track meets only the fronts of the few smallest cells that are left.
     """
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
-    looks = tracks.select("galaxy_id", "cx", "cy", "cz", around.alias("o")).select("galaxy_id", "cx", "cy", "cz", *((F.floor(F.col(f"c{c}") / radius) + F.col(f"o.{n}")).alias(f"b{c}") for c, n in zip("xyz", "ijk", strict=True)))
+    looks = _celled(tracks.select("galaxy_id", *(F.col(f"c{c}").alias(c) for c in "xyz")), radius).select("galaxy_id", "x", "y", "z", *(f"b{c}" for c in "xyz"), around.alias("o"))
+    looks = looks.select("galaxy_id", "x", "y", "z", *((F.col(f"b{c}") + F.col(f"o.{n}")).alias(f"b{c}") for c, n in zip("xyz", "ijk", strict=True)))
     extra = [c if c in fronts.columns else F.lit(v).cast(t).alias(c) for c, (v, t) in _FILLS.items()]
-    placed = fronts.select(F.struct("row_id", "x", "y", "z", "dx", "mach", "flux", "nx", "ny", "nz", "valid_normal", *extra).alias("front"), *(_box(c, radius).alias(f"b{c}") for c in "xyz"))
-    far = norm(*(F.col(f"front.{c}") - F.col(f"c{c}") for c in "xyz"))
-    best = looks.join(placed, ["bx", "by", "bz"]).withColumn("far", far).where(F.col("far") <= radius).groupBy("galaxy_id").agg(F.min_by("front", F.struct("far", "front.row_id")).alias("front"), F.min("far").alias("far"))
+    front = F.struct("row_id", "x", "y", "z", "dx", "mach", "flux", "nx", "ny", "nz", "valid_normal", *extra).alias("front")
+    placed = _celled(fronts, radius).select(front, *(f"{n}{c}" for n in _LEVELS for c in "xyz"))
+    for depth, level in enumerate(_LEVELS):
+        keys = [f"{n}{c}" for n in _LEVELS[:depth] for c in "xyz"] or [f"b{c}" for c in "xyz"]
+        own = [f"{n}{c}" for n in _LEVELS[: depth + 1] for c in "xyz"]
+        edge = radius / SPLIT**depth
+        looks = looks.join(placed.select(*own).distinct(), keys)
+        low = {c: F.col(f"{level}{c}") * edge - F.col(c) for c in "xyz"}
+        begins = sum(F.greatest(low[c], -low[c] - edge, F.lit(0.0)) * F.greatest(low[c], -low[c] - edge, F.lit(0.0)) for c in "xyz")
+        ends = sum(F.greatest(F.abs(low[c]), F.abs(low[c] + edge)) * F.greatest(F.abs(low[c]), F.abs(low[c] + edge)) for c in "xyz")
+        looks = looks.withColumns({"begins": F.sqrt(begins), "ends": F.sqrt(ends)})
+        reach = F.least(F.min("ends").over(Window.partitionBy("galaxy_id")), F.lit(radius)) * (1 + 1e-9) + radius * 1e-12
+        looks = looks.withColumn("reach", reach).where("begins <= reach").select("galaxy_id", "x", "y", "z", *own)
+    far = norm(*(F.col(f"front.{c}") - F.col(c) for c in "xyz"))
+    met = looks.join(placed, [f"{n}{c}" for n in _LEVELS for c in "xyz"]).withColumn("far", far).where(F.col("far") <= radius)
+    best = met.groupBy("galaxy_id").agg(F.min_by("front", F.struct("far", "front.row_id")).alias("front"), F.min("far").alias("far"))
     return tracks.join(best, "galaxy_id", "left")
 
 

@@ -220,6 +220,31 @@ def test_histograms(spark, grid):
     assert s == 4 and histograms.shock_summary(grid.result.rows, grid.dissipation).first().shock_cells == 4
 
 
+@pytest.mark.parametrize(("gap", "n"), [(0.99, 1), (1.01, 2)])
+def test_dense_boxes_are_linked_by_their_parts(spark, gap, n):
+    """50,000 points in two clouds whose nearest points are ``gap`` apart: no list of pairs is made."""
+    rng = np.random.default_rng(3)
+    side = rng.random((2, 25_000, 3)) * [0.3, 0.5, 0.5]
+    side[0, 0], side[1, 0] = (0.3, 0.2, 0.2), (0.0, 0.2, 0.2)  # the nearest ones
+    side[1, :, 0] += 0.3 + gap
+    rows = np.vstack(side)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rows)], "row_id long, x double, y double, z double")
+    assert sorted(r["root"] for r in tracks.spatial_components(df, 1.0).select("root").distinct().collect()) == [0, 25_000][:n]
+
+
+def test_nearest_front_in_dense_boxes(spark):
+    rng = np.random.default_rng(4)
+    pts = np.vstack([rng.random((3000, 3)) * 0.2 - 0.1, rng.random((300, 3)) * 6 - 3, [[1.0, 1.0, 1.0]] * 3])
+    fronts = spark.createDataFrame([(i, *map(float, p), 1.0, 2.0, 1.0, 1.0, 0.0, 0.0, True) for i, p in enumerate(pts)], "row_id long, x double, y double, z double, dx double, mach double, flux double, nx double, ny double, nz double, valid_normal boolean")
+    where = np.vstack([rng.random((200, 3)) * 7 - 3.5, rng.random((200, 3)) * 0.3 - 0.15, [[1.0, 1.0, 1.0], [-9.0, 0.0, 0.0], [0.0, 0.0, 0.0]]])
+    bodies = spark.createDataFrame([(i, 0.0, 0.0, 0.0, *map(float, p)) for i, p in enumerate(where)], "galaxy_id long, px double, py double, pz double, cx double, cy double, cz double")
+    got = {r.galaxy_id: (r.front.row_id, r.far) if r.front else None for r in tracks.nearest_front(bodies, fronts, 0.8).collect()}
+    for i, p in enumerate(where):
+        far = np.sqrt(((pts - p) ** 2).sum(axis=1))
+        k = int(np.argmin(far))
+        assert got[i] == ((k, pytest.approx(far[k])) if far[k] <= 0.8 else None)
+
+
 def test_spatial_components_and_extent_against_brute_force(spark):
     rng = np.random.default_rng(5)
     pts = np.vstack([rng.normal(0, 1, (60, 3)) * [4, 1, 1], rng.normal(30, 1, (40, 3)), [[100, 100, 100]]])

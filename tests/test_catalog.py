@@ -95,6 +95,16 @@ def test_bad_catalog_settings(spark, setting):
 def test_sensitivity_and_quality(spark, grid):
     rows = cat.sensitivity(grid.result.rows, grid.result.links, grid.dissipation, (0.2, 0.5), (0.7,)).collect()
     assert [(r.n_input_centers, r.n_representative_centers, r.n_groups) for r in rows] == [(4, 4, 1)] * 2
+    grown = [(0.5, 0.5 + i, 0.5, m) for i, m in enumerate((2.0, 2.1, 2.9, 1.4, 1.5, 5.0, 5.2, 9.0))] + [(1.5, 0.5, 0.5, 3.0), (1.5, 6.5, 0.5, 1.35)]
+    result = meshes.result_from_centers(spark, grown)
+    near = links.build_links(result)
+    for dedup, machs in ((True, (1.3, 1.45)), (False, (1.3,))):
+        for r in cat.sensitivity(result, near, None, (0.05, 0.3), (0.9,), (0.9,), machs, dedup).collect():
+            c = cat.build_catalog(result, near, None, None, cat.CatalogSettings(r.mach_tolerance, r.normal_cosine, dedup, r.duplicate_normal_cosine, r.min_mach))
+            own = c.cells.agg(F.count_if(F.col("center_representative") >= 0), F.count_if(F.col("center_representative") == F.col("row_id"))).first()
+            g = c.groups.agg(F.count("*"), F.sum("area"), F.max("mach_peak"), F.sum(F.col("area") * F.col("mach_mean")) / F.sum("area")).first()
+            assert (r.n_input_centers, r.n_representative_centers, r.n_groups) == (*own, g[0])
+            assert (r.surface_area, r.mach_peak, r.mach_mean) == pytest.approx(tuple(g)[1:])
     s = cat.quality_summary(grid.catalog.groups).first()
     assert (s.n_groups, s.n_complete, s.n_boundary) == (1, 0, 1)
     assert [tuple(r) for r in cat.quality_counts(grid.catalog.groups).collect()] == [("classification", "internal", 1), ("flag", "touches_boundary", 1)]

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from datetime import date, datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from meshfront.llm import langid, mixing, packing, pii, simhash, toxicity
-from meshfront.llm.queries import public_tokenizer
+from meshfront.llm.queries import PII_KEY, QUERIES, public_tokenizer
 
 LONG = "lorem ipsum dolor " * 30_000
 WORDS = [f"w{i}" for i in range(400)]
@@ -692,37 +693,44 @@ def test_languages_of_many_scripts_and_unequal_samples(documents):
     assert all(np.mean(x) >= 0.95 for x in right.values()), {k: np.mean(x) for k, x in right.items()}
 
 
-def test_language_costs_by_hand(documents, monkeypatch):
-    """predict() against a plain parse of whole texts, in one pass and in passes of two languages each."""
+def symbols_by_hand(t):
     import unicodedata
 
+    out = []
+    for c in t or "":
+        c = c.lower()[0] if unicodedata.category(c)[0] in "LM" else " "
+        if c != " " or out[-1:] != [" "]:
+            out.append(c)
+    return "".join(out)
+
+
+def language_by_hand(t, sample):
+    """Language and score of a text by a plain parse of the whole of it."""
+    if not any(c.isalpha() for c in t or ""):
+        return "und", 0.0
+    own, costs = symbols_by_hand(t), []
+    for lang in sorted(sample):
+        model, most = symbols_by_hand(sample[lang]), np.log2(1 + max(map(len, sample.values())))
+        lack, n, i = sum(c not in model for c in own), 0, 0
+        while i < len(own):
+            k = 1
+            while i + k < len(own) and own[i : i + k + 1] in model:
+                k += 1
+            n, i = n + 1, i + k
+        costs.append(((n - lack) * np.log2(1 + len(model)) + lack * most, lang))
+    first, second = sorted(costs)[:2]
+    return first[1], 1 - first[0] / second[0]
+
+
+def test_language_costs_by_hand(documents, monkeypatch):
+    """predict() against a plain parse of whole texts, in one pass and in passes of two languages each."""
     rng = random.Random(17)
     langs = ("la", "la2", "cy", "hi")
     docs = documents([(i, in_script(rng, lang, 15), lang) for i, lang in enumerate(langs * 6)])
     sample = langid.fit(docs)
     mixed = [in_script(rng, rng.choice(langs), 30) + "  --  " + in_script(rng, rng.choice(langs), 30) for _ in range(25)] + ["\u4e00\u4e01 12", "A", None, "...", "\u093f"]
 
-    def symbols(t):
-        out = []
-        for c in t or "":
-            c = c.lower()[0] if unicodedata.category(c)[0] in "LM" else " "
-            if c != " " or out[-1:] != [" "]:
-                out.append(c)
-        return out
-
-    want = {}
-    for i, t in enumerate(mixed):
-        if not any(c.isalpha() for c in t or ""):
-            want[i] = ("und", 0.0)
-            continue
-        costs = []
-        for lang in sorted(sample):
-            model, most = symbols(sample[lang]), np.log2(1 + max(map(len, sample.values())))
-            lack = sum(c not in model for c in symbols(t))
-            n = phrases_by_hand(list(map(ord, symbols(t))), list(map(ord, model)))
-            costs.append(((n - lack) * np.log2(1 + len(model)) + lack * most, lang))
-        first, second = sorted(costs)[:2]
-        want[i] = (first[1], 1 - first[0] / second[0])
+    want = {i: language_by_hand(t, sample) for i, t in enumerate(mixed)}
     for at_once in (256, 2):
         monkeypatch.setattr(langid, "AT_ONCE", at_once)
         got = {r.doc_id: r for r in langid.predict(documents(list(enumerate(mixed))), sample).collect()}
@@ -754,3 +762,78 @@ def test_languages(documents):
     nothing = documents([(1, "abc", None)])
     assert [r.lang_pred for r in langid.predict(nothing, langid.fit(nothing)).collect()] == ["und"]
     assert langid.predict(docs.limit(0), langid.fit(docs)).count() == 0
+
+
+# the registered queries, row by row over the smallest tables
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    from tests.test_entry import SF
+
+    if not Path(SF).exists():
+        pytest.skip("the driver's tables aren't here")
+    return SF, {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_op2_by_hand(spark, table):
+    sf, texts = table
+    prints = {i: fingerprint_by_hand(t) for i, t in texts.items()}
+    part, least = components_by_hand(set(prints.values())), {}
+    for i, p in prints.items():
+        least[part[p]] = min(i, least.get(part[p], i))
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op2_simhash"](spark, sf).collect()}
+    assert got == {i: (f"{p:016x}", least[part[p]]) for i, p in prints.items()}
+
+
+def test_op5_by_hand(spark, table):
+    from tokenizers import Tokenizer
+
+    sf, texts = table
+    t, want, total = Tokenizer.from_file(public_tokenizer()[0]), set(), 0
+    t.encode_special_tokens = True
+    for i, x in texts.items():
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        want |= {(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))}
+        total += len(ids)
+    rows = QUERIES["op5_packing"](spark, sf).collect()
+    assert {tuple(r[:5]) for r in rows} == want and len(rows) == len(want)
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:], strict=False)) and min(own)[0] == 0 and sum(n for _, n in own) <= 1024
+    assert len(places) <= 1.05 * total / 1024 + 1
+
+
+def test_op6_by_hand(spark, table):
+    import regex
+
+    sf, texts = table
+    found = regex.compile(pii.CANDIDATE)
+    want = {i: t if t is None else found.sub(lambda m: replaced_by_hand(m[0], PII_KEY), t) for i, t in texts.items()}
+    got = {r.doc_id: r.text for r in QUERIES["op6_pii"](spark, sf).collect()}
+    assert got == want and sum(want[i] != texts[i] for i in want) > 5
+
+
+def test_op9_by_hand(spark, table):
+    sf, texts = table
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model, got = toxicity.fit(docs, labels), QUERIES["op9_toxicity"](spark, sf).collect()
+    crc = lambda s: zlib.crc32(s.encode()) % toxicity.SIZE
+    assert {r.doc_id for r in got} == set(texts) and len(got) == len(texts)
+    for r in got:
+        own = {f for w in set(re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower())) for f in [crc("=" + w), *(crc(f"{n}{w[:n]}") for n in toxicity.STEMS if len(w) >= n)]}
+        z = min(max(sum(model.weights[f] for f in own) + model.bias, -50), 50)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_op10_by_hand(spark, table):
+    sf, texts = table
+    sample = langid.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    for r in QUERIES["op10_langid"](spark, sf).collect():
+        lang, score = language_by_hand(texts[r.doc_id], sample)
+        assert r.lang_pred == lang and r.score == pytest.approx(score), r.doc_id
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)

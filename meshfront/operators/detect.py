@@ -138,7 +138,7 @@ def _wall(c: str, axis: int) -> str:
 
 #: One move of every walk under way, as _step() makes it. Those that have ended stand on the trap cell -1 and stay as they are. As text it costs one analysis a move.
 _HOP = f"""
-SELECT row_id, {", ".join(f"IF(reason IS NULL, q{c}, p{c}) AS p{c}" for c in "xyz")}, ux, uy, uz, IF(reason IS NULL, trial, end) AS end,
+SELECT row_id, way, {", ".join(f"IF(reason IS NULL, q{c}, p{c}) AS p{c}" for c in "xyz")}, ux, uy, uz, IF(reason IS NULL, trial, end) AS end,
  coalesce(reason, CASE WHEN trial IS NULL THEN 'missing' WHEN trial.divv >= 0 THEN 'nonconverging' WHEN (trial.temp - temp) * (trial.rho - rho) <= 0 THEN 'thermodynamic' WHEN NOT trial.candidate THEN 'candidate' END) AS reason
 FROM (SELECT *, array_min(transform(filter(faces, f -> f.face = hit.face), f -> struct({" + ".join(f"(f.{c} - q{c}) * (f.{c} - q{c})" for c in "xyz")} AS far, f.slot AS slot, f AS cell))).cell AS trial
  FROM (SELECT *, {", ".join(f"p{c} + u{c} * (hit.t + greatest(dx, 1D) * 1e-10D) AS q{c}" for c in "xyz")}
@@ -162,15 +162,16 @@ def _plain_planning(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def walk(probe: DataFrame, starts: DataFrame, way: int, max_steps: int, report: Callable[[int, int], None] | None = None) -> DataFrame:
-    """``(row_id, reason, end)`` of every walk from ``starts`` along ``way`` times its normal; ``end`` is the first cell outside the zone, or null.
+def walks(probe: DataFrame, starts: DataFrame, max_steps: int, report: Callable[[int, int], None] | None = None) -> DataFrame:
+    """``(row_id, way, reason, end)`` of both walks from each of ``starts``, against (-1) and along (1) its normal; ``end`` is the first cell outside the zone, or null.
 
-    A round joins the walks still under way with the probes and is written to the shared folder; its count comes with the write. Walks only stand on candidates, and they thin out
+    Both go on together, so that they share rounds. A round joins the walks still under way with the probes and is written to the shared folder; its count comes with the write. Walks only stand on candidates, and they thin out
     fast. Once at most FEW are left, a round makes twice the steps of the last, up to HOPS, each of which broadcasts the few walks, so a long tail costs few jobs.
     """
     spark, kind = probe.sparkSession, probe.schema["faces"].dataType.elementType
     here = F.struct(*((F.col("row_id") if f.name == "nbr_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind.fields))
-    front = starts.select("row_id", *(F.col(c).alias(f"p{c}") for c in "xyz"), *((F.col(f"n{c}") * way).alias(f"u{c}") for c in "xyz"), here.alias("end"), F.lit(None).cast("string").alias("reason"))
+    ways = starts.select("*", F.explode(F.array(F.lit(-1), F.lit(1))).alias("way"))
+    front = ways.select("row_id", "way", *(F.col(c).alias(f"p{c}") for c in "xyz"), *((F.col(f"n{c}") * F.col("way")).alias(f"u{c}") for c in "xyz"), here.alias("end"), F.lit(None).cast("string").alias("reason"))
     state = probe.select(F.col("row_id").alias("at"), "x", "y", "z", "dx", "temp", "rho", "faces")
     trap = spark.range(1).select(*(F.lit(-1).cast("long").alias(f.name) if f.name == "at" else F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema.fields))
     ended, left, done, ahead = [], None, 0, 1
@@ -187,10 +188,10 @@ def walk(probe: DataFrame, starts: DataFrame, way: int, max_steps: int, report:
             left, done = seen.get["left"], done + hops
             if report:
                 report(done, left)
-            ended.append(df.where("reason IS NOT NULL").select("row_id", "reason", "end"))
+            ended.append(df.where("reason IS NOT NULL").select("row_id", "way", "reason", "end"))
             front = df.where("reason IS NULL")
     if left != 0:
-        ended.append(front.select("row_id", F.lit("step_limit").alias("reason"), F.lit(None).cast(kind).alias("end")))
+        ended.append(front.select("row_id", "way", F.lit("step_limit").alias("reason"), F.lit(None).cast(kind).alias("end")))
     return reduce(DataFrame.unionAll, ended)
 
 

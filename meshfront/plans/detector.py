@@ -110,7 +110,7 @@ class Detector(Settings):
         if self.show_progress:
             log.info("%s: %.1f s", name, timings[name])
 
-    def _report(self, side: str):
+    def _report(self):
         """What a walk calls after each round: a line every ``progress_interval`` moves, or every tenth of the limit."""
         if not self.show_progress:
             return None
@@ -119,7 +119,7 @@ class Detector(Settings):
         def report(moves: int, left: int) -> None:
             if moves - last[0] >= every or not left:
                 last[0] = moves
-                log.info("%s walks: %d moves, %d under way", side, moves, left)
+                log.info("walks: %d moves, %d under way", moves, left)
 
         return report
 
@@ -142,15 +142,12 @@ class Detector(Settings):
         stepped = materialize(detect.next_centers(detect.probes(field_, links), self), "stepped")
         probe, own = stepped.drop("next_id"), detect.centers(stepped)
 
-        def walked(starts: DataFrame, way: int, side: str) -> DataFrame:
-            if not self.max_steps:
-                return _none_walked(probe, starts)
-            return detect.walk(probe, starts, way, self.max_steps, self._report(side))
-
-        up = walked(own, -1, "upstream")
+        both = detect.walks(probe, own, self.max_steps, self._report()) if self.max_steps else _none_walked(probe, own)
+        up = both.where("way < 0").drop("way")
+        # Only a center whose walk upstream ended in a cell walks downstream; what the others' other walks met is left out.
         ended = up.where("end IS NOT NULL AND reason NOT IN ('missing', 'step_limit')").select("row_id")
         reached = own.join(ended, "row_id", "left_semi")
-        down = walked(reached, 1, "downstream")
+        down = materialize(both.where("way > 0").drop("way").join(ended, "row_id", "left_semi"), "down")
         judged = materialize(detect.jumps(reached, up, down, self), "judged")
         rows = materialize(detect.finalize(cells, judged), "result")
         return Detection(rows, None, cells, links, field_, stepped, up, down, judged)
@@ -202,7 +199,8 @@ class Detector(Settings):
 def _none_walked(probe: DataFrame, starts: DataFrame) -> DataFrame:
     """With no step allowed every walk hits the limit."""
     end = F.lit(None).cast(probe.schema["faces"].dataType.elementType)
-    return starts.select("row_id", F.lit("step_limit").alias("reason"), end.alias("end"))
+    ways = F.explode(F.array(F.lit(-1), F.lit(1))).alias("way")
+    return starts.select("row_id", ways, F.lit("step_limit").alias("reason"), end.alias("end"))
 
 
 #: A result's columns.

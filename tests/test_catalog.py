@@ -32,6 +32,15 @@ def test_components(spark):
     out = connected_components(path)
     assert out.count() == 401 and out.where("component <> 0").count() == 0
     assert connected_components(edges.where("a > 100")).count() == 0
+    rng = np.random.default_rng(9)
+    pairs = [tuple(map(int, p)) for p in rng.integers(-300, 300, (500, 2))]
+    least = {v: v for p in pairs for v in p}
+    for _ in range(100):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    for held in (1, 50, 10_000):
+        got = connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(5), held=held)
+        assert dict(map(tuple, got.collect())) == least
 
 
 def test_grid_dissipation(grid):

@@ -16,6 +16,7 @@ where the bytes are no UTF-8.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words up to SHORT bytes are merged TOGETHER and remembered, some CACHED a generation; bytes or ids that make a batch of results.
-SHORT, TOGETHER, CACHED, BATCH_CHARS = 64, 8192, 100_000, 1 << 20
+SHORT, TOGETHER, CACHED, BATCH_CHARS = 64, 8192, 100_000, 1 << 21
 _SHIFT = 32
 _PLACE, _NONE = (1 << _SHIFT) - 1, 1 << 62
 
@@ -138,12 +139,15 @@ class Codec:
         self.made = [vocab[a + b] for a, b in merges]
         self.forest = Forest(self.ranks, self.made)
         values = {c: b for b, c in enumerate(letters)}
-        self.bytes_of = {i: bytes(values[c] for c in t) for t, i in vocab.items()}
+        bytes_of = {i: bytes(values[c] for c in t) for t, i in vocab.items()}
         added = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.bytes_of |= {i: t.encode() for t, i in added.items()}
+        bytes_of |= {i: t.encode() for t, i in added.items()}
+        self.nothing = max(bytes_of) + 1
+        self.pieces = pa.array([bytes_of.get(i, b"") for i in range(self.nothing + 1)], pa.large_binary())
         self.added = {t: np.int32(i).tobytes() for t, i in added.items()}
         self.cuts = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.words = regex.compile(pattern)
+        self.plain, self.plain_words = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*"), self._for_plain_texts(pattern)
         self.classes = [regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]")]
         self.together = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.seen: set[str] = set(map(chr, range(128)))
@@ -151,6 +155,19 @@ class Codec:
         self.cache: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
 
+    def _for_plain_texts(self, pattern: str) -> re.Pattern:
+        """The pattern of words for the faster library, with its two character classes spelt out. Good for texts of Latin letters and ASCII, whose classes are the same in every Unicode table."""
+        named = {f"\\p{{{k}}}": "".join(c for c in map(chr, range(0x250)) if regex.match(rf"\p{{{k}}}", c)) for k in "LN"}
+
+        def spelt(m: re.Match) -> str:
+            inside = m[0][1:-1] if m[0].startswith("[") else m[0]
+            for k, letters in named.items():
+                inside = inside.replace(k, letters)
+            return f"[{inside}]"
+
+        pattern = re.sub(r"\[[^\]]*\]|\\p\{[LN]\}", spelt, pattern)
+        return re.compile(pattern)
+
     def _look_up(self, letters: set[str]) -> None:
         """Characters whose class in the vocabulary's tool is another one: each gets a stand-in of that class."""
         samples = ("a", "1", "\t", "!")
@@ -161,58 +178,71 @@ class Codec:
         self.seen |= letters
 
     def _words(self, text: str) -> list[str]:
+        if self.plain.fullmatch(text):
+            return self.plain_words.findall(text)
+        if new := set(text) - self.seen:
+            self._look_up(new)
         if self.other and (like := text.translate(self.other)) != text:
             return [text[m.start() : m.end()] for m in self.words.finditer(like)]
         return self.words.findall(text)
 
     def split(self, text: str) -> list[str]:
         """The words of a text; the string of an added token is one by itself."""
-        if new := set(text) - self.seen:
-            self._look_up(new)
         out, at = [], 0
         for m in self.cuts.finditer(text) if self.cuts else ():
             out += [*self._words(text[at : m.start()]), m.group()]
             at = m.end()
         return out + self._words(text[at:]) if at else self._words(text)
 
-    def _merged(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _merged(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words, short ones of about equal length together."""
-        by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words:
-            raw = w.encode()
-            if len(raw) > SHORT:
-                yield w, np.array(merge_all(self.first[np.frombuffer(raw, np.uint8)].tolist(), self.ranks, self.made), "<i4").tobytes()
-            else:
-                by_size.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
-        for n, group in by_size.items():
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        out = {words[k]: np.array(merge_all(self.first[np.frombuffer(raw[k], np.uint8)].tolist(), self.ranks, self.made), "<i4").tobytes() for k in np.flatnonzero(sizes > SHORT).tolist()}
+        n = 1
+        while n < SHORT:
+            n *= 2
+            group = np.flatnonzero((sizes <= n) & ((sizes > n // 2) | (n == 2)))
             for s in range(0, len(group), TOGETHER):
                 part = group[s : s + TOGETHER]
-                first = self.first[np.frombuffer(b"".join([raw.ljust(n, b"\0") for _, raw in part]), np.uint8).reshape(-1, n)]
-                first[np.arange(n) >= np.array([len(raw) for _, raw in part])[:, None]] = -1
+                at = part.tolist()
+                first = self.first[np.frombuffer(b"".join([raw[k].ljust(n, b"\0") for k in at]), np.uint8).reshape(-1, n)]
+                first[np.arange(n) >= sizes[part][:, None]] = -1
                 left = self.forest.merge(np.ascontiguousarray(first.T)).T
                 ends = np.cumsum((left >= 0).sum(axis=1) * 4).tolist()
                 flat = left[left >= 0].astype("<i4").tobytes()
-                yield from ((w, flat[a:b]) for (w, _), a, b in zip(part, [0, *ends], ends, strict=False))
+                out.update(zip([words[k] for k in at], [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of 32 bits."""
         split = [self.split(t) for t in texts]
-        known, new = dict(self.added), []
-        for w in set(chain.from_iterable(split)) - known.keys():
-            found = self.cache.get(w) or self.earlier.get(w)
+        known, new, cache, earlier = dict(self.added), [], self.cache, self.earlier
+        for w in set(chain.from_iterable(split)) - self.added.keys():
+            found = cache.get(w)
             if found is None:
-                new.append(w)
-            else:
-                known[w] = found
-        known.update(self._merged(new))
-        if len(self.cache) > CACHED:
-            self.cache, self.earlier = {}, self.cache
-        self.cache.update((w, x) for w, x in known.items() if len(w) <= SHORT)
+                found = earlier.get(w)
+                if found is None:
+                    new.append(w)
+                    continue
+                cache[w] = found
+            known[w] = found
+        fresh = self._merged(new)
+        known.update(fresh)
+        if len(cache) > CACHED:
+            self.cache, self.earlier = {}, cache
+        self.cache.update((w, x) for w, x in fresh.items() if len(w) <= SHORT)
         return [b"".join([known[w] for w in words]) for words in split]
 
-    def decode(self, ids: list[int | None]) -> str:
-        known = self.bytes_of
-        return b"".join([known[i] for i in ids if i in known]).decode("utf-8", "replace")
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """The text of each list of ids."""
+        flat = pc.fill_null(ids.flatten(), -1)
+        known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(self.pieces)))
+        parts = self.pieces.take(pc.if_else(known, flat, self.nothing))
+        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        raw = b"" if parts.buffers()[2] is None else memoryview(parts.buffers()[2])
+        ends = sizes[np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())])].tolist()
+        return [str(raw[x:y], "utf-8", "replace") for x, y in zip(ends, ends[1:], strict=False)]
 
 
 def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -248,8 +278,7 @@ def _decoder(path: str, pattern: str):
             ids = batch.column(1)
             for a, b in _chunks([n or 0 for n in ids.value_lengths().to_pylist()]):
                 part = batch.slice(a, b - a)
-                texts = pa.array([codec.decode(own or []) for own in part.column(1).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode(part.column(1)), pa.string())], ["doc_id", "ids", "decoded"])
 
     return run
 

@@ -18,6 +18,8 @@ COUNTERS = ("center_step_limit", "upstream_missing_neighbor", "upstream_step_lim
 #: Walks that a round may broadcast, about 200 bytes each, and the steps it then makes.
 FEW, HOPS = 100_000, 8
 _STATE = ("x", "y", "z", "temp", "rho", "divv", "candidate", "nx", "ny", "nz")
+#: What a walk needs of a neighbour.
+_WALKED = ("face", "slot", "nbr_id", *_STATE[:7])
 
 
 def probes(stencil: DataFrame, links: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def _step(df: DataFrame, start: list[Column], way: list[Column], prefix: str) ->
 
 
 def next_centers(probe: DataFrame, settings: Settings) -> DataFrame:
-    """Each candidate with ``next_id``, the better of itself and the aligned candidates up and down its normal. No join: the neighbours are in the row."""
+    """Each candidate with ``next_id``, the better of itself and the aligned candidates up and down its normal. No join: the neighbours are in the row. What is left of ``faces`` is what walks need."""
     here, way = [F.col(c) for c in "xyz"], [F.col(f"n{c}") for c in "xyz"]
     df = _step(_step(probe, here, way, "up"), here, [-d for d in way], "down")
     df = df.withColumns({"best": F.struct(F.col("divv").alias("divv"), F.col("row_id").alias("id"))})
@@ -71,7 +73,8 @@ def next_centers(probe: DataFrame, settings: Settings) -> DataFrame:
         aligned = (norm(t["nx"], t["ny"], t["nz"]) > 0) & (F.abs(turned) >= settings.center_normal_cosine)
         lower = (t["divv"] < b["divv"] - slack) | ((F.abs(t["divv"] - b["divv"]) <= slack) & (t["nbr_id"] < b["id"]))
         df = df.withColumn("best", F.when(t.isNotNull() & t["candidate"] & aligned & lower, F.struct(t["divv"].alias("divv"), t["nbr_id"].alias("id"))).otherwise(b))
-    return df.select(*probe.columns, F.col("best.id").alias("next_id"))
+    walked = F.transform("faces", lambda f: F.struct(*(f[c].alias(c) for c in _WALKED)))
+    return df.select(*(walked.alias(c) if c == "faces" else c for c in probe.columns), F.col("best.id").alias("next_id"))
 
 
 def centers(stepped: DataFrame) -> DataFrame:
@@ -165,8 +168,8 @@ def _plain_planning(spark: SparkSession):
 def walks(probe: DataFrame, starts: DataFrame, max_steps: int, report: Callable[[int, int], None] | None = None) -> DataFrame:
     """``(row_id, way, reason, end)`` of both walks from each of ``starts``, against (-1) and along (1) its normal; ``end`` is the first cell outside the zone, or null.
 
-    Both go on together, so that they share rounds. A round joins the walks still under way with the probes and is written to the shared folder; its count comes with the write. Walks only stand on candidates, and they thin out
-    fast. Once at most FEW are left, a round makes twice the steps of the last, up to HOPS, each of which broadcasts the few walks, so a long tail costs few jobs.
+    Both go on together, so that they share rounds. A round joins the walks still under way with the probes and is written to the shared folder; its count comes with the write. ``probe`` is best a table bucketed by row_id
+    (materialize_by()): then a round shuffles the walks alone, of some 300 bytes each, and never the probes with their neighbours. Walks only stand on candidates, and they thin out fast. Once at most FEW are left, a round makes twice the steps of the last, up to HOPS, each of which broadcasts the few walks, so a long tail costs few jobs.
     """
     spark, kind = probe.sparkSession, probe.schema["faces"].dataType.elementType
     here = F.struct(*((F.col("row_id") if f.name == "nbr_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind.fields))

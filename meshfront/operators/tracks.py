@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from meshfront.functions.physics import KPC_IN_KM, norm
+from meshfront.operators import octree
 from meshfront.operators.components import connected_components
 from meshfront.plans.storage import materialize, release
 
@@ -22,69 +23,85 @@ def front_catalog(result: DataFrame, dissipation: DataFrame, min_mach: float = 1
     return strong.select("row_id", "x", "y", "z", "dx", "mach", "flux", "nx", "ny", "nz", ok.alias("valid_normal"))
 
 
-#: Boxes are cut in SPLIT parts an axis, twice.
-SPLIT = 4
-_LEVELS = ("b", "f", "g")
+def _boxed(points: DataFrame, edge: float) -> DataFrame:
+    """``points`` with the lattice numbers b* of the box of edge ``edge`` around each."""
+    return points.withColumns({f"b{c}": F.floor(F.col(c) / edge) for c in "xyz"})
 
 
-def _celled(points: DataFrame, edge: float) -> DataFrame:
-    """``points`` with lattice numbers of the box of edge ``edge`` around each (b*), of its part (f*) and of that one's part (g*). The finest are rounded down and the others follow from them, so the levels nest."""
-    fine = {c: F.floor(F.col(c) / (edge / SPLIT**2)) for c in "xyz"}
-    levels = zip(_LEVELS, (SPLIT**2, SPLIT, 1), strict=True)
-    return points.withColumns({f"{n}{c}": F.floor(fine[c] / k) for n, k in levels for c in "xyz"})
+_BOX = [f"b{c}" for c in "xyz"]
 
 
-def _apart(a: str, b: str, edge: float) -> tuple[Column, Column]:
-    """Squares of the least and the largest distance that points of two cells of a lattice can have."""
-    steps = [F.abs(F.col(f"{b}{c}") - F.col(f"{a}{c}")) for c in "xyz"]
-    square = lambda parts: sum(p * p for p in parts) * (edge * edge)
-    return square([F.greatest(s - 1, F.lit(0)) for s in steps]), square([s + 1 for s in steps])
+def _name(*numbers: Column) -> Column:
+    """A box's name, under which its tree hangs."""
+    return F.concat(F.concat_ws(",", *numbers), F.lit(":"))
+
+
+def _steps(reach: int, half: bool = False) -> Column:
+    """A row for each offset of boxes up to ``reach``; with ``half``, for one of each pair of opposite ones."""
+    around = range(-reach, reach + 1)
+    offsets = [(i, j, k) for i in around for j in around for k in around if not half or (i, j, k) > (0, 0, 0)]
+    return F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("ijk", o, strict=True))) for o in offsets)))
+
+
+def _bounds(prefix: str) -> dict[str, tuple[Column, Column]]:
+    return {c: (F.col(f"{prefix}{c}0"), F.col(f"{prefix}{c}1")) for c in "xyz"}
+
+
+def _nodes(level: DataFrame, prefix: str, key: str) -> DataFrame:
+    """Nodes of a level with prefixed names; ``key`` (node or parent) is ``at``, to join on."""
+    named = [F.col(key).alias(f"{prefix}at"), *(F.col(c).alias(f"{prefix}{c}") for c in ("node", "n", "open", *octree.BOUNDS))]
+    return level.select(*named).drop(f"{prefix}open" if prefix else "n")
 
 
 def spatial_components(points: DataFrame, length: float) -> DataFrame:
     """``(row_id, root)``: points chained by steps of at most ``length``; root is the lowest row of the component.
 
-    In a box of edge ``length / sqrt 3`` all points are within reach of each other, so a box is one vertex however many points it holds. Which boxes are linked is decided on their occupied parts: a pair of
-    parts that are close enough as a whole links two boxes, one that is too far apart is dropped, and what stays open is decided on the parts' parts, and only then on points, for pairs
-    of boxes that nothing has linked yet. So dense boxes make a bounded number of pairs, and points meet only across a shell of a few hundredths of the length.
+    In a box of edge ``length / sqrt 3`` all points are within reach of each other, so a box is one vertex however many points it holds. Which boxes are linked is decided on pairs of nodes of their octrees: nodes that are
+    close enough as a whole link their boxes, nodes too far apart are dropped, and so are those that begin farther apart than another pair of the same boxes ends, since the closest points aren't there. Of a pair
+    that stays open the wider node is cut, a leaf into its points. So dense clumps just at the length make few pairs for each pair of boxes and level.
     """
     edge = length / math.sqrt(3) * (1 - 1e-12)
-    rows = _celled(points.select("row_id", "x", "y", "z"), edge)
-    names = [f"{n}{c}" for n in _LEVELS for c in "xyz"]
-    boxed = materialize(rows, "boxed")
-    boxes = boxed.groupBy(*(f"b{c}" for c in "xyz")).agg(F.min("row_id").alias("box"))
-    rows = materialize(boxed.join(boxes, [f"b{c}" for c in "xyz"]), "boxes")
+    boxed = materialize(_boxed(points.select("row_id", "x", "y", "z"), edge), "boxed")
+    boxes = boxed.groupBy(*_BOX).agg(F.min("row_id").alias("box"))
+    rows = materialize(boxed.join(boxes, _BOX).select("row_id", "x", "y", "z", "box", _name(*_BOX).alias("root"), *_BOX), "boxes")
     release(boxed)
-    parts = [rows.select("box", *names[: 3 * k]).distinct() for k in (2, 3)]
-
-    def split(pairs_: DataFrame, edge_: float, level: str) -> tuple[DataFrame, DataFrame]:
-        """Pairs of boxes that these parts link, and the open pairs of parts of other boxes."""
-        least, most = _apart(f"p{level}", f"q{level}", edge_)
-        judged = pairs_.withColumn("sure", most <= length * length * (1 - 1e-12)).where(least <= length * length * (1 + 1e-12))
+    places = rows.select("root", "x", "y", "z").distinct()
+    tree = octree.build(places)
+    near = rows.select("box", "root", *_BOX).distinct().select("box", "root", *_BOX, _steps(2, half=True).alias("o"))
+    near = near.select(F.col("box").alias("a"), F.col("root").alias("pat"), *((F.col(f"b{c}") + F.col(f"o.{n}")).alias(f"b{c}") for c, n in zip("xyz", "ijk", strict=True)))
+    pairs = near.join(rows.select(F.col("box").alias("b"), F.col("root").alias("qat"), *_BOX).distinct(), _BOX).drop(*_BOX)
+    pairs = pairs.join(_nodes(tree.levels[0], "p", "node"), "pat").join(_nodes(tree.levels[0], "q", "node"), "qat").drop("pat", "qat")
+    # Below a leaf hang its points, so that they are decided as the nodes above them are.
+    spots = tree.points.select(F.lit(None).cast("string").alias("node"), F.col("node").alias("parent"), F.lit(1).alias("n"), F.lit(False).alias("open"), *(F.col(b[0]).alias(b) for b in octree.BOUNDS))
+    nodes = reduce(DataFrame.unionAll, [*(x.select(*spots.columns) for x in tree.levels), spots])
+    lies = {side: F.col(f"{side}n") > 1 for side in "pq"}
+    within, edges = length * length, []
+    while True:
+        least, most = octree.gaps(_bounds("p"), _bounds("q"))
+        spot = ~lies["p"] & ~lies["q"]  # two points, whose distance is exact
+        pairs = pairs.withColumns({"least": least, "most": most}).where(F.col("least") <= F.when(spot, within).otherwise(within * (1 + 1e-12)))
+        # The closest points of two boxes lie no farther apart than any pair of nodes ends.
+        sure = F.max(F.col("most") <= F.when(spot, within).otherwise(within * (1 - 1e-12))).over(Window.partitionBy("a", "b"))
+        closest = F.min("most").over(Window.partitionBy("a", "b"))
+        judged = pairs.withColumns({"linked": sure, "closest": closest}).where(F.col("least") <= F.col("closest") * (1 + 1e-12))
         judged = materialize(judged, "pairs")
-        sure = judged.where("sure").select("a", "b").distinct()
-        return sure, judged.where("NOT sure").drop("sure").join(sure, ["a", "b"], "left_anti")
-
-    # Half of the 124 offsets of boxes: the other half are the same pairs.
-    offsets = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
-    near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("ijk", o, strict=True))) for o in offsets)))
-    ours = lambda side, level: [F.col(f"{level}{c}").alias(f"{side}{level}{c}") for c in "xyz"]
-    left = parts[0].select(F.col("box").alias("a"), *(f"b{c}" for c in "xyz"), *ours("p", "f"), near.alias("o"))
-    left = left.select("a", *(f"pf{c}" for c in "xyz"), *((F.col(f"b{c}") + F.col(f"o.{n}")).alias(f"b{c}") for c, n in zip("xyz", "ijk", strict=True)))
-    right = parts[0].select(F.col("box").alias("b"), *(f"b{c}" for c in "xyz"), *ours("q", "f"))
-    sure, still = split(left.join(right, [f"b{c}" for c in "xyz"]).drop(*(f"b{c}" for c in "xyz")), edge / SPLIT, "f")
-    edges = [sure]
-    for side, box in (("p", "a"), ("q", "b")):
-        finer = parts[1].select(F.col("box").alias(box), *ours(side, "f"), *ours(side, "g"))
-        still = still.join(finer, [box, *(f"{side}f{c}" for c in "xyz")])
-    sure, still = split(still, edge / SPLIT**2, "g")
-    edges.append(sure)
-    for side, box in (("p", "a"), ("q", "b")):
-        own = rows.select(F.col("box").alias(box), *ours(side, "g"), *(F.col(c).alias(f"{side}{c}") for c in "xyz"))
-        still = still.join(own, [box, *(f"{side}g{c}" for c in "xyz")])
-    gap = sum((F.col(f"q{c}") - F.col(f"p{c}")) * (F.col(f"q{c}") - F.col(f"p{c}")) for c in "xyz")
-    edges.append(still.where(gap <= length * length).select("a", "b").distinct())
-    parts_ = connected_components(reduce(DataFrame.unionAll, edges))
+        tree.written.append(judged)
+        edges.append(judged.where("linked").select("a", "b").distinct())
+        pairs = judged.where(~F.col("linked") & (lies["p"] | lies["q"])).drop("least", "most", "closest", "linked")
+        if pairs.isEmpty():
+            break
+        # The wider of the two is cut.
+        wide = {side: sum((F.col(f"{side}{c}1") - F.col(f"{side}{c}0")) * (F.col(f"{side}{c}1") - F.col(f"{side}{c}0")) for c in "xyz") for side in "pq"}
+        pairs = pairs.withColumn("left", lies["p"] & (~lies["q"] | (wide["p"] >= wide["q"])))
+        cut = []
+        for side, mine in (("p", F.col("left")), ("q", ~F.col("left"))):
+            own = [f"{side}node", f"{side}n", *(f"{side}{b}" for b in octree.BOUNDS)]
+            inner = pairs.where(mine).withColumnRenamed(f"{side}node", f"{side}at").drop(*own, "left").join(_nodes(nodes, side, "parent"), f"{side}at")
+            cut.append(inner.select(*(c for c in pairs.columns if c != "left")))
+        pairs = cut[0].unionAll(cut[1])
+    found = materialize(reduce(DataFrame.unionAll, edges), "edges")
+    tree.drop()
+    parts_ = connected_components(found)
     return rows.join(parts_, rows.box == parts_.node, "left").select("row_id", F.coalesce("component", "box").alias("root"))
 
 
@@ -134,29 +151,34 @@ _FILLS = {"component_id": (-1, "long"), "component_size": (-1, "long"), "compone
 def nearest_front(tracks: DataFrame, fronts: DataFrame, radius: float) -> DataFrame:
     """Each track with the front nearest to where it is now, as struct ``front`` with distance ``far``, if one lies within ``radius``; the lowest row of equals.
 
-    A track looks into the 27 boxes of edge ``radius`` around it, then into the occupied parts of those that can hold its nearest front, then into their parts: a cell is left out if another
-    one lies as a whole nearer than it begins. Sides meet by equi-joins, and a track meets only the fronts of the few smallest cells that are left.
+    A track looks into the 27 boxes of edge ``radius`` around it and descends their octrees, nearest nodes alone: of a level it keeps the nodes that begin no farther than the nearest node ends, so few at any density,
+    and meets only the fronts of the few leaves that are left. Fronts at one place stand for the lowest row among them. Sides meet by equi-joins.
     """
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
-    looks = _celled(tracks.select("galaxy_id", *(F.col(f"c{c}").alias(c) for c in "xyz")), radius).select("galaxy_id", "x", "y", "z", *(f"b{c}" for c in "xyz"), around.alias("o"))
-    looks = looks.select("galaxy_id", "x", "y", "z", *((F.col(f"b{c}") + F.col(f"o.{n}")).alias(f"b{c}") for c, n in zip("xyz", "ijk", strict=True)))
     extra = [c if c in fronts.columns else F.lit(v).cast(t).alias(c) for c, (v, t) in _FILLS.items()]
     front = F.struct("row_id", "x", "y", "z", "dx", "mach", "flux", "nx", "ny", "nz", "valid_normal", *extra).alias("front")
-    placed = _celled(fronts, radius).select(front, *(f"{n}{c}" for n in _LEVELS for c in "xyz"))
-    for depth, level in enumerate(_LEVELS):
-        keys = [f"{n}{c}" for n in _LEVELS[:depth] for c in "xyz"] or [f"b{c}" for c in "xyz"]
-        own = [f"{n}{c}" for n in _LEVELS[: depth + 1] for c in "xyz"]
-        edge = radius / SPLIT**depth
-        looks = looks.join(placed.select(*own).distinct(), keys)
-        low = {c: F.col(f"{level}{c}") * edge - F.col(c) for c in "xyz"}
-        begins = sum(F.greatest(low[c], -low[c] - edge, F.lit(0.0)) * F.greatest(low[c], -low[c] - edge, F.lit(0.0)) for c in "xyz")
-        ends = sum(F.greatest(F.abs(low[c]), F.abs(low[c] + edge)) * F.greatest(F.abs(low[c]), F.abs(low[c] + edge)) for c in "xyz")
-        looks = looks.withColumns({"begins": F.sqrt(begins), "ends": F.sqrt(ends)})
-        reach = F.least(F.min("ends").over(Window.partitionBy("galaxy_id")), F.lit(radius)) * (1 + 1e-9) + radius * 1e-12
-        looks = looks.withColumn("reach", reach).where("begins <= reach").select("galaxy_id", "x", "y", "z", *own)
-    far = norm(*(F.col(f"front.{c}") - F.col(c) for c in "xyz"))
-    met = looks.join(placed, [f"{n}{c}" for n in _LEVELS for c in "xyz"]).withColumn("far", far).where(F.col("far") <= radius)
-    best = met.groupBy("galaxy_id").agg(F.min_by("front", F.struct("far", "front.row_id")).alias("front"), F.min("far").alias("far"))
+    placed = fronts.select("x", "y", "z", front).groupBy("x", "y", "z").agg(F.min_by("front", "front.row_id").alias("front"))
+    placed = materialize(_boxed(placed, radius).select(_name(*_BOX).alias("root"), "x", "y", "z", "front"), "placed")
+    tree = octree.build(placed)
+    here = ["galaxy_id", "tx", "ty", "tz"]
+    bodies = _boxed(tracks.select("galaxy_id", *(F.col(f"c{c}").alias(c) for c in "xyz")), radius)
+    bodies = bodies.select("galaxy_id", *(F.col(c).alias(f"t{c}") for c in "xyz"), *_BOX, _steps(1).alias("o"))
+    looks = bodies.select(*here, _name(*(F.col(f"b{c}") + F.col(f"o.{n}") for c, n in zip("xyz", "ijk", strict=True))).alias("at"))
+    own = [*here, "node", "open", "begins", "ends"]
+    least, most = octree.gaps({c: (F.col(f"t{c}"),) * 2 for c in "xyz"}, _bounds(""))
+    met = looks.join(_nodes(tree.levels[0], "", "node"), "at").withColumns({"begins": least, "ends": most}).select(*own)
+    for depth in range(len(tree.levels)):
+        if depth:
+            inner = met.where("open").select(*here, F.col("node").alias("at")).join(_nodes(tree.levels[depth], "", "parent"), "at")
+            met = met.where("NOT open").unionAll(inner.withColumns({"begins": least, "ends": most}).select(*own))
+        reach = F.least(F.min("ends").over(Window.partitionBy("galaxy_id")), F.lit(radius * radius)) * (1 + 1e-9) + radius * radius * 1e-12
+        met = met.withColumn("reach", reach).where("begins <= reach").drop("reach")
+        if depth < len(tree.levels) - 1:
+            met = materialize(met, "looks")
+            tree.written.append(met)
+    far = norm(*(F.col(f"front.{c}") - F.col(f"t{c}") for c in "xyz"))
+    near = met.join(tree.points.select("node", "front"), "node").withColumn("far", far).where(F.col("far") <= radius)
+    best = materialize(near.groupBy("galaxy_id").agg(F.min_by("front", F.struct("far", "front.row_id")).alias("front"), F.min("far").alias("far")), "nearest")
+    tree.drop()
     return tracks.join(best, "galaxy_id", "left")
 
 

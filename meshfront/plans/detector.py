@@ -16,7 +16,7 @@ from meshfront.operators.dissipation import compute_dissipation
 from meshfront.operators.links import cached_links
 from meshfront.operators.stencil import stencil
 from meshfront.plans.settings import Settings
-from meshfront.plans.storage import Scratch, materialize
+from meshfront.plans.storage import Scratch, materialize, materialize_by
 from meshfront.sources.cells import prepare
 
 log = logging.getLogger("meshfront")
@@ -139,7 +139,7 @@ class Detector(Settings):
 
     def _scan(self, cells: DataFrame, links: DataFrame, field_: DataFrame | None = None) -> Detection:
         field_ = field_ if field_ is not None else materialize(stencil(cells, links, self.gamma), "stencil")
-        stepped = materialize(detect.next_centers(detect.probes(field_, links), self), "stepped")
+        stepped = materialize_by(detect.next_centers(detect.probes(field_, links), self), "stepped", "row_id")
         probe, own = stepped.drop("next_id"), detect.centers(stepped)
 
         both = detect.walks(probe, own, self.max_steps, self._report()) if self.max_steps else _none_walked(probe, own)

@@ -20,6 +20,7 @@ class Scratch:
 
     def __init__(self) -> None:
         self.paths: list[str] = []
+        self.tables: list[str] = []
         self.spark: SparkSession | None = None
         self._tokens: list = []
 
@@ -31,6 +32,8 @@ class Scratch:
         _OPEN.reset(self._tokens.pop())
 
     def drop(self) -> None:
+        while self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
         while self.paths:
             drop_dir(self.spark, self.paths.pop())
 
@@ -81,7 +84,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialize(), but the written table is bucketed by ``key``: a join on it shuffles the other side alone, however often the table is joined.
+
+    Buckets are as many as shuffle partitions, one file each. Spark keeps bucketing with a table's name only, so the files are known to the session's catalog until they are dropped.
+    """
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
+    table, buckets = f"meshfront_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    for scratch in _OPEN.get():
+        scratch.tables.append(table)
+    out = spark.table(table)
+    out.stored_at, out.stored_as = path, table
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
+    if table := getattr(df, "stored_as", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     if path := getattr(df, "stored_at", None):
         drop_dir(df.sparkSession, path)

@@ -47,8 +47,13 @@ def sized_documents(docs: DataFrame, seed: str = "mix", row: Column | None = Non
     return materialize(docs.select(number.alias("row"), "doc_id", _source_key(F.col("source")).alias("skey"), size.alias("size"), key.alias("key")), "sized")
 
 
+def _quantum() -> Column:
+    """Words that a source serves at a time."""
+    return F.greatest(F.lit(1), F.floor(F.col("target") / QUANTA)).cast("long")
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, max_repeat: int = 3, budget: int | None = None) -> DataFrame:
-    """``(skey, source_size, target, total)`` a source. Targets share the budget ``total`` (all words by default) by weight."""
+    """``(skey, source_size, target, total, latest)`` a source. Targets share the budget ``total`` (all words by default) by weight; by the virtual time ``latest`` every source has served its target."""
     by_name, by_cap, whole = Window.orderBy("skey"), Window.orderBy(F.col("cap") / F.col("w"), "skey"), Window.partitionBy()
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     s = sized.groupBy("skey").agg(F.sum("size").alias("source_size"))
@@ -63,7 +68,8 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_repeat: int = 3, budget: int
     open_words = F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole), F.lit(0))
     open_weight = F.sum(F.when(~F.col("full"), F.col("w"))).over(whole)
     target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * open_words / open_weight)
-    return s.select("skey", "source_size", target.alias("target"), "total")
+    s = s.select("skey", "source_size", target.alias("target"), "total")
+    return s.withColumn("latest", F.max(1 + _quantum() / F.col("target")).over(whole))
 
 
 def _lined_up(sized: DataFrame, shares: DataFrame) -> DataFrame:
@@ -80,17 +86,23 @@ def _lined_up(sized: DataFrame, shares: DataFrame) -> DataFrame:
     buckets = buckets.select("skey", "bucket", in_source.alias("in_source")).join(shares, "skey")
     in_cell = F.coalesce(F.sum("size").over(ahead("row").partitionBy(*cell)), F.lit(0))
     rows = rows.withColumn("in_cell", in_cell).join(cells, cell).join(buckets, ["skey", "bucket"])
-    return rows.select("row", "skey", "size", "source_size", "target", (F.col("in_source") + F.col("in_bucket") + F.col("in_cell")).alias("start"))
+    return rows.select("row", "skey", "size", "source_size", "target", "latest", (F.col("in_source") + F.col("in_bucket") + F.col("in_cell")).alias("start"))
 
 
 def queue(sized: DataFrame, shares: DataFrame, max_repeat: int = 3) -> DataFrame:
-    """All quanta of all copies, range-sorted by virtual finish time: ``(row, size, skey, epoch, start, words, virtual_finish)``."""
-    rows = _lined_up(sized, shares).withColumn("quantum", F.greatest(F.lit(1), F.floor(F.col("target") / QUANTA)).cast("long"))
+    """The quanta of all copies that the mix may take, range-sorted by virtual finish time: ``(row, size, skey, epoch, start, words, virtual_finish)``.
+
+    By ``latest`` the sources have served the whole budget, so later quanta can't be taken and aren't made: of ``max_repeat`` rounds of the queue about one is sorted.
+    """
+    rows = _lined_up(sized, shares).withColumn("quantum", _quantum())
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))).alias("epoch"))
+    first = F.col("start") + F.col("epoch") * F.col("source_size")
+    rows = rows.where(first <= F.col("latest") * F.col("target") * (1 + 1e-9))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.col("quantum")))).alias("k"))
-    begin = F.col("start") + F.col("epoch") * F.col("source_size") + F.col("k") * F.col("quantum")
+    begin = first + F.col("k") * F.col("quantum")
     words = F.least("quantum", F.col("size") - F.col("k") * F.col("quantum"))
-    out = rows.select("row", "size", "skey", "epoch", begin.alias("start"), words.alias("words"), ((begin + words) / F.col("target")).alias("virtual_finish"))
+    finish = ((begin + words) / F.col("target")).alias("virtual_finish")
+    out = rows.select("row", "size", "skey", "epoch", begin.alias("start"), words.alias("words"), finish, "latest").where(F.col("virtual_finish") <= F.col("latest") * (1 + 1e-9)).drop("latest")
     by = ["virtual_finish", "skey", "start"]
     return out.repartitionByRange(*by).sortWithinPartitions(*by)
 
@@ -117,7 +129,7 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
     """What the mix takes of every document: ``(doc_id, size, source_size, target, taken)``."""
     sized = sized_documents(docs)
     taken = schedule(sized, **how).groupBy("row").agg(F.sum("taken").alias("taken"))
-    rows = sized.join(taken, "row", "left").join(targets(sized, **how), "skey")
+    rows = sized.join(taken, "row", "left").join(targets(sized, **how).drop("latest"), "skey")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

@@ -2,8 +2,7 @@
 
 Every url has a few candidate keys: a host suffix joined to a path prefix. One cascade for the block list and one for the allow list tell which
 candidates are listed. Level 0 of a cascade encodes the listed keys, level 1 those keys of the corpus that level 0 takes for listed, level 2 the
-listed keys that level 1 takes for false, and so on, until a level makes no mistake over the whole key universe of the corpus; a remainder of FEW keys or less is a level of the keys
-themselves, which ends every cascade. So membership is exact and the main path has no join: the levels are literals in the plan, read inside functions over an array of a url's candidates, so the
+listed keys that level 1 takes for false, and so on, until a level makes no mistake over the whole key universe of the corpus. However few its keys, a level is a Bloom filter, of 64 bits at least. So membership is exact and the main path has no join: the levels are literals in the plan, read inside functions over an array of a url's candidates, so the
 plan is as large for many path lengths as for one. Level 0 gets a false-positive rate of about sqrt(1/2) * listed / universe and the later ones 1/2, so the literals follow the lists, which the
 caller holds on the driver, by a few bytes a rule, and not the corpus. Lists have no cap.
 
@@ -24,13 +23,13 @@ from pyspark.sql import functions as F
 from meshfront.llm.common import ascii_lower
 from meshfront.plans.storage import materialize, release
 
-#: So many keys at most are a level by themselves.
-FEW = 32
+#: A cascade of so many filters is ended by a level of the keys that are left. Each filter leaves half of them or fewer on average, so only lists beyond any size get here.
+DEEPEST = 60
 
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: ``words`` holds ``bits`` bits. A level of few keys has the keys instead."""
+    """One Bloom filter: ``words`` holds ``bits`` bits. The level that ends a cascade of DEEPEST filters has its keys instead."""
 
     words: tuple[int, ...] = ()
     bits: int = 0
@@ -62,8 +61,8 @@ class Cascade:
 
 
 def _level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
-    """Built by a partial aggregate per 64-bit word; the driver gets the words of the filter, no keys but a level's FEW."""
-    if n <= FEW and salt % 1000:
+    """Built by a partial aggregate per 64-bit word; the driver gets the words of the filter, and keys only from DEEPEST on."""
+    if salt % 1000 >= DEEPEST:
         return Level(keys=tuple(sorted(r.key for r in keys.select("key").distinct().collect())))
     rate = min(0.5, max(rate, 2.0**-40))
     bits = max(64, math.ceil(n * math.log(1 / rate) / math.log(2) ** 2))

@@ -51,6 +51,18 @@ def test_rules(spark):
         url_filter.judge_urls(pages, ["nopath"], [])
 
 
+def test_few_rules_have_filters_too(spark):
+    """The contract's rules over hosts enough that level 0 errs: what corrects it is a filter, never a list of keys."""
+    pages = spark.range(30_000).select(F.concat(F.lit("http://a"), F.col("id") % 4001, F.lit(".net/en/"), F.col("id")).alias("url"))
+    host, path = url_filter.url_parts(F.col("url"))
+    universe = pages.select(F.explode(url_filter.candidate_keys(host, path, [*BLOCK, *ALLOW])).alias("key"))
+    for salt, rules in enumerate((BLOCK, ALLOW), 1):
+        cascade = url_filter.build_cascade(url_filter.rule_table(spark, rules), universe, salt)
+        assert len(cascade.levels) >= 2 and all(level.keys is None and level.bits >= 64 for level in cascade.levels)
+        listed = universe.distinct().where(cascade.holds(F.col("key"))).collect()
+        assert {r.key for r in listed} == {r.key for r in universe.distinct().collect()} & set(rules)
+
+
 def test_many_rules_need_several_levels(spark):
     rng = random.Random(1)
     hosts = [f"h{i}.example" for i in range(3000)]

@@ -8,7 +8,8 @@ same layout. Addresses of e-mail have no such domain; they get a keyed digest, w
 
 Card numbers are sought in the whole run of digit groups around them (4-4-4-4 and, last in a run, 4-6-5), so a year or another number beside one doesn't hide it.
 A date or social security number that doesn't validate still takes its text; what overlaps one isn't sought. A date with slashes is read day first, or month first if that is the only reading;
-its pseudonym is written month first too, so it may look like a day-first one of another date.
+its pseudonym is written month first too and has that one reading again, since days after the 12th get days after the 12th. A phone number's country code, cut by the table of codes, stays; one without "+" is permuted as a
+whole, so it isn't linked to its international form.
 
 Other texts stay as they are: among them IPv6 addresses, social security numbers without hyphens, dates with one-digit days or two-digit years, and dates outside 1900-2099. Defined cases: null gives null and no
 findings, an empty text is unchanged; very long texts are worked on whole; rows are worked on one by one, so repeated rows, ties and empty tables need no rule. Columns besides the text are kept whatever their
@@ -42,6 +43,8 @@ IBAN_LENGTHS = {
     "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24,
     "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "XK": 20,
 }
+#: Country codes of one and two digits, as a pattern; all others have three.
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 CANDIDATE = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
 #: A card number at the start of a card candidate, which is a run of groups of four digits.
 CARD = r"^(?:(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|[0-9]{13,19}$)"
@@ -49,8 +52,8 @@ CARD = r"^(?:(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{
 HINT = r"@|[0-9][0-9 ().+/-]{5,}[0-9]"
 
 _POWERS = [10**k for k in range(19)]
-#: Days from 1900-01-01 to 2099-12-31, and the sides of a product that holds them. Two values lie outside, so a walk ends after three steps at most.
-DAYS, _DAYS = 73_049, (319, 229)
+#: Days from 1900-01-01 to 2099-12-31. Those up to the 12th of a month and those after it are permuted among themselves: how many, and the sides of a product that holds them, with one value outside for the later ones.
+DAYS, _EARLY, _LATE = 73_049, (28_800, 160, 180), (44_249, 250, 177)
 _LAYOUTS = (("^[0-9]{4}-", "yyyy-MM-dd"), ("/", "dd/MM/yyyy"), ("/", "MM/dd/yyyy"), (r"\.", "dd.MM.yyyy"))
 
 
@@ -123,9 +126,14 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.when(m.startswith("+"), F.coalesce(F.nullif(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ (.-])", 0), F.lit("")), F.substring(m, 1, 2))).otherwise("")
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, _refill(rest, _permuted_digits(_digits(rest), "phone", key)))
+    """The country code stays and the other digits are permuted, whatever parts them, so a number has one pseudonym in all layouts."""
+
+    def text(digits: Column) -> Column:
+        code = F.when(m.startswith("+"), F.regexp_extract(digits, COUNTRY, 0)).otherwise("")
+        new = F.transform(F.array(code), lambda c: F.concat(c, _permuted_digits(F.substring(digits, F.length(c) + 1, F.length(digits)), "phone", key)))[0]
+        return F.transform(F.array(new), lambda d: _refill(m, d))[0]
+
+    return F.transform(F.array(_digits(m)), text)[0]
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -218,15 +226,42 @@ def _layout(m: Column) -> Column:
     return found
 
 
-def _moved(day: Column, key: str) -> Column:
-    """Another day of the domain."""
-    a, b = (F.lit(x).cast("long") for x in _DAYS)
+def _first_of(month: Column) -> Column:
+    """Day of the domain on which a month begins; months count from 0."""
+    base = F.lit("1900-01-01").cast("date")
+    return F.datediff(F.add_months(base, month.cast("int")), base)
+
+
+def _permuted(n: Column, size: int, a: int, b: int, tweak: str, key: str) -> Column:
+    """Another number below ``size``, which a * b exceeds by few."""
+    left, right = F.lit(a).cast("long"), F.lit(b).cast("long")
 
     def step(x: Column, i: Column) -> Column:
-        pair = F.transform(F.array(_feistel(F.floor(x / b), x % b, a, b, F.lit("date"), key)), lambda p: p["l"] * b + p["r"])[0]
-        return F.when((i == 0) | (x >= DAYS), pair).otherwise(x)
+        pair = F.transform(F.array(_feistel(F.floor(x / right), x % right, left, right, F.lit(tweak), key)), lambda p: p["l"] * right + p["r"])[0]
+        return F.when((i == 0) | (x >= size), pair).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(a * b - size)), n.cast("long"), step)
+
+
+def _moved(day: Column, key: str) -> Column:
+    """Another day of the domain, after the 12th of a month if and only if this one is: a date whose day can only be read as one keeps that."""
+
+    def moved(d: Column) -> Column:
+        date = F.date_add(F.lit("1900-01-01").cast("date"), d.cast("int"))
+        month, of = (F.year(date) - 1900) * 12 + F.month(date) - 1, F.dayofmonth(date)
+        early = F.transform(F.array(_permuted(month * 12 + of - 1, *_EARLY, "date", key)), lambda n: _first_of(F.floor(n / 12)) + n % 12)[0]
+
+        def placed(n: Column) -> Column:
+            # Days after the 12th that lie before a month: all days before it but twelve a month. The month of n is near its share.
+            before = lambda m: _first_of(m) - 12 * m
+            guess = F.floor(n / (_LATE[0] / 2400)).cast("int")
+            months = F.filter(F.sequence(F.greatest(guess - 3, F.lit(0)), F.least(guess + 3, F.lit(2399))), lambda m: before(m) <= n)
+            return F.transform(F.array(F.array_max(months)), lambda m: _first_of(m) + 12 + n - before(m))[0]
+
+        late = F.transform(F.array(_permuted(d - 12 * (month + 1), *_LATE, "late", key)), placed)[0]
+        return F.when(of > 12, late).otherwise(early).cast("long")
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(_DAYS[0] * _DAYS[1] - DAYS)), day.cast("long"), step)
+    return F.transform(F.array(day.cast("long")), moved)[0]
 
 
 def _date(m: Column, key: str) -> Column:

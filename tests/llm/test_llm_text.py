@@ -369,6 +369,34 @@ def test_every_date_of_the_domain_moves_to_another_of_it(spark):
     days = spark.range(pii.DAYS).select(pii._moved(F.col("id"), "k").alias("d"))
     assert [r.d for r in days.orderBy("d").collect()] == list(range(pii.DAYS))
     assert date(1900, 1, 1).toordinal() + pii.DAYS - 1 == date(2099, 12, 31).toordinal()
+    day = lambda c: F.dayofmonth(F.date_add(F.lit("1900-01-01").cast("date"), F.col(c).cast("int")))
+    moved = spark.range(pii.DAYS).select("id", pii._moved(F.col("id"), "k").alias("d"))
+    assert moved.where((day("id") > 12) != (day("d") > 12)).count() == 0
+
+
+def test_slash_dates_have_pseudonyms_of_their_own(spark):
+    """Day-first and month-first texts of the whole domain: as many pseudonyms as texts, each with the reading of its text."""
+    days = spark.range(pii.DAYS).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    texts = days.select(F.date_format("d", "dd/MM/yyyy").alias("t")).union(days.where(F.dayofmonth("d") > 12).select(F.date_format("d", "MM/dd/yyyy"))).distinct()
+    out = texts.select("t", pii._date(F.col("t"), "k").alias("p"))
+    n = texts.count()
+    assert n == 117_298
+    assert out.agg(F.countDistinct("p").alias("n")).first().n == n
+    first = lambda c: F.substring(c, 1, 2).cast("int")
+    second = lambda c: F.substring(c, 4, 2).cast("int")
+    assert out.where(((first("t") > 12) != (first("p") > 12)) | ((second("t") > 12) != (second("p") > 12))).count() == 0
+
+
+def test_a_phone_number_has_one_pseudonym_in_all_layouts(documents):
+    rng = random.Random(9)
+    numbers = [("+" + code, "".join(rng.choice("0123456789") for _ in range(10))) for code in rng.choices(["1", "7", "20", "44", "49", "98", "351", "420", "971"], k=200)]
+    layouts = [lambda c, d: c + d, lambda c, d: f"{c} {d[:3]} {d[3:6]} {d[6:]}", lambda c, d: f"{c}-{d[:3]}-{d[3:6]}-{d[6:]}", lambda c, d: f"{c} ({d[:3]}) {d[3:6]}-{d[6:]}", lambda c, d: f"{c}.{d[:3]}.{d[3:6]}.{d[6:]}"]
+    texts = [lay(c, d) for c, d in numbers for lay in layouts]
+    out = [re.sub("[^0-9+]", "", t) for t in run_pii(documents, *texts)]
+    for k, (code, digits) in enumerate(numbers):
+        own = set(out[5 * k : 5 * k + 5])
+        assert len(own) == 1 and own.pop().startswith(code) and out[5 * k] != code + digits
+    assert len(set(out)) == len(set(numbers))
 
 
 # An implementation of its own, one match after another.
@@ -398,6 +426,9 @@ def mod97(s):
     return int("".join(str(int(c, 36)) for c in s)) % 97
 
 
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
 def replaced_by_hand(m, key):
     import hashlib
 
@@ -423,11 +454,15 @@ def replaced_by_hand(m, key):
             except ValueError:
                 continue
             if 0 <= n < 73049:
+                all_days = [date.fromordinal(date(1900, 1, 1).toordinal() + k) for k in range(73049)]
+                late = all_days[n].day > 12
+                own = [d for d in all_days if (d.day > 12) == late]
+                n, (a, b, tweak) = own.index(all_days[n]), ((250, 177, "late") if late else (160, 180, "date"))
                 while True:
-                    l, r = feistel_by_hand(n // 229, n % 229, 319, 229, "date", key)  # noqa: E741
-                    n = l * 229 + r
-                    if n < 73049:
-                        return date.fromordinal(date(1900, 1, 1).toordinal() + n).strftime(order)
+                    l, r = feistel_by_hand(n // b, n % b, a, b, tweak, key)  # noqa: E741
+                    n = l * b + r
+                    if n < len(own):
+                        return own[n].strftime(order)
     if re.fullmatch(r"[A-Z]{2}\d\d[A-Z0-9 ]+", m):
         own = m.replace(" ", "")
         if len(own) != pii.IBAN_LENGTHS.get(m[:2]) or mod97(own[4:] + own[:4]) != 1:
@@ -441,10 +476,8 @@ def replaced_by_hand(m, key):
             return m
         code = ""
         if m[0] == "+":
-            known = re.match(r"\+\d{1,3}(?=[ (.-])", m)
-            code = known[0] if known else m[:2]
-        rest = m[len(code) :]
-        return code + refill_by_hand(rest, digits_by_hand(re.sub("[^0-9]", "", rest), "phone", key))
+            code = next(plain[:n] for n in (1, 2, 3) if n == 3 or plain[:n] in CODES)
+        return refill_by_hand(m, code + digits_by_hand(plain[len(code) :], "phone", key))
     if len(plain) >= 13 and luhn(plain):
         body = digits_by_hand(plain[:-1], "card", key)
         return refill_by_hand(m, body + next(c for c in "0123456789" if luhn(body + c)))

@@ -305,9 +305,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "groups_without_dissipation": _plain_groups,
     "retained_rank": lambda s, d: detect.retained_rank(products(s, d).rows).select("row_id", "rank"),
     "levels_inferred": _levels,
-    "mesh_planar": lambda s, d: meshes.planar_shock(s, 3.0, 18, 9).select("row_id", "x", r6(F.col("T") / 1e4).alias("t"), r6(F.col("rho") / 1e6).alias("rho"), "vx"),
-    "mesh_sheet": lambda s, d: meshes.tiled_sheet(meshes.line_mesh(s), 8, 4, 2).select("row_id", "x", "y", "z", F.col("T").alias("t")),
-    "mesh_grid": lambda s, d: meshes.grid_mesh(s).select("row_id", "x", "y", "rho"),
 }
 
 

@@ -337,7 +337,4 @@ def sql() -> dict[str, str]:
         "retained_rank": q(_TWO, "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS rank FROM c"),
         "levels_inferred": q(_TWO, "SELECT row_id, CAST(round(log2((SELECT max(dx) FROM c) / dx)) AS INTEGER) AS level FROM c"),
         "groups_without_dissipation": q(ctl, f"SELECT root, count(*) AS n_centers, {r6('sum(area * (' + repr(KPC_IN_KM) + ' * ' + repr(KPC_IN_KM) + '))')} AS area, {r6('sum(mach * area) / sum(area)')} AS mach_mean, 'position_unit2' AS area_unit FROM mem GROUP BY root"),
-        "mesh_planar": f"SELECT CAST(i AS BIGINT) AS row_id, i + 5e-1 AS x, {r6('CASE WHEN i >= 9 THEN 1e4 * ' + t_jump.replace('mach', '3e0') + ' ELSE 1e4 END / 1e4')} AS t, {r6('CASE WHEN i >= 9 THEN ' + r_jump.replace('mach', '3e0') + ' ELSE 1e0 END')} AS rho, CASE WHEN i >= 9 THEN -100e0 ELSE 100e0 END AS vx FROM (SELECT unnest(range(18)) AS i)",
-        "mesh_sheet": "SELECT CAST(k * 8 + i AS BIGINT) AS row_id, i + 5e-1 AS x, k % 4 + 5e-1 AS y, k // 4 + 5e-1 AS z, CASE WHEN i >= 4 THEN 4e4 ELSE 1e4 END AS t FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS k)",
-        "mesh_grid": "SELECT CAST(i AS BIGINT) AS row_id, i % 10 + 5e-1 AS x, i // 10 + 5e-1 AS y, CASE WHEN i % 10 >= 5 THEN 3e6 ELSE 1e6 END AS rho FROM (SELECT unnest(range(40)) AS i)",
     }

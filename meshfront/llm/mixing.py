@@ -69,7 +69,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_repeat: int = 3, budget: int
     open_weight = F.sum(F.when(~F.col("full"), F.col("w"))).over(whole)
     target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * open_words / open_weight)
     s = s.select("skey", "source_size", target.alias("target"), "total")
-    return s.withColumn("latest", F.max(1 + _quantum() / F.col("target")).over(whole))
+    return s.withColumn("latest", F.max(1 + F.try_divide(_quantum(), F.col("target"))).over(whole))
 
 
 def _lined_up(sized: DataFrame, shares: DataFrame) -> DataFrame:

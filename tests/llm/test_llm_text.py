@@ -85,6 +85,13 @@ def test_mixing(documents):
     assert sorted(got, key=str) == sorted(mixing.mix_report(documents(rows).repartition(7)).collect(), key=str)
 
 
+def test_a_source_without_words_has_no_target(documents):
+    rows = [(1, "", None, "a"), (2, None, None, "a"), (3, "one two three", None, "b"), (4, "four", None, None)]
+    got = {r.doc_id: (r.target, r.taken) for r in mixing.mix_report(documents(rows)).collect()}
+    assert got[1] == got[2] == (0.0, 0) and got[3][1] + got[4][1] == 4
+    assert all(r.taken == 0 for r in mixing.mix_report(documents(rows[:2])).collect())
+
+
 def test_mixing_whole_documents_and_order(documents):
     rng = random.Random(2)
     rows = [(i, text(rng, 20), "en", rng.choice("abc")) for i in range(300)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -26,34 +27,50 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-#: Vertices that a task keeps while it contracts what it sees.
-HELD = 500_000
+#: Vertices whose stars a task keeps while it contracts what it sees, and edges that it takes in at a time.
+HELD, TAKEN = 500_000, 2_000_000
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every vertex of the edges with the least that it reaches, without the least themselves. Roots hook to their least neighbour and all paths are halved until they end, in whole arrays."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    parent = np.arange(len(names))
+    while True:
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+    below = parent != np.arange(len(names))
+    return names[below], names[parent[below]]
 
 
 def _contracted(edges: DataFrame, held: int = HELD) -> DataFrame:
-    """Edges ``(a, b)``, a > b, that join what ``edges`` joins: each task replaces its edges by stars around the least vertex that they reach, ``held`` vertices at a time. That leaves fewer edges and shorter paths for the rounds."""
+    """Edges ``(a, b)``, a > b, that join what ``edges`` joins: each task replaces its edges by stars around the least vertex that they reach, some ``held`` vertices at a time. That leaves fewer edges and shorter paths
+    for the rounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (p := parent.get(x, x)) != x:
-                parent[x] = parent.get(p, p)
-                x = p
-            return x
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        count = kept = 0
 
-        def stars() -> pa.RecordBatch:
-            pairs = [(x, r) for x in parent if (r := root(x)) != x]
-            parent.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+        def stars() -> tuple[np.ndarray, np.ndarray]:
+            return _forest(*(np.concatenate([t[k] for t in taken] or [np.empty(0, np.int64)]) for k in (0, 1)))
 
         for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p, q = root(x), root(y)
-                parent[max(p, q)] = min(p, q)
-            if len(parent) >= held:
-                yield stars()
-        yield stars()
+            taken.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+            count += batch.num_rows
+            if count - kept >= min(TAKEN, held):
+                found = stars()
+                full = len(found[0]) >= held
+                if full:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+                taken = [] if full else [found]
+                count = kept = 0 if full else len(found[0])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars()], ["a", "b"])
 
     return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshfront.plans.storage import materialize
+from meshfront.plans.storage import exists, materialize, publish
 
 #: Faces in order -x, +x, -y, +y, -z, +z.
 FACES = tuple((2 * axis + up, axis, 2 * up - 1) for axis in range(3) for up in (0, 1))
@@ -94,13 +95,19 @@ def digest(cells: DataFrame) -> str:
 
 
 def cached_links(cells: DataFrame, folder: str | None = None) -> DataFrame:
-    """Links from ``folder`` if a whole set for this geometry is there, else built and kept there. Without a folder they're written to the shared one."""
+    """Links from ``folder`` if a whole set for this geometry is there, else built and kept there. Without a folder they're written to the shared one.
+
+    A set is written under a hidden name of its own and published by one rename, so readers see whole sets alone. Of those that build a set at the same time the first to rename it wins, the others delete theirs and read
+    the winner's. A store that renames by copying is no place for the folder while several jobs build.
+    """
     if not folder:
         return materialize(build_links(cells), "links")
-    spark, path = cells.sparkSession, f"{folder}/neighbors-{digest(cells)}"
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        build_links(cells).write.mode("overwrite").parquet(path)
+    spark, name = cells.sparkSession, f"links-{digest(cells)}"
+    path = f"{folder}/{name}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        own = f"{folder}/_{name}-{uuid.uuid4().hex}"
+        build_links(cells).write.parquet(own)
+        publish(spark, own, path)
     return spark.read.schema(SCHEMA).parquet(path)
 
 

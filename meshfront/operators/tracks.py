@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from meshfront.functions.physics import KPC_IN_KM, norm
 from meshfront.operators import octree
@@ -112,15 +110,48 @@ def component_numbers(labels: DataFrame) -> DataFrame:
     return sequential(labels.select("root").distinct(), [F.col("root")], "component_id")
 
 
-@F.pandas_udf(StructType([StructField("axis", ArrayType(DoubleType())), StructField("gap", DoubleType())]))
-def _principal(cov: pd.Series) -> pd.DataFrame:
-    """First eigenvector of the covariance sums xx, xy, xz, yy, yz, zz, and how far its eigenvalue is ahead of the next: a row for each component."""
-    import numpy as np
+#: Squarings that bring out an axis: of eigenvalues a millionth apart the lesser has vanished after them.
+SQUARINGS = 32
+_SYMMETRIC = ("xx", "xy", "xz", "yy", "yz", "zz")
 
-    a = np.array(cov.tolist()).reshape(-1, 6)[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-    values, vectors = np.linalg.eigh(a)
-    gap = np.divide(values[:, 2] - values[:, 1], values[:, 2], out=np.zeros(len(a)), where=values[:, 2] > 0)
-    return pd.DataFrame({"axis": list(vectors[:, :, 2]), "gap": gap})
+
+def _entry(m: Column, a: str, b: str) -> Column:
+    """An entry of a symmetric matrix, kept as the array of _SYMMETRIC."""
+    return F.get(m, F.lit(_SYMMETRIC.index("".join(sorted(a + b)))))
+
+
+def _times(m: Column, v: Column, a: str) -> Column:
+    return sum(_entry(m, a, k) * F.get(v, F.lit(i)) for i, k in enumerate("xyz"))
+
+
+def _scaled(values: Column, by: Column) -> Column:
+    """Divided by a number that is not negative; zeros stay zeros."""
+    return F.transform(values, lambda x: x / F.greatest(by, F.lit(1e-300)))
+
+
+def _squared(m: Column) -> Column:
+    """The square, divided by its trace."""
+    trace = sum(_entry(m, a, b) * _entry(m, a, b) for a in "xyz" for b in "xyz")
+    return _scaled(F.array(*(sum(_entry(m, a, k) * _entry(m, k, b) for k in "xyz") for a, b in _SYMMETRIC)), trace)
+
+
+def _principal(folds: DataFrame) -> DataFrame:
+    """``folds`` with ``axis``, the unit vector of the largest eigenvalue of the matrix ``cov``, and ``gap``, how far that eigenvalue is ahead of the next, relative to it; both are made of Columns.
+
+    A matrix squared again and again becomes the projection on its axis (on the plane of two equal ones), whose longest column is taken. The other two eigenvalues follow from the trace and the sum of squares.
+    """
+    df = folds.withColumn("unit", _scaled(F.col("cov"), sum(_entry(F.col("cov"), a, a) for a in "xyz")))
+    df = df.withColumn("grown", F.aggregate(F.sequence(F.lit(1), F.lit(SQUARINGS)), F.col("unit"), lambda m, _: _squared(m)))
+    columns = [F.array(*(_entry(F.col("grown"), a, b) for b in "xyz")) for a in "xyz"]
+    df = df.withColumn("longest", F.greatest(*(F.struct(norm(*(F.get(c, F.lit(k)) for k in range(3))).alias("n"), c.alias("v")) for c in columns)))
+    df = df.withColumn("axis", _scaled(F.col("longest.v"), F.col("longest.n")))
+    unit, axis = F.col("unit"), F.col("axis")
+    first = sum(F.get(axis, F.lit(k)) * _times(unit, axis, a) for k, a in enumerate("xyz"))
+    rest, squares = (sum(_entry(unit, a, a) for a in "xyz"), sum(_entry(unit, a, b) * _entry(unit, a, b) for a in "xyz" for b in "xyz"))
+    df = df.withColumn("first", first).withColumns({"rest": rest - F.col("first"), "squares": squares - F.col("first") * F.col("first")})
+    second = (F.col("rest") + F.sqrt(F.greatest(2 * F.col("squares") - F.col("rest") * F.col("rest"), F.lit(0.0)))) / 2
+    gap = F.when(F.col("first") > 0, F.greatest((F.col("first") - second) / F.nullif(F.col("first"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    return df.select(*folds.columns, "axis", gap.alias("gap"))
 
 
 def component_extents(points: DataFrame, labels: DataFrame) -> DataFrame:
@@ -128,9 +159,9 @@ def component_extents(points: DataFrame, labels: DataFrame) -> DataFrame:
     rows = points.join(labels, "row_id")
     means = rows.groupBy("root").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
     rows = rows.join(means, "root").select("root", "flux", *((F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"))
-    squares = F.array(*(F.sum(F.col(a) * F.col(b)) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
+    squares = F.array(*(F.sum(F.col(a) * F.col(b)) for a, b in _SYMMETRIC))
     folds = rows.groupBy("root").agg(F.count("*").alias("size"), F.sum("flux").alias("total_flux"), squares.alias("cov"))
-    axes = folds.select("root", "size", "total_flux", _principal("cov").alias("p")).select("root", "size", "total_flux", "p.axis", "p.gap")
+    axes = _principal(folds).drop("cov")
     along = sum(F.col(c) * F.get("axis", F.lit(k)) for k, c in enumerate("xyz"))
     spans = rows.join(axes.select("root", "axis"), "root").groupBy("root").agg((F.max(along) - F.min(along)).alias("extent"))
     extent = F.when(F.col("size") > 1, F.col("extent")).otherwise(0.0)

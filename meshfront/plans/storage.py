@@ -60,6 +60,28 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def publish(spark: SparkSession, own: str, path: str) -> bool:
+    """Rename the written folder ``own`` to ``path``, where only this function puts folders, unless one is there already; say whether it was done. ``own`` is gone either way.
+
+    ``own`` must be a hidden name (``_...``): a store that finds ``path`` there puts ``own`` inside it, where readers pass it over until it is deleted.
+    """
+    jvm = spark.sparkContext._jvm
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (own, path))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    late = jvm.org.apache.hadoop.fs.Path(target, source.getName())
+    won = not files.exists(target) and files.rename(source, target) and not files.delete(late, True)
+    if not won:
+        files.delete(source, True)
+        if not files.exists(jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")):
+            raise OSError(f"{path} could not be published")
+    return won
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a path that fresh_dir() gave, whatever store it is in."""
     jvm = spark.sparkContext._jvm

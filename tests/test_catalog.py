@@ -43,6 +43,29 @@ def test_components(spark):
         assert dict(map(tuple, got.collect())) == least
 
 
+def test_local_contraction_of_many_edges(spark):
+    """Ten million edges in one task: paths, hubs and chance, and the same components as by labels passed on."""
+    import time
+
+    from meshfront.operators.components import _forest
+
+    rng = np.random.default_rng(2)
+    n = 3_000_000
+    path, hub = np.arange(n), np.full(n, 4 * n)
+    a = np.concatenate([path[1:], hub, rng.integers(5 * n, 9 * n, 4_000_000)])
+    b = np.concatenate([path[:-1], np.arange(n, 2 * n), rng.integers(5 * n, 9 * n, 4_000_000)])
+    began = time.perf_counter()
+    node, least = _forest(a, b)
+    assert time.perf_counter() - began < 60  # some seconds on an idle machine
+    of = np.arange(9 * n)
+    of[node] = least
+    assert (of[a] == of[b]).all() and (of[:n] == 0).all() and (of[n : 2 * n] == n).all() and of[4 * n] == n
+    assert (of[least] == least).all() and (least < node).all() and len(np.unique(node)) == len(node)
+    shuffled = rng.permutation(200_000)  # a path in chance order
+    node, least = _forest(shuffled[1:], shuffled[:-1])
+    assert len(node) == 199_999 and (least == 0).all()
+
+
 def test_grid_dissipation(grid):
     rows = grid.dissipation.where("flux > 0").collect()
     assert sorted(r.row_id for r in rows) == [4, 14, 24, 34]
@@ -213,6 +236,48 @@ def test_rasters(spark):
             raster.mach_map(meshes.result_from_centers(spark, [(0.5, 0.5, 0.5, 2.0)]), **bad).collect()
 
 
+def covered_by_hand(rows, bins, extent):
+    """Sums over all pixels of all cells: ``(iy, ix)`` to greatest value, product and share."""
+    (ny, nx), (x0, x1, y0, y1), out = bins, extent, {}
+    sx, sy = (x1 - x0) / nx, (y1 - y0) / ny
+    for h, v, dx, value, weight in rows:
+        low, high = (h - dx / 2, v - dx / 2), (h + dx / 2, v + dx / 2)
+        for iy in range(max(0, int(np.floor((low[1] - y0) / sy))), min(ny, int(np.ceil((high[1] - y0) / sy)))):
+            for ix in range(max(0, int(np.floor((low[0] - x0) / sx))), min(nx, int(np.ceil((high[0] - x0) / sx)))):
+                share = weight * (min(high[0], x0 + (ix + 1) * sx) - max(low[0], x0 + ix * sx)) * (min(high[1], y0 + (iy + 1) * sy) - max(low[1], y0 + iy * sy))
+                top, product, total = out.get((iy, ix), (-np.inf, 0.0, 0.0))
+                out[iy, ix] = max(top, value), product + value * share, total + share
+    return out
+
+
+@pytest.mark.parametrize("bins", [(24, 40), (33, 7), (1, 64)])
+def test_footprints_against_pixels(spark, bins):
+    """Cells from a part of a pixel to wider than the map, some of them aligned with pixels."""
+    rng, extent = np.random.default_rng(3), (-2.0, 6.0, 1.0, 9.0)
+    rows = [(*rng.uniform(-3, 10, 2), 12.0 * rng.uniform() ** 4, *rng.uniform(1, 9, 2)) for _ in range(150)]
+    rows += [(x + 0.5, 3.5, 1.0, 2.0, 1.0) for x in range(-3, 7)] + [(2.0, 5.0, 8.0, 1.0, 2.0), (2.0, 5.0, 40.0, 1.5, 1.0)]
+    rows = [tuple(map(float, r)) for r in rows]
+    want = covered_by_hand(rows, bins, extent)
+    df = cells(spark, rows)
+    assert pixels(raster.cells_to_map(df, bins, extent)) == {k: w[0] for k, w in want.items()}
+    assert pixels(raster.cells_to_map(df, bins, extent, "mean", True)) == pytest.approx({k: w[1] / w[2] for k, w in want.items() if w[2] > 0}, rel=1e-9)
+    unit = 64.0 / bins[0] / bins[1]
+    assert pixels(raster.cells_to_map(df, bins, extent, "sum", True)) == pytest.approx({k: w[1] / unit for k, w in want.items() if w[2] > 0}, rel=1e-9)
+
+
+def test_a_wide_cell_makes_few_rows(spark):
+    """A footprint of 4096 by 4096 pixels, off the pixels' borders; a thousand of them fold into one another before they are spread."""
+    grid = raster.Grid.of(4100, (0.0, 4100.0, 0.0, 4100.0))
+    one = cells(spark, [(2050.3, 2049.6, 4095.1, 5, 1)])
+    blocks = raster._footprints(one, grid)
+    pixels_ = F.expr("sum(shiftleft(1L, x_level) * shiftleft(1L, y_level))")
+    n, area, covered = blocks.agg(F.count("*"), F.sum(F.col("share") * F.expr("shiftleft(1L, x_level) * shiftleft(1L, y_level)")), pixels_).first()
+    assert n < 1000 and covered == 4096 * 4096 and area == pytest.approx(4095.1**2, rel=1e-12)
+    many = spark.range(1000).select(F.lit(64.0).alias("h"), F.lit(64.0).alias("v"), (F.lit(100.0) + F.col("id") % 10).alias("dx"), F.col("id").cast("double").alias("value"), F.lit(1.0).alias("weight"))
+    got = pixels(raster.cells_to_map(many, 128, (0, 128, 0, 128)))
+    assert len(got) == 110 * 110 and got[64, 64] == 999.0 and got[9, 9] == 999.0
+
+
 def test_maps_facade(spark, grid):
     detector = Detector()
     found = detector.find(meshes.grid_mesh(spark))
@@ -284,6 +349,25 @@ def test_spatial_components_and_extent_against_brute_force(spark):
     assert tracks.filter_large_fronts(fronts, 1.7, 10**6).count() == 0
 
 
+def test_axes_against_eigenvectors(spark):
+    """Chance matrices, near-equal eigenvalues, planes, lines and nothing at all; no Python runs."""
+    rng = np.random.default_rng(8)
+    spectra = [(1, 1 - g, 0.3) for g in (1e-1, 1e-3, 2e-6)] + [(1e40, 5e39, 0), (7, 0, 0), (1, 1, 0.2), (1, 1, 1), (0, 0, 0), (3e-12, 1e-12, 0)] + [tuple(sorted(rng.uniform(0, 9, 3), reverse=True)) for _ in range(40)]
+    rows, want = [], {}
+    for i, spectrum in enumerate(spectra):
+        q = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        m = q @ np.diag(spectrum) @ q.T
+        rows.append((i, [float(m[j, k]) for j, k in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))]))
+        want[i] = q[:, 0], (spectrum[0] - spectrum[1]) / spectrum[0] if spectrum[0] else 0.0
+    out = tracks._principal(spark.createDataFrame(rows, "id long, cov array<double>"))
+    assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        axis, gap = want[r.id]
+        assert r.gap == pytest.approx(gap, abs=1e-7)
+        if gap > 1e-6:
+            assert abs(np.dot(axis, r.axis)) == pytest.approx(1, abs=1e-8) and np.linalg.norm(r.axis) == pytest.approx(1, rel=1e-12)
+
+
 def test_crossings(spark):
     fronts = spark.createDataFrame([(7, 0.0, 0.0, 0.0, 1.0, 3.0, 5.0, 1.0, 0.0, 0.0, True), (9, 50.0, 0.0, 0.0, 1.0, 3.0, 5.0, 0.0, 0.0, 0.0, False)], "row_id long, x double, y double, z double, dx double, mach double, flux double, nx double, ny double, nz double, valid_normal boolean")
     t = spark.createDataFrame([(0, -1.0, 0.5, 0.0, 1.0, 0.5, 0.0), (1, 2.0, 0.0, 0.0, 1.0, 0.0, 0.0), (2, 500.0, 0.0, 0.0, 500.0, 0.0, 0.0), (3, 49.0, 0.0, 0.0, 51.0, 0.0, 0.0), (4, -1.0, 8.0, 0.0, 1.0, 8.0, 0.0)], "galaxy_id long, px double, py double, pz double, cx double, cy double, cz double")

@@ -1,11 +1,14 @@
 """Cells, links, detection and diagnostics on small meshes."""
 
+import threading
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from meshfront.operators import detect, links
+from meshfront.plans import storage
 from meshfront.plans.detector import Detector
 from meshfront.plans.settings import Settings
 from meshfront.sources import cells, meshes
@@ -118,6 +121,30 @@ def test_link_cache_is_used_and_depends_on_geometry_alone(spark, tmp_path, monke
     assert links.digest(moved) != links.digest(c)
 
 
+def test_a_cache_built_twice_at_once_is_published_once(spark, tmp_path, monkeypatch):
+    """Both builders find no set, both write one; the second to publish reads the first's, whose files stay as they are."""
+    finder, folder = Detector(), f"file://{tmp_path}"
+    c = cells.prepare(meshes.line_mesh(spark), finder)
+    both, build = threading.Barrier(2, timeout=120), links.build_links
+
+    def slow(cells_):
+        both.wait()
+        return build(cells_)
+
+    monkeypatch.setattr(links, "build_links", slow)
+    with ThreadPoolExecutor(2) as pool:
+        found = [f.result() for f in [pool.submit(links.cached_links, c, folder) for _ in range(2)]]
+    monkeypatch.setattr(links, "build_links", build)
+    assert [f.count() for f in found] == [14, 14] and len({tuple(f.inputFiles()) for f in found}) == 1
+    assert [p.name for p in tmp_path.iterdir() if p.is_dir()] == [f"links-{links.digest(c)}"]
+    assert not [p for p in next(tmp_path.iterdir()).iterdir() if p.is_dir()]
+    own = tmp_path / "_late"
+    own.mkdir()
+    (own / "part").write_text("x")
+    target = f"{folder}/links-{links.digest(c)}"
+    assert not storage.publish(spark, f"{folder}/_late", target) and not own.exists() and links.cached_links(c, folder).count() == 14
+
+
 def test_line(spark):
     finder = Detector()
     found = finder.find(meshes.line_mesh(spark))

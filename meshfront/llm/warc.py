@@ -6,9 +6,10 @@ partitions and, where adaptive execution sees fit, more.
 
 Tasks write one gzip member a record to archives of their own and return captures. These are sorted by reversed-host key (``com,example,www)/path``) and page over all partitions and written as
 compressed blocks of LINES lines. Beside each file of blocks lies its sparse directory: the first key and the place of every block, with an array of the entries' positions. A search bisects the files by
-their first keys, which are one row a file, then a file's directory by range reads, and reads the one block and the record; no more of an index is ever held.
+their first keys, which are one row a file, then a file's directory by range reads of PAGE entries, galloping from the place of the search before, and reads the one block and the record. The last PAGES pages and one block are
+all that is held, so searches in the order of keys read each page that they meet about once.
 
-A scan reads all blocks in parallel and then the records by archive and offset, in as many tasks as their bytes ask for. What the revisits refer to is then sought: each response once, in order
+A scan reads all blocks in parallel and then the records by archive and offset, in tasks of READ_BYTES, or in READ_TASKS larger ones, which read one record at a time whatever their share. What the revisits refer to is then sought: each response once, in order
 of keys, by bisection; its payload is read again and must have the revisits' digest, and gives their length.
 
 A file that a lost or repeated task left behind is never read: only captures and blocks of the attempt that counted name files.
@@ -39,6 +40,10 @@ from meshfront.plans.storage import fresh_dir, materialize
 MIN_REVISIT, SALTS, LINES, LEVEL = 1000, 16, 1000, 4
 #: Bytes, stored and unpacked, that a task reads back.
 READ_BYTES = 16 << 20
+#: Tasks at most that read records or seek responses.
+READ_TASKS = 10_000
+#: Entries of a directory that a range read takes, and such pages that a search keeps.
+PAGE, PAGES = 64, 64
 DATE = "1970-01-01T00:00:00Z"
 #: Fixed value: the profile of revisits by digest.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -218,15 +223,16 @@ def _place(key: str, page_id: int | None) -> tuple:
 
 
 class Index:
-    """Search by bisection. ``files``: first key and page and name of each file of blocks, which is one row a file. The open directory, its positions read and the last block are all that is held."""
+    """Search by bisection. ``files``: first key and page and name of each file of blocks, which is one row a file. ``reads`` counts range reads, of directories and blocks."""
 
     def __init__(self, folder: str, files: list[tuple]) -> None:
         self.store, _ = _store(folder)
         files = sorted(files, key=lambda f: (_place(f[0], f[1]), f[2]))
         self.names, self.firsts = [f[2] for f in files], [_place(f[0], f[1]) for f in files]
         self.open: tuple = (None, None, 0)
+        self.pages: dict[int, list[list]] = {}
         self.block: tuple = (None, [])
-        self.reads = 0
+        self.at = self.reads = 0
 
     def _range(self, start: int, length: int) -> bytes:
         self.reads += 1
@@ -239,19 +245,42 @@ class Index:
             if self.open[1]:
                 self.open[1].close()
             f = self.store.open_input_file(_directory_of(name))
-            self.open = (name, f, 0)
+            self.open, self.pages, self.at = (name, f, 0), {}, 0
             n = struct.unpack("<Q", self._range(f.size() - 8, 8))[0]
             self.open = (name, f, n)
         return self.open[2]
 
-    def _entry(self, name: str, k: int) -> list:
-        """``[first key, first page, offset, length, lines]`` of a block."""
-        n = self._open(name)
-        a, b = struct.unpack("<2Q", self._range(self.open[1].size() - 8 * (n + 2) + 8 * k, 16))
-        return json.loads(self._range(a, b - a))
+    def _entry(self, k: int) -> list:
+        """``[first key, first page, offset, length, lines]`` of a block of the open file, with its page of entries by two range reads unless that is held."""
+        page = self.pages.pop(k // PAGE, None)
+        if page is None:
+            _, f, n = self.open
+            first = k // PAGE * PAGE
+            count = min(PAGE, n - first)
+            positions = struct.unpack(f"<{count + 1}Q", self._range(f.size() - 8 * (n + 2) + 8 * first, 8 * (count + 1)))
+            data = self._range(positions[0], positions[-1] - positions[0])
+            page = [json.loads(data[a - positions[0] : b - positions[0]]) for a, b in zip(positions, positions[1:], strict=False)]
+            if len(self.pages) >= PAGES:
+                del self.pages[next(iter(self.pages))]  # the one unused for longest
+        self.pages[k // PAGE] = page
+        return page[k % PAGE]
+
+    def _before(self, low: tuple) -> int:
+        """The last block of the open file that begins before ``low``, or -1: from where the search before ended, steps double until they pass it, and what they enclose is bisected."""
+        n, key = self.open[2], lambda k: _place(*self._entry(k)[:2])
+        left, right, step = -1, n, 1
+        at = min(self.at, n - 1)
+        while left < at < right:
+            if key(at) < low:
+                left, at = at, at + step
+            else:
+                right, at = at, at - step
+            step *= 2
+        return bisect.bisect_left(range(n), low, lo=left + 1, hi=right, key=key) - 1
 
     def _lines(self, name: str, entry: list) -> list[list]:
         if self.block[0] != (name, entry[2]):
+            self.reads += 1
             data = _read(self.store, name, entry[2], entry[3])
             self.block = ((name, entry[2]), [json.loads(x) for x in data.decode().splitlines()])
         return self.block[1]
@@ -264,9 +293,9 @@ class Index:
             if first > high:
                 break
             n = self._open(name)
-            start = bisect.bisect_left(range(n), low, key=lambda k: _place(*self._entry(name, k)[:2])) - 1  # noqa: B023
-            for k in range(max(0, start), n):
-                entry = self._entry(name, k)
+            self.at = max(0, self._before(low))
+            for k in range(self.at, n):
+                entry = self._entry(k)
                 if _place(*entry[:2]) > high:
                     return out
                 lines = self._lines(name, entry)
@@ -356,10 +385,15 @@ def _responses(folder: str, files: list[tuple]):
     return run
 
 
+def reading_tasks(n: int) -> int:
+    """Tasks that read ``n`` bytes, stored and unpacked."""
+    return min(1 + n // READ_BYTES, READ_TASKS)
+
+
 def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     """Every record through the index, ``(page_id, payload_bytes, payload_digest, record_type, refers_to, url)``."""
     size = archive.captures.agg(F.sum("length").alias("stored"), F.sum(F.col("length") + F.col("size")).alias("n")).first()
-    tasks = 1 + (size.n or 0) // READ_BYTES
+    tasks = reading_tasks(size.n or 0)
     run = max(1, READ_BYTES // 16 * (size.stored or 0) // max(size.n or 0, 1))  # stored bytes that a task reads in one go
     blocks = archive.directory.select("file", "offset", "length")
     places = blocks.repartition("file", "offset").mapInArrow(_captures(archive.folder), _CAPTURE).select("file", "offset", "length")

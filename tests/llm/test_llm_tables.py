@@ -175,6 +175,28 @@ def test_bisection_finds_what_a_scan_finds(spark, tmp_path):
     assert index.find(warc.surt("http://hot.example/"), 10**9, any_page=False) == []
 
 
+def test_sorted_finds_read_a_directory_about_once(spark, tmp_path):
+    """A thousand finds over one file of 2,000 blocks, in order and out of it."""
+    pages = [(i, f"http://h{i // 7:04d}.example/", "p") for i in range(6000)]
+    captures = warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/w").captures
+    blocks = captures.coalesce(1).sortWithinPartitions("key", "page_id").mapInArrow(warc._blocks(f"file://{tmp_path}/one", 3), warc._BLOCK)
+    a = warc.Archive(captures, warc.materialize(blocks, "directory"), f"file://{tmp_path}/w")
+    assert a.directory.count() == 2000 and len(warc.index_files(a)) == 1
+    index = warc.Index(a.folder, warc.index_files(a))
+    for i in range(0, 6000, 6):
+        assert [h["page_id"] for h in index.find(warc.surt(pages[i][1]), i, any_page=False)] == [i]
+    # A find that begins with a block's first capture looks at the block before too.
+    assert index.reads < 3 * 1000 and len(index.pages) <= warc.PAGES
+    index = warc.Index(a.folder, warc.index_files(a))
+    for i in random.Random(6).sample(range(6000), 300):
+        assert [h["page_id"] for h in index.find(warc.surt(pages[i][1]), i, any_page=False)] == [i]
+        assert index.find(warc.surt(pages[i][1]) + "none") == [] and len(index.find(warc.surt(pages[i][1]))) == min(7, 6000 - i // 7 * 7)
+
+
+def test_reading_tasks_have_a_ceiling():
+    assert [warc.reading_tasks(n) for n in (0, 16 << 20, 200 << 20, 100 << 40)] == [1, 2, 13, 10_000]
+
+
 def test_reading_is_spread_by_bytes(spark, tmp_path):
     pages = spark.range(400).select("id", F.concat(F.lit("http://x/"), "id").alias("url"), F.concat(F.repeat(F.lit("lorem ipsum "), 20_000), F.col("id").cast("string")).alias("html")).withColumnRenamed("id", "page_id")
     a = warc.write_archive(pages, f"file://{tmp_path}/w")  # 96 MB of payload

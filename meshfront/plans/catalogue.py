@@ -6,7 +6,7 @@ Queries over one mesh share its written stages (links, stencil, detection), as o
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, wraps
+from functools import cached_property, reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from meshfront.operators import catalog as cat
 from meshfront.operators import detect, histograms, links, raster, stencil, tracks
 from meshfront.operators import dissipation as diss
 from meshfront.plans import oracles
-from meshfront.plans.detector import Detection, Detector
+from meshfront.plans.detector import Detection, Detector, MapView
 from meshfront.plans.storage import Scratch, fresh_dir, materialize, stamp
 from meshfront.sources import cells, meshes, store
 
@@ -209,6 +209,41 @@ def _crossings(s: SparkSession, d: str) -> DataFrame:
     return tracks.classify_crossings(meshes.tracks(s, d), products(s, d).fronts, RADIUS, 2.0)
 
 
+#: The smallest component that counts as large. Extents are compared, not cut at, since they are a matter of chance where eigenvalues agree.
+LARGE = 5
+
+
+def _large(p: Products) -> DataFrame:
+    found = tracks.filter_large_fronts(p.fronts, FRONT_LINK, LARGE, 0.0)
+    return found.withColumn("component_extent", F.when(F.col("component_gap") < 1e-6, -1.0).otherwise(F.col("component_extent")))
+
+
+def _front_large_all(s: SparkSession, d: str) -> DataFrame:
+    return _large(products(s, d)).select("row_id", "component_id", "component_size", r6("component_extent").alias("component_extent"), lg("component_total_flux").alias("lg_component_flux"))
+
+
+def _crossings_large(s: SparkSession, d: str) -> DataFrame:
+    """Crossings of large fronts alone, with their components."""
+    df = tracks.classify_crossings(meshes.tracks(s, d), _large(products(s, d)), RADIUS, 2.0)
+    lengths = ("nearest_component_extent", "nearest_mach", "distance_to_shock", "signed_distance_prev", "signed_distance_now", "transverse_distance")
+    exact = ("galaxy_id", "crossed", "near_shock", "nearest_shock_row", "nearest_component_id", "nearest_component_size")
+    return df.select(*exact, lg(F.coalesce("nearest_flux", F.lit(0.0))).alias("lg_flux"), *(r6(F.coalesce(c, F.lit(-999.0))).alias(c) for c in lengths))
+
+
+def _compact_modes(s: SparkSession, d: str) -> DataFrame:
+    """What each way to keep tracks keeps."""
+    classified = materialize(_crossings(s, d), "crossings")
+    ways = {"all": None, "column": F.col("distance_to_shock") < 1.5, "crossed": "crossed", "near_or_crossed": "near_or_crossed", "near_shock": "near_shock"}
+    parts = (tracks.compact(classified, way, ["near_shock", "nearest_shock_row"]).select(F.lit(name).alias("keep"), "*") for name, way in ways.items())
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _maps_both(s: SparkSession, d: str) -> DataFrame:
+    p = products(s, d)
+    both = p.finder.maps(p.found, MapView(**MAP))
+    return _pixels(both.mach).select(F.lit("mach").alias("kind"), "*").unionAll(_pixels(both.flux, 1e38).select(F.lit("flux").alias("kind"), "*"))
+
+
 def _round_trip(s: SparkSession, d: str) -> DataFrame:
     path = store.save_catalog(fresh_dir(s, "catalog"), products(s, d).catalog)
     return _whole_groups(store.load_catalog(s, path).groups)
@@ -298,6 +333,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "track_nearest_front": lambda s, d: tracks.nearest_front(meshes.tracks(s, d), products(s, d).fronts, RADIUS).select("galaxy_id", F.coalesce("front.row_id", F.lit(-1).cast("long")).alias("front"), r6(F.coalesce("far", F.lit(-1.0))).alias("far")),
     "track_crossing": lambda s, d: _crossings(s, d).select("galaxy_id", "crossed", "near_shock", "nearest_shock_row", *(r6(F.coalesce(c, F.lit(-999.0))).alias(c) for c in ("nearest_mach", "distance_to_shock", "signed_distance_prev", "signed_distance_now", "transverse_distance"))),
     "track_compact": lambda s, d: tracks.compact(_crossings(s, d), "crossed", ["nearest_shock_row"]),
+    "track_crossing_large": _crossings_large,
+    "track_compact_modes": _compact_modes,
+    "front_large_all": _front_large_all,
+    "links_direct": lambda s, d: links.direct_links(products(s, d).links),
+    "maps_both": _maps_both,
     "catalog_roundtrip": _round_trip,
     "catalog_csv": _csv,
     "catalog_v1_upgrade": _upgrade,

@@ -275,7 +275,13 @@ def sql() -> dict[str, str]:
     mid = {a: f"((p{a} + c{a}) / 2 - f.{a})" for a in "xyz"}
     along = "(" + " + ".join(f"{mid[a]} * f.n{a}" for a in "xyz") + ")"
     side = _norm(*(f"{mid[a]} - {along} * f.n{a}" for a in "xyz"))
-    crossing = front + _TRACK + f", cls AS MATERIALIZED (SELECT t.galaxy_id, coalesce(f.valid_normal, FALSE) AS near_shock, coalesce(f.valid_normal AND {signed['p']} * {signed['c']} <= 0 AND {side} <= 2 * f.dx, FALSE) AS crossed, coalesce(f.row_id, -1) AS nearest_shock_row, f.mach, n.far, {signed['p']} AS sp, {signed['c']} AS sc, {side} AS tr FROM trk t LEFT JOIN nearest n USING (galaxy_id) LEFT JOIN front f ON f.row_id = n.row_id)"
+    classes = _TRACK + f", cls AS MATERIALIZED (SELECT t.galaxy_id, coalesce(f.valid_normal, FALSE) AS near_shock, coalesce(f.valid_normal AND {signed['p']} * {signed['c']} <= 0 AND {side} <= 2 * f.dx, FALSE) AS crossed, coalesce(f.row_id, -1) AS nearest_shock_row, f.mach, n.far, {signed['p']} AS sp, {signed['c']} AS sc, {side} AS tr FROM trk t LEFT JOIN nearest n USING (galaxy_id) LEFT JOIN front f ON f.row_id = n.row_id)"
+    crossing = front + classes
+    large = comp + _AXES + """,
+nums AS (SELECT comp, row_number() OVER (ORDER BY comp) - 1 AS component_id FROM (SELECT DISTINCT comp FROM fc)),
+large AS MATERIALIZED (SELECT f.*, component_id, size AS component_size, CASE WHEN gap < 1e-6 THEN -1e0 ELSE extent END AS component_extent, span.flux AS component_flux
+ FROM front f JOIN fc ON fc.id = f.row_id JOIN span ON span.root = comp JOIN nums USING (comp) WHERE size >= 5)"""
+    kept = {"all": "TRUE", "column": "near_shock AND far < 15e-1", "crossed": "crossed", "near_or_crossed": "near_shock OR crossed", "near_shock": "near_shock"}
     none = lambda c, n: f"{r6(f'coalesce({c}, -999e0)')} AS {n}"
     return {
         "cells_level_filter": q(_TWO, "SELECT row_id, level FROM c WHERE level >= 1"),
@@ -328,6 +334,16 @@ def sql() -> dict[str, str]:
         "track_nearest_front": q(front + _TRACK, f"SELECT galaxy_id, coalesce(row_id, -1) AS front, {r6('coalesce(far, -1e0)')} AS far FROM trk LEFT JOIN nearest USING (galaxy_id)"),
         "track_crossing": q(crossing, f"SELECT galaxy_id, crossed, near_shock, nearest_shock_row, {none('mach', 'nearest_mach')}, {none('far', 'distance_to_shock')}, {none('sp', 'signed_distance_prev')}, {none('sc', 'signed_distance_now')}, {none('tr', 'transverse_distance')} FROM cls"),
         "track_compact": q(crossing, "SELECT galaxy_id AS galaxy_index, (SELECT count(*) FROM cls) AS n_galaxies, nearest_shock_row FROM cls WHERE crossed"),
+        "track_crossing_large": q(
+            large + classes.replace(" front f", " large f"),
+            "SELECT galaxy_id, cls.crossed, near_shock, nearest_shock_row, coalesce(CASE WHEN near_shock THEN component_id END, -1) AS nearest_component_id, coalesce(CASE WHEN near_shock THEN component_size END, -1) AS nearest_component_size, "
+            f"{none('CASE WHEN near_shock THEN component_extent END', 'nearest_component_extent')}, {none('cls.mach', 'nearest_mach')}, {lg('coalesce(CASE WHEN near_shock THEN large.flux END, 0e0)')} AS lg_flux, "
+            f"{none('far', 'distance_to_shock')}, {none('sp', 'signed_distance_prev')}, {none('sc', 'signed_distance_now')}, {none('tr', 'transverse_distance')} FROM cls LEFT JOIN large ON large.row_id = nearest_shock_row",
+        ),
+        "track_compact_modes": q(crossing, " UNION ALL ".join(f"SELECT '{k}' AS keep, galaxy_id AS galaxy_index, (SELECT count(*) FROM cls) AS n_galaxies, near_shock, nearest_shock_row FROM cls WHERE {w}" for k, w in kept.items())),
+        "front_large_all": q(large, f"SELECT row_id, component_id, component_size, {r6('component_extent')} AS component_extent, {lg('component_flux')} AS lg_component_flux FROM large"),
+        "links_direct": q(lattice, "SELECT row_id, face, kind, slot, nbr_id FROM links WHERE kind <> 'fine'"),
+        "maps_both": q(xy, f"SELECT 'mach' AS kind, * FROM ({_draw('shock', 'x', 'y', 'mach')}) UNION ALL SELECT 'flux', * FROM ({_draw('dis', 'x', 'y', 'flux', where='flux > 0', out=lambda c: r6(f'({c}) / 1e38'))})"),
         "catalog_roundtrip": q(ctl, groups),
         "catalog_csv": q(ctl, f"{summary}, 'kpc2' AS area_unit FROM flagged"),
         "catalog_v1_upgrade": q(ctl, f"SELECT group_id, '000000' AS faces, FALSE AS touches_boundary, CASE WHEN ut IS NOT NULL AND NOT isnan(ut) THEN 1e0 ELSE 0e0 END AS valid_upstream_fraction, {r6('greatest(ext, 1 - ext)')} AS classification_confidence, TRUE AS mach_std_unknown, TRUE AS normal_dispersion_unknown, 0e0 AS zone_width_mean, 0e0 AS zone_width_min, 0e0 AS zone_width_max, level_max - level_min + 1 AS level_count, FALSE AS is_complete, 'legacy_schema' AS flags FROM grp"),

@@ -2,7 +2,7 @@
 
 import pytest
 
-from meshfront.operators import detect, links, stencil
+from meshfront.operators import detect, links, stencil, tracks
 from meshfront.plans.detector import Detector
 from meshfront.plans.storage import Scratch, materialize, together
 from meshfront.sources import cells, meshes
@@ -57,3 +57,10 @@ def test_long_ways_of_center_searches(spark):
             failed += 1
     chain = spark.createDataFrame(list(to.items()), "row_id long, next_id long")
     assert detect.long_paths(chain, limit) == failed > 0
+
+
+def test_a_filter_on_the_gap_repeats_no_squarings(spark):
+    fronts = spark.createDataFrame([(i, float(i), float(i * i % 5), 0.0, 1.0) for i in range(12)], "row_id long, x double, y double, z double, flux double")
+    labels = spark.range(12).selectExpr("id AS row_id", "id % 2 AS root")
+    large = tracks.component_extents(fronts, labels).where("gap >= 1e-6")
+    assert "aggregate(" not in large._jdf.queryExecution().optimizedPlan().toString() and large.count() == 2

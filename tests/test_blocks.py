@@ -92,6 +92,20 @@ def test_walks_across_blocks_in_many_rounds(spark, monkeypatch, tmp_path):
     assert first.count("Exchange hashpartitioning") == 0 and whole.count("Exchange hashpartitioning") == 1
 
 
+def test_a_block_is_read_once_for_all_moves_within(spark, monkeypatch):
+    """Walks of many moves end in the first round if no wall is in their way, which shuffles nothing; were a round a move or four, they'd take several."""
+    monkeypatch.setattr(links, "EDGES", ((0, 1000),))
+    finder = Detector()
+    found = finder.find(meshes.two_level_mesh(spark, "/root/testdata/sf0.001"))
+    moves = []
+    probe = found.stepped.drop("next_id")
+    probe.buckets = found.stepped.buckets
+    walked = detect.walks(probe, detect.centers(found.stepped), finder.max_steps, lambda done, left: moves.append(left))
+    assert moves == [0] and len(walked.rounds) == 1 and walked.where("reason IS NULL").isEmpty()
+    few = detect.walks(probe, detect.centers(found.stepped), 3)
+    assert {"step_limit", "nonconverging"} <= {r.reason for r in few.select("reason").distinct().collect()}
+
+
 def test_upstream_state_of_a_detection_joins_nothing(spark):
     found = Detector().find(meshes.line_mesh(spark))
     known = dissipation.upstream_state(found.rows, found.cells)

@@ -106,6 +106,28 @@ def test_a_block_is_read_once_for_all_moves_within(spark, monkeypatch):
     assert {"step_limit", "nonconverging"} <= {r.reason for r in few.select("reason").distinct().collect()}
 
 
+def test_blocks_are_worked_on_whole(spark):
+    """Links, stencil and center searches join no rows, and find what joins and Columns find."""
+    with Scratch() as own:
+        finder = Detector()
+        c = materialize(cells.prepare(meshes.two_level_mesh(spark, "/root/testdata/sf0.001"), finder), "cells")
+        near = links.cached_links(c)
+        made = links.build_links(c, near.blocks), stencil.stencil(c, near)
+        assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in made)
+        plain = materialize(near.select(*links.LINK), "plain")
+        names = ("row_id", "divv", "gtx", "gsy", "gtz", "valid", "candidate", "nx")
+        one, two = (sorted(tuple(r) for r in stencil.stencil(c, n).select(*names).collect()) for n in (near, plain))
+        assert [(r[0], *r[5:7]) for r in one] == [(r[0], *r[5:7]) for r in two]
+        assert all(x == pytest.approx(y, rel=1e-9, abs=1e-9) for x, y in zip(one, two, strict=True))
+        field = stencil.written(c, near)
+        steps = detect.stepped(field, near, finder)
+        assert "Join" not in steps._jdf.queryExecution().optimizedPlan().toString()
+        wanted = detect.next_centers(detect.probes(field, near), finder)
+        pick = lambda df: sorted((r.row_id, r.next_id, len(r.faces)) for r in df.select("row_id", "next_id", "faces").collect())
+        assert pick(steps) == pick(wanted) and any(a != b for a, b, _ in pick(steps))
+    own.drop()
+
+
 def test_upstream_state_of_a_detection_joins_nothing(spark):
     found = Detector().find(meshes.line_mesh(spark))
     known = dissipation.upstream_state(found.rows, found.cells)
